@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def null_byte() -> Column:
@@ -22,7 +23,7 @@ def fixed6(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.6f", value))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fixed6_exact(values: pd.Series) -> pd.Series:
     """``%.6f`` rounding the exact binary value, for doubles that were never rounded."""
     return values.map(lambda v: f"{v:.6f}", na_action="ignore")
@@ -48,7 +49,7 @@ def repr6(value: Column) -> Column:
     return F.concat(sign, F.when((magnitude < 1e-4) & (magnitude > 0), tiny).otherwise(plain))
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def repr_exact(groups: pd.Series) -> pd.Series:
     """Shortest round-trip text for every double of a nested array, one Arrow call per batch.
 

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import COVERAGE_TARGETS, RELIABILITY_BINS, UNIFORM_TAUS
-from .distributed import quantile_grid, running_totals, value_counts
+from .distributed import bounded_local, quantile_grids, running_totals, value_counts
 from .metrics import ratio
 
+MAX_GATES = 201 + 60 + 400 + 2000
+
 
 # --- calibration -------------------------------------------------------------------------------
 def bin_edges(bins: int = RELIABILITY_BINS) -> list[float]:
@@ -84,22 +86,22 @@ def threshold_grid(df: DataFrame, score: str, dense_below: int = 2000) -> DataFr
     """Gate candidates: uniform, score quantiles, near-one points, and the distinct scores if few.
 
     With ``dense_below`` or more distinct scores, quantiles of the top 15 % stand in for them. The
-    result has at most about 3,300 rows whatever the table.
+    result has at most about 3,300 rows whatever the table, so it is fixed on the driver once and the
+    curve's plan does not compute it again.
     """
     base = [i / (UNIFORM_TAUS - 1) for i in range(UNIFORM_TAUS)]
     near_one = [1.0 - 10.0 ** (-7.0 + i * 6.0 / 59.0) for i in range(60)]
     wide = [i / 399 for i in range(400)]
     top = [0.85 + 0.15 * i / 599 for i in range(600)]
-    ranked = running_totals(value_counts(df, [score]), "value", ["n"])
+    counts = value_counts(df, [score]).withColumn("one", F.lit(1).cast("long"))
+    ranked = running_totals(counts, "value", ["n", "one"])
     literal = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in base + near_one])).alias("tau"))
-    quantiles = quantile_grid(ranked, wide).select(F.col("quantile").alias("tau"))
-    distinct = df.select(F.col(score).alias("tau")).where(F.col("tau").isNotNull()).distinct()
-    n_distinct = distinct.agg(F.count("*")).scalar()
-    few = distinct.withColumn("_n", n_distinct).where(F.col("_n") < dense_below).drop("_n")
-    many = quantile_grid(ranked, top).withColumn("_n", n_distinct).where(F.col("_n") >= dense_below).select(
+    quantiles = quantile_grids(ranked, [(wide, F.lit(True)), (top, F.col("one_total") >= dense_below)]).select(
         F.col("quantile").alias("tau")
     )
-    return literal.union(quantiles).union(few).union(many).where("tau >= 0 and tau <= 1.000000001").distinct()
+    distinct = ranked.where(F.col("one_total") < dense_below).select(F.col("value").alias("tau"))
+    grid = literal.union(quantiles).union(distinct).where("tau >= 0 and tau <= 1.000000001").distinct()
+    return bounded_local(grid, MAX_GATES)
 
 
 def icr_curve(df: DataFrame, score: str, attack: Column, grid: DataFrame) -> DataFrame:

@@ -167,12 +167,23 @@ def exact_percentiles(
     return picked.select(*by, "feature", *out)
 
 
-def quantile_grid(ranked: DataFrame, probabilities: list[float]) -> DataFrame:
-    """(i, quantile) for many evenly spaced probabilities of one column.
+def quantile_grids(ranked: DataFrame, grids: list[tuple[list[float], Column]]) -> DataFrame:
+    """(grid, i, quantile) for long lists of evenly spaced probabilities of one column.
 
-    ``ranked`` is the output of ``running_totals`` over ``value`` and ``n``. Every value works out by
-    arithmetic which few probabilities can fall on it, so the cost does not grow with their number.
+    ``ranked`` is the output of ``running_totals`` over ``value`` and ``n``. Each grid comes with a
+    condition on the ranked row that says whether it is wanted. Every value works out by arithmetic
+    which few probabilities can fall on it, so the cost does not grow with their number.
     """
+    hits = [F.when(wanted, _grid_hits(g, probabilities)) for g, (probabilities, wanted) in enumerate(grids)]
+    rows = ranked.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select(F.inline("h"))
+    found = rows.groupBy("grid", "i").agg(
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("fraction").alias("fraction")
+    )
+    return found.select("grid", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")).alias("quantile"))
+
+
+def _grid_hits(grid: int, probabilities: list[float]) -> Column:
+    """Array of the probabilities whose lower or upper neighbour is this row's value."""
     count = len(probabilities)
     start, step = probabilities[0], (probabilities[-1] - probabilities[0]) / (count - 1)
     table = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -188,16 +199,21 @@ def quantile_grid(ranked: DataFrame, probabilities: list[float]) -> DataFrame:
     span = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
     rank = lambda i: F.get(table, i) * last
     inside = lambda x: (x >= before) & (x < after)
-    hits = F.transform(
+    return F.transform(
         F.filter(span, lambda i: inside(F.floor(rank(i))) | inside(F.ceil(rank(i)))),
         lambda i: F.struct(
-            i.alias("i"),
+            F.lit(grid).alias("grid"), i.alias("i"),
             F.when(inside(F.floor(rank(i))), F.col("value")).alias("lo"),
             F.when(inside(F.ceil(rank(i))), F.col("value")).alias("hi"),
             (rank(i) - F.floor(rank(i))).alias("fraction"),
         ),
     )
-    found = ranked.select(F.inline(hits)).groupBy("i").agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("fraction").alias("fraction")
-    )
-    return found.select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")).alias("quantile"))
+
+
+def bounded_local(df: DataFrame, max_rows: int) -> DataFrame:
+    """Fix a result that is small by construction as a local relation, so later plans do not repeat
+    its computation. Fails instead of collecting more than ``max_rows`` rows."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
