@@ -7,13 +7,11 @@ all doubles of a row travel through a single Arrow call.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import json_string, repr6, repr_exact
+from .text import escape_controls, quoted, repr6, repr_exact
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -22,7 +20,8 @@ _FLOATING = (T.FloatType, T.DoubleType)
 class _Builder:
     """Walks a schema, and gathers the doubles that need exact text on the way."""
 
-    def __init__(self, optional: set[str], exact: bool):
+    def __init__(self, optional: set[str], exact: bool, item_sep: str, key_sep: str):
+        self.item_sep, self.key_sep = item_sep, key_sep
         self.optional = optional
         self.exact = exact
         self.doubles: list[Column] = []
@@ -49,7 +48,7 @@ class _Builder:
         elif isinstance(dtype, T.ArrayType):
             text = self._array(value, dtype, path)
         elif isinstance(dtype, T.StringType):
-            text = json_string(value)
+            text = quoted(value)
         elif isinstance(dtype, (T.BooleanType, *_INTEGRAL)):
             text = value.cast("string")
         elif isinstance(dtype, _FLOATING):
@@ -63,12 +62,12 @@ class _Builder:
         for field in sorted(dtype.fields, key=lambda f: f.name.encode()):
             here = f"{path}.{field.name}" if path else field.name
             member = value[field.name]
-            text = F.concat(json_string(F.lit(field.name)), F.lit(":"), self.render(member, field.dataType, here))
+            text = F.concat(quoted(F.lit(field.name)), F.lit(self.key_sep), self.render(member, field.dataType, here))
             if here in self.optional:
                 text = F.when(member.isNotNull(), text)
             members.append(text)
         # concat_ws skips nulls, which is how optional members disappear
-        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+        return F.concat(F.lit("{"), F.concat_ws(self.item_sep, *members), F.lit("}"))
 
     def _map(self, value: Column, dtype: T.MapType, path: str) -> Column:
         entries = F.array_sort(F.map_entries(value))
@@ -76,14 +75,14 @@ class _Builder:
             texts = self._texts(F.transform(entries, lambda e: e["value"].cast("double")))
             body = F.zip_with(
                 entries, texts,
-                lambda e, t: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(t, F.lit("null"))),
+                lambda e, t: F.concat(quoted(e["key"]), F.lit(self.key_sep), F.coalesce(t, F.lit("null"))),
             )
         else:
             body = F.transform(
                 entries,
-                lambda e: F.concat(json_string(e["key"]), F.lit(":"), self.render(e["value"], dtype.valueType, path)),
+                lambda e: F.concat(quoted(e["key"]), F.lit(self.key_sep), self.render(e["value"], dtype.valueType, path)),
             )
-        return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
+        return F.concat(F.lit("{"), F.array_join(body, self.item_sep), F.lit("}"))
 
     def _array(self, value: Column, dtype: T.ArrayType, path: str) -> Column:
         element = dtype.elementType
@@ -95,7 +94,7 @@ class _Builder:
             body = self._struct_array(value, element)
         else:
             body = F.transform(value, lambda e: self.render(e, element, path))
-        return F.concat(F.lit("["), F.array_join(body, ","), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(body, self.item_sep), F.lit("]"))
 
     def _struct_array(self, value: Column, element: T.StructType) -> Column:
         """Structs with double members: their texts come as one array per member."""
@@ -112,8 +111,8 @@ class _Builder:
                     F.coalesce(F.get(texts[f.name], i), F.lit("null"))
                     if f.name in texts else self.render(e[f.name], f.dataType, f.name)
                 )
-                members.append(F.concat(json_string(F.lit(f.name)), F.lit(":"), text))
-            return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+                members.append(F.concat(quoted(F.lit(f.name)), F.lit(self.key_sep), text))
+            return F.concat(F.lit("{"), F.concat_ws(self.item_sep, *members), F.lit("}"))
 
         return F.transform(value, one)
 
@@ -125,21 +124,27 @@ def with_canonical_json(
     optional: set[str] | None = None,
     drop_members: tuple[str, ...] = (),
     floats: str = "exact",
+    spaced: bool = False,
 ) -> DataFrame:
     """Add ``out``, the canonical JSON of struct column ``source``.
 
     ``drop_members`` removes top-level members (the digest of a payload never covers itself).
+    ``spaced`` writes a blank after commas and colons, which is the stored form of a payload.
     """
     dtype = df.schema[source].dataType
     if not isinstance(dtype, T.StructType):
         raise TypeError("the canonical value must be a struct at top level")
     kept = T.StructType([f for f in dtype.fields if f.name not in drop_members])
-    builder = _Builder(optional or set(), floats == "exact")
+    builder = _Builder(optional or set(), floats == "exact", *((", ", ": ") if spaced else (",", ":")))
     text = builder.render(F.col(source), kept, "")
     if builder.doubles:
         df = df.withColumn("_float_text", repr_exact(F.array(*builder.doubles)))
-        return df.withColumn(out, text).drop("_float_text")
-    return df.withColumn(out, text)
+        df = df.withColumn(out, text).drop("_float_text")
+    else:
+        df = df.withColumn(out, text)
+    # never null, and said so: a nullable digest would draw inferred not-null filters through the
+    # whole expression whenever it is joined on
+    return df.withColumn(out, F.coalesce(escape_controls(F.col(out)), F.lit("null")))
 
 
 def with_payload_digest(
@@ -155,5 +160,3 @@ def digest_claim_holds(claim: Column, recomputed: Column) -> Column:
     """A malformed claim is false, and hex case does not matter."""
     return F.coalesce((F.length(claim) == 64) & (F.lower(claim) == recomputed), F.lit(False))
 
-
-ColumnFunction = Callable[[Column], Column]

@@ -73,31 +73,38 @@ def uuid5(name: Column, namespace_hex: str = URL_NAMESPACE_HEX) -> Column:
     )
 
 
-def hmac_sha256(key_hex: Column, message: Column) -> Column:
-    """Keyed digest from built-in SHA-2. Keys are hex and at most 64 bytes long.
+def hmac_pads(key_hex: Column) -> tuple[Column, Column]:
+    """Inner and outer key blocks (binary) of a hex key of at most 64 bytes; null for a null key.
 
-    Symmetric: it authenticates the writer to whoever holds the key table, and gives no
-    non-repudiation.
+    Computed once per key on the key table, so that signing a row costs two hashes.
     """
-    padded = F.rpad(key_hex, 128, "0")
+    digits = "0123456789abcdef"
+    padded = F.rpad(F.lower(key_hex), 128, "0")
 
-    def mask(byte: str) -> Column:
+    def mask(byte: int) -> Column:
         # xor of every key byte with a constant, one nibble at a time
-        high, low = int(byte[0], 16), int(byte[1], 16)
-        digits = "0123456789abcdef"
-        by_high = "".join(digits[d ^ high] for d in range(16))
-        by_low = "".join(digits[d ^ low] for d in range(16))
+        high = "".join(digits[d ^ (byte >> 4)] for d in range(16))
+        low = "".join(digits[d ^ (byte & 15)] for d in range(16))
         chars = F.transform(
             F.sequence(F.lit(1), F.lit(127), F.lit(2)),
             lambda i: F.concat(
-                F.translate(F.substr(padded, i, F.lit(1)), digits, by_high),
-                F.translate(F.substr(padded, i + 1, F.lit(1)), digits, by_low),
+                F.translate(F.substr(padded, i, F.lit(1)), digits, high),
+                F.translate(F.substr(padded, i + 1, F.lit(1)), digits, low),
             ),
         )
-        return F.unhex(F.array_join(chars, ""))
+        return F.when(key_hex.isNotNull(), F.unhex(F.array_join(chars, "")))
+
+    return mask(0x36), mask(0x5C)
+
 
-    inner = F.sha2(F.concat(mask("36"), F.encode(message, "UTF-8")), 256)
-    return F.sha2(F.concat(mask("5c"), F.unhex(inner)), 256)
+def hmac_sha256(inner_pad: Column, outer_pad: Column, message: Column) -> Column:
+    """Keyed digest from built-in SHA-2.
+
+    Symmetric: it authenticates the writer to whoever holds the key table, and gives no
+    non-repudiation.
+    """
+    inner = F.sha2(F.concat(inner_pad, F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(outer_pad, F.unhex(inner)), 256)
 
 
 def hash_rank_key(row_id: Column, seed: int) -> Column:

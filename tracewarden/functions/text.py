@@ -36,17 +36,10 @@ def repr6(value: Column) -> Column:
     two doubles, so trimming the zeros of its decimal text gives the shortest form. Magnitudes
     below 1e-4 take two-digit exponent notation.
     """
-    magnitude = F.abs(value)
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    plain = F.regexp_replace(magnitude.cast("decimal(16,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    millionths = F.round(magnitude * 1e6).cast("long")
-    ones, tens = (millionths % 10).cast("string"), F.floor(millionths / 10).cast("string")
-    tiny = (
-        F.when(millionths < 10, F.concat(millionths.cast("string"), F.lit("e-06")))
-        .when(millionths % 10 == 0, F.concat(tens, F.lit("e-05")))
-        .otherwise(F.concat(tens, F.lit("."), ones, F.lit("e-05")))
-    )
-    return F.concat(sign, F.when((magnitude < 1e-4) & (magnitude > 0), tiny).otherwise(plain))
+    plain = F.regexp_replace(value.cast("decimal(16,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    # 1.2E-5 -> 1.2e-05, 1.0E-6 -> 1e-06
+    tiny = F.replace(F.replace(value.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-0"))
+    return F.when(F.abs(value).between(1e-7, 0.9999e-4), tiny).otherwise(plain)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
@@ -72,20 +65,27 @@ def repr_exact(groups: pd.Series) -> pd.Series:
     return groups.map(row)
 
 
-def json_string(value: Column) -> Column:
-    """Quote a string with the contract's minimal escapes.
+def quoted(value: Column) -> Column:
+    """JSON string with quote and backslash escaped; control characters are left to ``escape_controls``."""
+    body = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def escape_controls(text: Column) -> Column:
+    """Escape control characters of a finished JSON text.
 
-    Only quote, backslash and control characters are escaped. The long chain of control characters
-    runs only for values that contain one.
+    The structure of compact JSON holds none, so all of them sit inside strings. The chain of
+    replacements runs only for the rare text that needs it.
     """
     short = {"\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
-    basic = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    full = basic
+    full = text
     for code in range(0x20):
-        char = chr(code)
-        full = F.replace(full, F.lit(char), F.lit(short.get(char, f"\\u{code:04x}")))
-    body = F.when(value.rlike(r"[\x00-\x1f]"), full).otherwise(basic)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+        full = F.replace(full, F.lit(chr(code)), F.lit(short.get(chr(code), f"\\u{code:04x}")))
+    return F.when(text.rlike(r"[\x00-\x1f]"), full).otherwise(text)
+
+
+def json_string(value: Column) -> Column:
+    return escape_controls(quoted(value))
 
 
 def rfc3339(ts: Column) -> Column:

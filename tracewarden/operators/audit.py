@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import hmac_sha256
+from ..functions.digests import hmac_pads, hmac_sha256
 from ..functions.merkle import merkle_verify
 from ..functions.canonical import digest_claim_holds
 
 
+def key_pads(registry: DataFrame) -> DataFrame:
+    """(agent_id, inner_pad, outer_pad) of a registry with hex keys."""
+    inner, outer = hmac_pads(F.col("key_hex"))
+    return registry.select("agent_id", inner.alias("_inner"), outer.alias("_outer"))
+
+
+def keyed_digest(digest: str) -> Column:
+    return hmac_sha256(F.col("_inner"), F.col("_outer"), F.col(digest))
+
+
 def sign(records: DataFrame, registry: DataFrame, digest: str = "payload_digest", agent: str = "agent_id") -> DataFrame:
     """Add ``signature``: the keyed digest under the agent's key; null for an unknown agent."""
-    keys = registry.select(agent, "key_hex")
-    return records.join(keys, agent, "left").withColumn(
-        "signature", hmac_sha256(F.col("key_hex"), F.col(digest))
-    ).drop("key_hex")
+    pads = key_pads(registry).withColumnRenamed("agent_id", agent)
+    return records.join(pads, agent, "left").withColumn("signature", keyed_digest(digest)).drop("_inner", "_outer")
 
 
 def audit(
@@ -30,14 +38,14 @@ def audit(
     models = provenance.select("model_digest", F.lit(True).alias("model_provenance_found")).distinct()
     joined = (
         records.join(payloads.withColumn("_found", F.lit(True)), "content_address", "left")
-        .join(registry.select("agent_id", "key_hex"), "agent_id", "left")
+        .join(key_pads(registry), "agent_id", "left")
         .join(models, "model_digest", "left")
     )
     found = F.coalesce(F.col("_found"), F.lit(False))
     payload_ok = found & digest_claim_holds(F.col("claimed_digest"), F.col("recomputed_digest"))
     ledger_ok = found & F.coalesce(F.col("payload_digest") == F.col("claimed_digest"), F.lit(False))
     signature_ok = found & F.coalesce(
-        hmac_sha256(F.col("key_hex"), F.col("payload_digest")) == F.col("signature"), F.lit(False)
+        keyed_digest("payload_digest") == F.col("signature"), F.lit(False)
     )
     checked = joined.withColumns({
         "payload_ok": payload_ok, "ledger_ok": ledger_ok, "signature_ok": signature_ok,

@@ -151,36 +151,45 @@ def build_events(
     ece = None if method == "none" else calibration_error
     if ece is not None and round(ece, 6) != ece:
         floats = "exact"
+    # Everything non-trivial becomes a plain column first. Inside a struct, Catalyst would inline an
+    # expression at each place its member is read, and the digest text reads every member.
+    flat = alerts.withColumns({
+        "_verdict": F.element_at(literal_map(K.VERDICT_TRANSLATION), verdict(c("threat_class"))),
+        "_severity": translate_severity(c("severity")),
+        "_source": format_address(c("src_ip"), c("src_port")),
+        "_destination": format_address(c("dst_ip"), c("dst_port")),
+        "_resource": F.coalesce(c("cloud_resource_id"), F.lit(K.UNMAPPED_RESOURCE)),
+        "_model_id": model_id, "_model_digest": model_digest,
+        "_anchor": F.coalesce("anchor", F.lit(False)),
+        "_attributions": F.transform(
+            F.coalesce(c("top_contributing_features"), F.array().cast(T.ArrayType(S.ATTRIBUTION))),
+            lambda a: F.struct(a["feature"].alias("feature"), a["shap"].alias("contribution")),
+        ),
+    })
     members = [
         F.lit(K.EVENT_CONTRACT_VERSION).alias("contract_version"), c("event_id"), c("timestamp"),
-        F.element_at(literal_map(K.VERDICT_TRANSLATION), verdict(c("threat_class"))).alias("verdict"),
-        c("threat_class").alias("threat_category"), translate_severity(c("severity")).alias("severity"),
+        c("_verdict").alias("verdict"), c("threat_class").alias("threat_category"), c("_severity").alias("severity"),
         c("confidence").alias("calibrated_confidence"),
         F.struct(
             F.lit(method != "none").alias("is_calibrated"), F.lit(method).alias("method"),
             F.lit(ece).cast("double").alias("expected_calibration_error"),
         ).alias("calibration"),
-        format_address(c("src_ip"), c("src_port")).alias("source_address"),
-        format_address(c("dst_ip"), c("dst_port")).alias("destination_address"),
-        F.coalesce(c("cloud_resource_id"), F.lit(K.UNMAPPED_RESOURCE)).alias("resource_id"),
-        c("features").alias("triggering_features"),
+        c("_source").alias("source_address"), c("_destination").alias("destination_address"),
+        c("_resource").alias("resource_id"), c("features").alias("triggering_features"),
         F.struct(
-            model_id.alias("model_id"), model_digest.alias("model_digest"), c("model_version").alias("version_label"),
+            c("_model_id").alias("model_id"), c("_model_digest").alias("model_digest"), c("model_version").alias("version_label"),
         ).alias("model"),
-        F.transform(
-            F.coalesce(c("top_contributing_features"), F.array().cast(T.ArrayType(S.ATTRIBUTION))),
-            lambda a: F.struct(a["feature"].alias("feature"), a["shap"].alias("contribution")),
-        ).alias("feature_attributions"),
+        c("_attributions").alias("feature_attributions"),
         F.struct(
             F.lit(producer).alias("producer"), c("schema_version"), c("event_hash"), c("feature_digest"),
-            c("anchor_gate_tau"), F.coalesce("anchor", F.lit(False)).alias("producer_anchor_decision"),
+            c("anchor_gate_tau"), c("_anchor").alias("producer_anchor_decision"),
             F.lit(verified).alias("digest_verified_by_consumer"),
         ).alias("detection_contract"),
         c("inference_latency_ms"),
     ]
-    built = alerts.withColumn("event", F.struct(*members))
-    built = with_payload_digest(built, "event", "_digest", S.EVIDENCE_OPTIONAL, floats)
-    return built.withColumn("event", F.col("event").withField("payload_digest", F.col("_digest"))).drop("_digest")
+    built = with_payload_digest(flat.withColumn("event", F.struct(*members)), "event", "_digest", S.EVIDENCE_OPTIONAL, floats)
+    whole = F.struct(*members, c("_digest").alias("payload_digest"))
+    return built.withColumn("event", whole).select(*alerts.columns, "event")
 
 
 def with_recomputed_digest(df: DataFrame, source: str = "event", out: str = "recomputed_digest", floats: str = "six") -> DataFrame:
@@ -188,15 +197,18 @@ def with_recomputed_digest(df: DataFrame, source: str = "event", out: str = "rec
 
 
 def with_stored_payload(df: DataFrame, source: str = "event", floats: str = "six") -> DataFrame:
-    """Add payload text, its content address and size. The address covers the stored bytes."""
-    df = with_canonical_json(df, source, "payload", S.EVIDENCE_OPTIONAL, floats=floats)
+    """Add payload text, its content address and size. The address covers the stored bytes, which are
+    written with blanks after separators and so never equal the text behind the payload digest."""
+    df = with_canonical_json(df, source, "payload", S.EVIDENCE_OPTIONAL, floats=floats, spaced=True)
     return df.withColumns({
         "content_address": content_address(F.col("payload")), "size_bytes": F.octet_length("payload").cast("long"),
     })
 
 
-def committed_records(df: DataFrame, agent: Column, signature: Column, merkle_root: Column | None = None) -> DataFrame:
-    """Committed record of each event; needs ``event`` and ``content_address``."""
+def committed_records(df: DataFrame, agent: Column, signature: Column, merkle_root: Column | None = None,
+                      carry: list[str] | None = None) -> DataFrame:
+    """Committed record of each event; needs ``event`` and ``content_address``. ``carry`` names
+    columns to keep beside it."""
     e = F.col("event")
     return df.select(
         e["event_id"].alias("event_id"), e["payload_digest"].alias("payload_digest"), "content_address",
@@ -205,5 +217,5 @@ def committed_records(df: DataFrame, agent: Column, signature: Column, merkle_ro
         e["model"]["model_digest"].alias("model_digest"), agent.alias("agent_id"), signature.alias("signature"),
         e["timestamp"].alias("timestamp"), F.lit("").alias("transaction_id"),
         F.lit(None).cast("long").alias("block_number"),
-        (merkle_root if merkle_root is not None else F.lit(None).cast("string")).alias("merkle_root"),
+        (merkle_root if merkle_root is not None else F.lit(None).cast("string")).alias("merkle_root"), *(carry or []),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import sha256_hex, uuid5
 from ..functions.text import rfc3339
 from ..operators import evidence
+from ..operators.cleaning import verdict
 from ..operators.gate import GatePolicy
 from ..operators.ledger import assign_batches
 from ..sources.tables import table
@@ -89,7 +90,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     # canonical JSON of the evidence event: members in key order, optional ones left out
     "evidence": (["alerts"], """
         SELECT *, sha256('{' || body || '}') AS payload_digest,
-          '{' || replace(body, ',"resource_id"', ',"payload_digest":"' || sha256('{' || body || '}') || '","resource_id"') || '}' AS payload
+          replace(replace('{' || replace(body, ',"resource_id"', ',"payload_digest":"' || sha256('{' || body || '}') || '","resource_id"') || '}', ',"', ', "'), '":', '": ') AS payload
         FROM (SELECT *,
           CASE WHEN threat_class = 'Benign' THEN 'BENIGN' ELSE 'ATTACK' END AS event_verdict,
           coalesce(cloud_resource_id, 'unmapped-resource') AS resource_id,
@@ -116,7 +117,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM evidence"""),
     "registry": ([], "SELECT 'agent-' || s_suppkey AS agent_id, sha256(s_name) AS key_hex FROM supplier"),
     "provenance": ([], "SELECT sha256('detector-' || r_regionkey) AS model_digest FROM region"),
-    # chain key: weekday of the alert; batches by arrival order within it
+    # seven chains, batches by arrival order within each
     "batched": (["decided"], """
         SELECT *, (pos - 1) // 100 AS batch_no, (pos - 1) % 100 AS leaf_index FROM (
           SELECT *, 'chain-' || (user_id % 7) AS chain,
@@ -255,10 +256,10 @@ def evidence_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
-    e = evidence_events(spark, sf)
-    ev = F.col("event")
-    return e.withColumn(
-        "decision", POLICY.decide(ev["verdict"], ev["threat_category"], ev["calibrated_confidence"])
+    # decided on the flat columns: a filter on a struct member would drag the struct along
+    category = F.col("threat_class")
+    return evidence_events(spark, sf).withColumn(
+        "decision", POLICY.decide(verdict(category, "ATTACK", "BENIGN"), category, F.col("confidence"))
     )
 
 
