@@ -26,6 +26,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.withColumn("_k", F.struct(*keys)).join(keyed, "_k", how).drop("_k")
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point.
+
+    Catalyst moves a filter below the projections that compute its columns and repeats their
+    expressions there. For digests over digests that repeats the whole chain at every level. A
+    generator over a one-element array cannot be crossed, and costs a row copy.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def running_totals(
     df: DataFrame,
     order: str,

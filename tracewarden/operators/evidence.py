@@ -14,6 +14,7 @@ from ..functions.digests import (
 )
 from ..functions.vectors import top_by_magnitude
 from .cleaning import literal_map, severity, translate_severity, verdict
+from .distributed import pin
 from .gate import anchor_flag
 
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -132,7 +133,7 @@ def event_violations() -> Column:
 
 def split_valid(df: DataFrame, codes: Column) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejects with their codes)."""
-    marked = df.withColumn("violations", codes)
+    marked = pin(df.withColumn("violations", codes))
     return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
 
 

@@ -10,7 +10,7 @@ from ..constants import BATCH_SIZE, GENESIS_HASH
 from ..functions.digests import sha256_hex
 from ..functions.merkle import merkle_levels, merkle_proof, merkle_root
 from ..functions.text import json_string
-from .distributed import ID_BUCKET_WIDTH, row_positions
+from .distributed import ID_BUCKET_WIDTH, pin, row_positions
 
 SEGMENT_BLOCKS = 1024
 
@@ -177,7 +177,7 @@ def chain_heads(blocks: DataFrame, chain: str, number: str = "block_number") ->
 def append_new(batch: DataFrame, log: DataFrame, key: str, order: str) -> DataFrame:
     """Rows that may be appended: the first of each id in the batch, unless the log has the id."""
     first = batch.groupBy(key).agg(F.min(F.struct(order, *[c for c in batch.columns if c not in (key, order)])).alias("r"))
-    return first.select(key, "r.*").select(*batch.columns).join(log.select(key), key, "left_anti")
+    return pin(first.select(key, "r.*").select(*batch.columns)).join(log.select(key), key, "left_anti")
 
 
 def event_history(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import content_address, parse_address
+from ..operators.distributed import pin
 
 COLUMNS = ["content_address", "payload", "size_bytes"]
 
@@ -29,7 +30,8 @@ def new_payloads(payloads: DataFrame, store: DataFrame, payload: str = "payload"
     rows = as_stored(payloads, payload).groupBy("content_address").agg(
         F.first("payload").alias("payload"), F.first("size_bytes").alias("size_bytes")
     )
-    return rows.join(store.select("content_address"), "content_address", "left_anti")
+    # pinned: an anti join is pushed below projections, which would repeat the digest expressions
+    return pin(rows).join(store.select("content_address"), "content_address", "left_anti")
 
 
 def put(spark: SparkSession, payloads: DataFrame, path: str, payload: str = "payload") -> None:
