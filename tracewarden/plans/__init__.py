@@ -6,10 +6,9 @@ from importlib import import_module
 
 from .catalog import REGISTRY, Query
 
-_MODULES = ["coverage_queries", "profile_queries", "cleaning_queries", "metric_queries", "sampling_queries", "evidence_queries", "ledger_queries", "report_queries", "flagship"]
-_LATER = [
-    "coverage_queries", "profile_queries", "cleaning_queries", "metric_queries", "sampling_queries",
-    "evidence_queries", "ledger_queries", "report_queries", "model_queries",
+_MODULES = [
+    "coverage_queries", "profile_queries", "cleaning_queries", "metric_queries", "sampling_queries", "evidence_queries",
+    "ledger_queries", "report_queries", "flagship", "model_queries",
 ]
 
 

@@ -9,6 +9,7 @@ from ..functions.canonical import with_canonical_json
 from ..functions.digests import alert_canonical_string, feature_text
 from ..functions.vectors import top_by_magnitude
 from ..operators import evidence as E
+from ..operators.distributed import pin
 from ..sources import store
 from . import bindings as B
 from .bindings import CLASSES, with_ctes
@@ -124,7 +125,9 @@ def topk_attributions(spark, sf):
 
 
 def stored_payloads(spark, sf):
-    return E.with_stored_payload(B.evidence_events(spark, sf))
+    """Events with payload text and address. Pinned, since here the store is computed and not a table."""
+    p = E.with_stored_payload(B.evidence_events(spark, sf))
+    return pin(p.select("row_id", "event", "payload", "size_bytes", *COMMITTED_FIELDS, "content_address"))
 
 
 @query("evidence_put", with_ctes("""

@@ -8,6 +8,7 @@ from ..functions.merkle import merkle_verify
 from ..operators import audit as A
 from ..operators import evidence as E
 from ..operators import ledger as G
+from ..operators.distributed import pin
 from . import bindings as B
 from .bindings import with_ctes
 from .catalog import query
@@ -85,6 +86,7 @@ def chain_verify(spark, sf):
 def records(spark, sf):
     """Committed records of the anchored events, signed by their agents."""
     p = E.with_stored_payload(B.decided(spark, sf).where("decision <> 'off_chain_only'"))
+    p = pin(p.select("row_id", "agent_id", "event", "content_address"))
     rec = E.committed_records(p, F.col("agent_id"), F.lit(None).cast("string"), carry=["row_id"])
     return A.sign(rec.drop("signature"), B.registry(spark, sf))
 
