@@ -17,6 +17,20 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
+def _double_member(name: str):
+    return lambda e: e[name].cast("double")
+
+
+def _holds_float(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_float(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds_float(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_float(dtype.valueType)
+    return isinstance(dtype, _FLOATING)
+
+
 class _Builder:
     """Walks a schema, and gathers the doubles that need exact text on the way."""
 
@@ -78,6 +92,7 @@ class _Builder:
                 lambda e, t: F.concat(quoted(e["key"]), F.lit(self.key_sep), F.coalesce(t, F.lit("null"))),
             )
         else:
+            self._require_no_float(dtype.valueType, path)
             body = F.transform(
                 entries,
                 lambda e: F.concat(quoted(e["key"]), F.lit(self.key_sep), self.render(e["value"], dtype.valueType, path)),
@@ -90,18 +105,22 @@ class _Builder:
             body = F.transform(self._texts(value.cast("array<double>")), lambda t: F.coalesce(t, F.lit("null")))
         elif isinstance(element, T.StructType) and self.exact and any(
             isinstance(f.dataType, _FLOATING) for f in element.fields
-        ):
+        ) and not any(_holds_float(f.dataType) for f in element.fields if not isinstance(f.dataType, _FLOATING)):
             body = self._struct_array(value, element)
         else:
+            self._require_no_float(element, path)
             body = F.transform(value, lambda e: self.render(e, element, path))
         return F.concat(F.lit("["), F.array_join(body, self.item_sep), F.lit("]"))
 
+    def _require_no_float(self, dtype: T.DataType, path: str) -> None:
+        """Inside a lambda no Arrow call is possible, so deeper floats have no exact form here."""
+        if self.exact and _holds_float(dtype):
+            raise TypeError(f"floats nested this deep need floats='six': {path}")
+
     def _struct_array(self, value: Column, element: T.StructType) -> Column:
         """Structs with double members: their texts come as one array per member."""
-        texts = {
-            f.name: self._texts(F.transform(value, lambda e, n=f.name: e[n].cast("double")))
-            for f in element.fields if isinstance(f.dataType, _FLOATING)
-        }
+        floating = [f.name for f in element.fields if isinstance(f.dataType, _FLOATING)]
+        texts = {name: self._texts(F.transform(value, _double_member(name))) for name in floating}
         fields = sorted(element.fields, key=lambda f: f.name.encode())
 
         def one(e: Column, i: Column) -> Column:

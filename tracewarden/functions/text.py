@@ -7,7 +7,9 @@ arbitrary doubles, where the JVM's own text rules differ from the contract's.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,10 @@ def fixed6(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.6f", value))
 
 
-@F.pandas_udf(T.StringType())
-def fixed6_exact(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fixed6_exact(values: pa.Array) -> pa.Array:
     """``%.6f`` rounding the exact binary value, for doubles that were never rounded."""
-    return values.map(lambda v: f"{v:.6f}", na_action="ignore")
+    return pa.array([None if v is None else f"{v:.6f}" for v in values.to_pylist()], pa.string())
 
 
 def repr6(value: Column) -> Column:
@@ -42,27 +44,24 @@ def repr6(value: Column) -> Column:
     return F.when(F.abs(value).between(1e-7, 0.9999e-4), tiny).otherwise(plain)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def repr_exact(groups: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def repr_exact(groups: pa.Array) -> pa.Array:
     """Shortest round-trip text for every double of a nested array, one Arrow call per batch.
 
-    NaN and infinities have no canonical text, so they fail the task instead of being written.
+    Arrow keeps null apart from NaN. NaN and infinities have no canonical text, so they fail the
+    task instead of being written.
     """
 
     def one(number):
-        if number is None:
-            return None
-        number = float(number)
-        if number != number or number in (float("inf"), float("-inf")):
+        if number is not None and not math.isfinite(number):
             raise ValueError("NaN and infinity have no canonical form")
-        return repr(number)
-
-    def row(arrays):
-        if arrays is None:
-            return None
-        return [None if a is None else [one(n) for n in a] for a in arrays]
+        return None if number is None else repr(number)
 
-    return groups.map(row)
+    rows = [
+        None if row is None else [None if group is None else [one(n) for n in group] for group in row]
+        for row in groups.to_pylist()
+    ]
+    return pa.array(rows, pa.list_(pa.list_(pa.string())))
 
 
 def quoted(value: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, ProbabilisticClassificationModel,
+    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
@@ -21,7 +22,7 @@ from ..constants import SEED, THRESHOLD_GRID
 from ..functions.digests import hash_rank_key
 from ..functions.vectors import argmax_index, cascade, literal_array, threshold_argmax, top_by_magnitude
 from .cleaning import impute, mask_outliers, severity
-from .distributed import HASH_BUCKET_CHARS, id_bucket, running_totals
+from .distributed import HASH_BUCKET_CHARS, running_totals
 from .gate import anchor_flag
 from .metrics import class_weights, confusion, multiclass_metrics, per_class_metrics
 
@@ -126,16 +127,20 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): mean accuracy lost when one column is shuffled.
 
-    A repeat pairs every row with a donor: its rank by id meets the donor's rank by seeded hash.
-    Both ranks are bucketed, so no task sorts the table. All variants of a row are scored together.
+    A repeat pairs every row with a donor: the row's rank by one seeded hash of its id meets the
+    donor's rank by another. Ranks are bucketed, so no task sorts the table. All variants of a row
+    are scored together.
     """
     slim = df.select(row_id, label, *features)
     parts = None
     for r in range(repeats):
-        one = slim.withColumns({"_one": F.lit(1).cast("long"), "_h": hash_rank_key(F.col(row_id), seed + r)})
-        own = running_totals(one, row_id, ["_one"], bucket=id_bucket(row_id)).withColumnRenamed("_one_before", "_at")
-        donor = running_totals(one.select("_one", "_h", *features), "_h", ["_one"], bucket=F.substring("_h", 1, HASH_BUCKET_CHARS))
-        donor = donor.select(F.col("_one_before").alias("_at"), *[F.col(f).alias(f"_d_{f}") for f in features])
+        one = slim.withColumn("_one", F.lit(1).cast("long"))
+        bucket = F.substring("_h", 1, HASH_BUCKET_CHARS)
+        own, donor = (
+            running_totals(one.withColumn("_h", hash_rank_key(F.col(row_id), seed + r)), "_h", ["_one"], bucket=bucket)
+            .withColumnRenamed("_one_before", "_at") for r in (-1, r)
+        )
+        donor = donor.select("_at", *[F.col(f).alias(f"_d_{f}") for f in features])
         paired = own.select("_at", label, *features).join(donor, "_at")
         variants = [F.struct(F.lit("").alias("feature"), *[F.col(f) for f in features])] + [
             F.struct(F.lit(v).alias("feature"), *[F.col(f"_d_{f}" if f == v else f).alias(f) for f in features]) for v in features
@@ -274,23 +279,30 @@ def score_batch(
 
 
 def occlusion_attributions(
-    df: DataFrame, model: Transformer, row_id: str, features: list[str], classes: list[str], medians: dict[str, float], k: int = 5
+    df: DataFrame, model: ProbabilisticClassificationModel, features: list[str], classes: list[str],
+    medians: dict[str, float], k: int = 5,
 ) -> DataFrame:
-    """(row_id, predicted_class, attributions): probability of the chosen class lost when a feature is
-    replaced by its train median. All variants of a row are scored in one pass."""
-    variants = [F.struct(F.lit(-1).alias("i"), *[F.col(f) for f in features])] + [
-        F.struct(F.lit(i).alias("i"), *[F.lit(medians[f]).alias(f) if f == v else F.col(f) for f in features])
-        for i, v in enumerate(features)
-    ]
-    rows = df.select(row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("_values"), F.inline(F.array(*variants)))
-    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows))
-    per_row = scored.groupBy(row_id).agg(  # features + 1 entries per row
-        F.first("_values").alias("_values"), F.map_from_entries(F.collect_list(F.struct("i", vector_to_array("probability").alias("p")))).alias("_m"))
-    base = F.col("_m")[F.lit(-1)]
-    chosen = argmax_index(base)
+    """Add ``predicted_class`` and ``attributions``: the probability of the chosen class that is lost
+    when a feature is replaced by its train median.
+
+    Each variant is one more score column of the same row, so nothing is exploded or shuffled.
+    """
+
+    def scored(frame: DataFrame, inputs: list[str], tag: str) -> DataFrame:
+        vector = VectorAssembler(inputCols=inputs, outputCol=f"_x{tag}", handleInvalid="keep").transform(frame)
+        variant = model.copy().setFeaturesCol(f"_x{tag}").setProbabilityCol(f"_p{tag}").setRawPredictionCol("").setPredictionCol("")
+        return variant.transform(vector).withColumn(f"_p{tag}", vector_to_array(f"_p{tag}")).drop(f"_x{tag}")
+
+    out = scored(df, features, "")
+    for i, f in enumerate(features):
+        out = out.withColumn("_median", F.lit(float(medians[f])))
+        out = scored(out, ["_median" if g == f else g for g in features], str(i)).drop("_median")
+    out = out.withColumn("_chosen", argmax_index(F.col("_p")))
     items = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.get("_values", F.lit(i)).alias("value"),
-                 (F.get(base, chosen) - F.get(F.col("_m")[F.lit(i)], chosen)).alias("shap"))
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                 (F.get("_p", F.col("_chosen")) - F.get(f"_p{i}", F.col("_chosen"))).alias("shap"))
         for i, f in enumerate(features)
     ])
-    return per_row.select(row_id, F.get(literal_array(classes), chosen).alias("predicted_class"), top_by_magnitude(items, "shap", k).alias("attributions"))
+    return out.withColumns({
+        "predicted_class": F.get(literal_array(classes), F.col("_chosen")), "attributions": top_by_magnitude(items, "shap", k),
+    }).drop("_p", "_chosen", *[f"_p{i}" for i in range(len(features))])

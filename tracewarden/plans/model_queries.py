@@ -35,8 +35,8 @@ def rf_importance(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    # one id per line: orders hold at most a handful of lines
-    val = _split(spark, sf, "val").withColumn("row_id", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    val = _split(spark, sf, "val").withColumn("row_id", key)
     return L.permutation_importance(_forest(spark, sf), val, "row_id", _FEATURES, "category", B.LINE_CLASSES)
 
 
@@ -93,7 +93,6 @@ def score_batch(spark, sf):
 def occlusion(spark, sf):
     train = _split(spark, sf, "train")
     medians = {r["feature"]: r["median"] for r in cleaning.fit_medians(train, _FEATURES).collect()}  # one per feature
-    test = _split(spark, sf, "test").withColumn("row_id", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    out = L.occlusion_attributions(test, _forest(spark, sf), "row_id", _FEATURES, B.LINE_CLASSES, medians, 2)
-    return out.select("row_id", "predicted_class", F.posexplode("attributions").alias("rank", "a")).select(
-        "row_id", "predicted_class", "rank", "a.feature", F.col("a.shap").alias("contribution"))
+    out = L.occlusion_attributions(_split(spark, sf, "test"), _forest(spark, sf), _FEATURES, B.LINE_CLASSES, medians, 2)
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "predicted_class", F.posexplode("attributions").alias("rank", "a")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "predicted_class", "rank", "a.feature", F.col("a.shap").alias("contribution"))
