@@ -54,10 +54,13 @@ def running_totals(
     by = by or []
     totals = [F.sum(m).alias(f"{m}_total") for m in measures]
     if bucket is None:
-        steps = [i / cuts for i in range(1, cuts)]
+        side = max(2, int(cuts ** 0.5))
+        steps = [i / side ** 2 for i in range(1, side ** 2)]
         summary = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"), *totals)
+        every = F.sequence(F.lit(side - 1), F.lit(side * side - 2), F.lit(side))
+        summary = summary.withColumn("_coarse", F.transform(every, lambda i: F.get("_cuts", i)))
         keyed = _attach(df, summary, by)
-        keyed = keyed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+        keyed = keyed.withColumn("_bucket", _cut_index(F.col(order), side)).drop("_cuts", "_coarse")
     else:
         summary = df.groupBy(*by).agg(*totals)
         keyed = _attach(df.withColumn("_bucket", bucket), summary, by)
@@ -77,6 +80,13 @@ def running_totals(
     }).drop("_k", "_bucket", *[f"_off_{m}" for m in measures])
 
 
+def _cut_index(value: Column, side: int) -> Column:
+    """Number of cuts below a value, looking at 2 * side of the side * side cuts."""
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    coarse = below(F.col("_coarse"))
+    return coarse * side + below(F.slice(F.col("_cuts"), coarse * side + 1, F.lit(side - 1)))
+
+
 def _attach(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
     """Add per-group summary columns; a whole-table summary comes in as a scalar subquery."""
     if by:

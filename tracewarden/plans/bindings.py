@@ -16,7 +16,7 @@ from ..operators import evidence
 from ..operators.cleaning import verdict
 from ..operators.gate import GatePolicy
 from ..operators.ledger import assign_batches
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 CLASSES = ["Benign", "Bot", "DDoS", "Infiltration"]
 EVENT_MAP = {"view": "Benign", "click": "Benign", "signup": "Bot", "purchase": "DDoS", "error": "Infiltration"}
@@ -181,8 +181,10 @@ def _category(event_type: Column) -> Column:
     return out
 
 
-def flow(spark: SparkSession, sf: str) -> DataFrame:
+def flow(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    """Flow view of ``events``; ``heavy`` says that much work per row follows."""
     e = table(spark, sf, "events")
+    e = spread(e) if heavy else e
     own = _category(F.col("event_type"))
     other = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("event_id") % 4 + 1).cast("int"))
     return e.select(
@@ -206,7 +208,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Wide numeric table with a constant and a perfectly correlated column, split by order."""
-    l = table(spark, sf, "lineitem")
+    l = spread(table(spark, sf, "lineitem"))
     part = F.col("l_orderkey") % 5
     return l.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -217,7 +219,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_for_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    f = flow(spark, sf)
+    f = flow(spark, sf, heavy=True)
     user, row = F.col("user_id"), F.col("row_id")
     octets = lambda prefix, a, b: F.concat(F.lit(prefix), a.cast("string"), F.lit("."), b.cast("string"))
     return f.select(

@@ -8,7 +8,7 @@ from ..operators import ordering as O
 from ..operators import profile as P
 from ..operators import sets
 from ..operators.selection import feature_rank, stump_screen
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import bindings as B
 from .bindings import with_ctes
 from .catalog import query
@@ -128,13 +128,13 @@ _STATS = " UNION ALL ".join(
 
 @query("feature_stats", f"SELECT feature, round(median, 6) AS median, round(p05, 6) AS p05, round(p95, 6) AS p95, min, max FROM ({_STATS})")
 def feature_stats(spark, sf):
-    return rounded(P.feature_stats(table(spark, sf, "lineitem"), _NUM))
+    return rounded(P.feature_stats(spread(table(spark, sf, "lineitem")), _NUM))
 
 
 @query("class_medians", "SELECT l_returnflag, feature, round(median, 6) AS median FROM (" + " UNION ALL ".join(
     f"SELECT l_returnflag, '{c}' AS feature, quantile_cont({c}, 0.5) AS median FROM lineitem GROUP BY l_returnflag" for c in _NUM) + ")")
 def class_medians(spark, sf):
-    return rounded(P.class_medians(table(spark, sf, "lineitem"), "l_returnflag", _NUM))
+    return rounded(P.class_medians(spread(table(spark, sf, "lineitem")), "l_returnflag", _NUM))
 
 
 @query("variant_counts", with_ctes("SELECT category, attack, count(*) AS n FROM flow GROUP BY category, attack", "flow"))

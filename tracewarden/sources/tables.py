@@ -8,3 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Scan of one table; column pruning and filters are left to Catalyst."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the cluster has cores.
+
+    A file with a single row group is one task however large the cluster is, and work per row
+    (digests, model scoring) then runs on one core. A table with enough splits is returned as it is,
+    so big inputs pay no shuffle; tiny ones are not worth it.
+    """
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_MIN_BYTES:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
