@@ -129,3 +129,15 @@ def test_plans_have_no_cross_join_and_push_filters(spark, data):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     scan = B.flow(spark, data).where("user_id = 3").select("row_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,3)" in scan and "props" not in scan
+
+
+def test_replayed_alerts_are_valid_and_hit_the_ratio(spark, data):
+    from tracewarden.operators.evidence import alert_violations
+    from tracewarden.plans import bindings as B
+
+    draws = B.flow(spark, data).select(F.col("row_id").alias("draw"))
+    out = sampling.replay_resample(B.alerts(spark, data), "row_id", draws, "draw", 0.25, 10, width=100)
+    r = out.agg(
+        F.count("*").alias("n"), F.avg((F.col("verdict") == "ANOMALY").cast("double")).alias("ratio"),
+        F.count_if(F.size(alert_violations(["k", "value"])) > 0).alias("bad"), F.count_distinct("event_id").alias("ids")).first()
+    assert r["n"] == r["ids"] == draws.count() and abs(r["ratio"] - 0.25) < 0.05 and r["bad"] == 0

@@ -51,6 +51,12 @@ def test_links_are_sequential_within_segments_and_tied_by_the_spine(spark):
     spine = [r for r in G.segment_spine(blocks, "chain").orderBy("chain", "segment").collect() if r["chain"] == "a"]
     assert [s["head_hash"] for s in spine] == [rows[("a", i)]["hash"] for i in (9, 19, 24)]
     assert spine[1]["spine_hash"] == digest(spine[0]["spine_hash"] + spine[1]["head_hash"])
+    seals = G.chain_seal(blocks, "chain", width=2, levels=2).collect()
+    assert len({r["seal"] for r in seals}) == 2
+    edited = blocks.withColumn("hash", F.when(F.col("block_number") == 9, F.sha2("hash", 256)).otherwise(F.col("hash")))
+    assert not {r["seal"] for r in seals} & {r["seal"] for r in G.chain_seal(edited, "chain", width=2, levels=2).collect()}
+    with pytest.raises(Exception, match="raise levels"):
+        G.chain_seal(blocks, "chain", width=2, levels=1).collect()
     assert all(r["intact"] for r in G.chain_status(G.verify_chain(blocks, "chain", segment_blocks=10), "chain").collect())
 
 

@@ -26,6 +26,13 @@ def sign(records: DataFrame, registry: DataFrame, digest: str = "payload_digest"
     return records.join(pads, agent, "left").withColumn("signature", keyed_digest(digest)).drop("_inner", "_outer")
 
 
+def verify_signatures(records: DataFrame, registry: DataFrame, digest: str = "payload_digest") -> DataFrame:
+    """Add ``signature_ok``; unknown agents and missing signatures are false."""
+    joined = records.join(key_pads(registry), "agent_id", "left")
+    ok = F.coalesce(keyed_digest(digest) == F.lower("signature"), F.lit(False))
+    return joined.withColumn("signature_ok", ok).drop("_inner", "_outer")
+
+
 def audit(
     records: DataFrame, payloads: DataFrame, registry: DataFrame, provenance: DataFrame
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_CUTS = 256
 ID_BUCKET_WIDTH = 262_144
-HASH_BUCKET_CHARS = 4
+HASH_BUCKET_CHARS = 5  # about a million buckets
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -119,23 +119,48 @@ def link_blocks(
     )
 
 
-def segment_spine(blocks: DataFrame, chain: str, number: str = "block_number") -> DataFrame:
-    """(chain, segment, head_hash, spine_hash): each closed or open segment's last hash, linked in order.
-
-    One row per segment, i.e. events / (batch size * segment size).
-    """
-    tips = blocks.groupBy(chain, "segment").agg(F.max_by("hash", number).alias("head_hash"))
-    per_chain = tips.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("segment", "head_hash"))).alias("tips"))
+def _fold(heads: DataFrame, chain: str, width: int) -> DataFrame:
+    """Link (chain, position, head_hash) rows in groups of ``width`` consecutive positions."""
+    groups = heads.withColumn("spine", F.floor(F.col("position") / width)).groupBy(chain, "spine").agg(
+        F.array_sort(F.collect_list(F.struct("position", "head_hash"))).alias("tips"))
+    groups = groups.withColumn("start", segment_genesis(F.col(chain), F.col("spine")))
     empty = F.array().cast("array<string>")
 
     def append(acc: Column, tip: Column) -> Column:
-        previous = F.when(F.size(acc) == 0, F.lit(GENESIS_HASH)).otherwise(F.element_at(acc, -1))
+        previous = F.when(F.size(acc) == 0, F.col("start")).otherwise(F.element_at(acc, -1))
         return F.concat(acc, F.array(sha256_hex(F.concat(previous, tip["head_hash"]))))
 
-    return per_chain.withColumn("spine", F.aggregate("tips", empty, append)).select(
-        chain, F.inline(F.arrays_zip("tips", "spine"))
-    ).select(chain, F.col("tips.segment").alias("segment"), F.col("tips.head_hash").alias("head_hash"),
-             F.col("spine").alias("spine_hash"))
+    return groups.withColumn("links", F.aggregate("tips", empty, append)).select(
+        chain, "spine", F.inline(F.arrays_zip("tips", "links"))
+    ).select(chain, "spine", F.col("tips.position").alias("position"), F.col("tips.head_hash").alias("head_hash"),
+             F.col("links").alias("spine_hash"))
+
+
+def _segment_heads(blocks: DataFrame, chain: str, number: str) -> DataFrame:
+    return blocks.groupBy(chain, F.col("segment").alias("position")).agg(F.max_by("hash", number).alias("head_hash"))
+
+
+def segment_spine(blocks: DataFrame, chain: str, number: str = "block_number", width: int = SEGMENT_BLOCKS) -> DataFrame:
+    """(chain, spine, segment, head_hash, spine_hash): the last hash of each segment, linked in order.
+
+    A spine covers ``width`` segments, so no group grows with the chain; ``chain_seal`` goes on upward.
+    """
+    return _fold(_segment_heads(blocks, chain, number), chain, width).withColumnRenamed("position", "segment")
+
+
+def chain_seal(
+    blocks: DataFrame, chain: str, number: str = "block_number", width: int = SEGMENT_BLOCKS, levels: int = 3
+) -> DataFrame:
+    """(chain, seal): one hash that commits to a whole chain of up to width^levels segments.
+
+    Every level folds the ends of the level below in groups of ``width``.
+    """
+    heads = _segment_heads(blocks, chain, number)
+    for _ in range(levels):
+        folded = _fold(heads, chain, width)
+        heads = folded.groupBy(chain, F.col("spine").alias("position")).agg(F.max_by("spine_hash", "position").alias("head_hash"))
+    return heads.groupBy(chain).agg(
+        F.when(F.count("*") == 1, F.max("head_hash")).otherwise(F.raise_error(F.lit("chain too long: raise levels"))).alias("seal"))
 
 
 def verify_chain(

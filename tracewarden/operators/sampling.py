@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BENIGN_KEEP_FRACTION, SEED
-from ..functions.digests import hash_rank_key
-from .distributed import HASH_BUCKET_CHARS, null_safe_join, value_at_positions
+from ..functions.digests import alert_canonical_string, hash_rank_key, sha256_hex, uuid5
+from .distributed import HASH_BUCKET_CHARS, ID_BUCKET_WIDTH, null_safe_join, row_positions, value_at_positions
 
 
 def sample_by_quota(
@@ -113,3 +113,36 @@ def quota_sample(df: DataFrame, row_id: str, label: str, wanted: dict[str, int],
 
 def shuffled(df: DataFrame, row_id: str, seed: int = SEED) -> DataFrame:
     return df.orderBy(hash_rank_key(F.col(row_id), seed))
+
+
+def _fraction(index: Column, salt: str) -> Column:
+    """Deterministic draw in [0, 1) from 32 bits of a salted hash."""
+    word = F.substring(sha256_hex(F.concat(index.cast("string"), F.lit(":" + salt))), 1, 8)
+    return F.conv(word, 16, 10).cast("double") / 4294967296.0
+
+
+def replay_resample(
+    alerts: DataFrame, order: str, draws: DataFrame, index: str, attack_ratio: float, resources: int,
+    seed: int = SEED, width: int = ID_BUCKET_WIDTH,
+) -> DataFrame:
+    """One replayed alert per row of ``draws``: an attack with the given probability, a random member
+    of that pool, a new id and one of ``resources`` resource names.
+
+    Class, features and confidence stay the original's; the event hash is computed again, because id
+    and resource are inside it. Draws spread evenly over the pool, so the join has no hot key.
+    """
+    attack = (F.col("verdict") == "ANOMALY").alias("_attack")
+    pool = row_positions(alerts.select("*", attack), order, ["_attack"], "_slot", width)
+    counts = pool.groupBy("_attack").agg(F.max("_slot_total").alias("n"))
+    sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("_attack", "n"))).alias("m")).scalar()  # two entries
+    i = F.col(index)
+    picks = draws.select(i.alias("_index"), (_fraction(i, f"{seed}:class") < attack_ratio).alias("_attack"), sizes.alias("_sizes"))
+    slot = F.floor(_fraction(F.col("_index"), f"{seed}:slot") * F.col("_sizes")[F.col("_attack")])
+    picks = picks.withColumn("_slot", slot.cast("long")).drop("_sizes")
+    joined = picks.join(pool.drop("_slot_total"), ["_attack", "_slot"])
+    name = F.concat(F.lit("i-load-"), F.lpad((F.col("_index") % resources).cast("string"), 6, "0"))
+    renamed = joined.withColumns({
+        "source_event_id": F.col("event_id"), "event_id": uuid5(F.concat(F.lit("replay/"), F.col("_index").cast("string"))),
+        "cloud_resource_id": name,
+    })
+    return renamed.withColumn("event_hash", sha256_hex(alert_canonical_string())).drop("_attack", "_slot").withColumnRenamed("_index", index)

@@ -209,3 +209,17 @@ def compliance_report(spark, sf):
 def hmac_sign(spark, sf):
     """Keyed digests of the anchored events (no HMAC in the reference SQL dialect)."""
     return A.sign(_log(spark, sf), B.registry(spark, sf)).select("event_id", "agent_id", "signature")
+
+
+@query("hmac_verify", with_ctes("", "decided", "registry").rstrip() + f""", {_LOG}
+SELECT event_id, agent_id IN (SELECT agent_id FROM registry) AND row_id % 3 <> 0 AS signature_ok FROM log""")
+def hmac_verify(spark, sf):
+    signed = A.sign(_log(spark, sf), B.registry(spark, sf))
+    forged = F.when(F.col("row_id") % 3 == 0, F.sha2("signature", 256)).otherwise(F.col("signature"))
+    return A.verify_signatures(signed.withColumn("signature", forged), B.registry(spark, sf)).select("event_id", "signature_ok")
+
+
+@query("chain_seal")
+def chain_seal(spark, sf):
+    """One committing hash per chain (the fold differs from plain SQL recursion, so rows only)."""
+    return G.chain_seal(linked(spark, sf), "chain")

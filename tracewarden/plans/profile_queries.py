@@ -103,12 +103,13 @@ def split_counts(spark, sf):
     return P.split_counts(split_events(spark, sf), "split", "event_type")
 
 
-@query("split_class_diff", f"""WITH {_SPLIT}
-SELECT s.split, u.user_id::VARCHAR AS class FROM (SELECT DISTINCT split FROM parts) s CROSS JOIN (SELECT DISTINCT user_id FROM parts) u
-WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.split = s.split AND p.user_id = u.user_id)""")
+@query("split_class_diff", f"""WITH {_SPLIT}, c AS (SELECT split, event_type || '-' || regexp_extract(props, '[0-9]+') AS class FROM parts)
+SELECT s.split, u.class FROM (SELECT DISTINCT split FROM c) s CROSS JOIN (SELECT DISTINCT class FROM c) u
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.split = s.split AND c.class = u.class)""")
 def split_class_diff(spark, sf):
-    keyed = split_events(spark, sf).withColumn("label", F.col("user_id").cast("string"))
-    return sets.missing_classes(keyed, "split", "label")
+    # a fixed set of some hundred labels, so that a small split misses some
+    label = F.concat("event_type", F.lit("-"), F.get_json_object("props", "$.k"))
+    return sets.missing_classes(split_events(spark, sf).withColumn("label", label), "split", "label")
 
 
 @query("label_set_diff", """

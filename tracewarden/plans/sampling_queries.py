@@ -59,3 +59,17 @@ def quota_sample(spark, sf):
     wanted = {"Benign": 100, "DDoS": 50, "Bot": bots + 11, "Infiltration": 50}
     return S.quota_sample(f, "row_id", "category", wanted).groupBy("category").agg(
         F.count("*").alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
+_DRAW = "CAST('0x' || substr(sha256(event_id::VARCHAR || ':42:{}'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0"
+
+
+@query("replay_resample", with_ctes("", "unhashed").rstrip() + f""",
+pool AS (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY row_id) - 1 AS slot, count(*) OVER (PARTITION BY verdict) AS n FROM unhashed),
+d AS (SELECT event_id AS i, CASE WHEN {_DRAW.format('class')} < 0.25 THEN 'ANOMALY' ELSE 'NORMAL' END AS v, {_DRAW.format('slot')} AS u FROM events)
+SELECT i AS draw, p.event_id AS source_event_id, p.threat_class, 'i-load-' || lpad((i % 500)::VARCHAR, 6, '0') AS cloud_resource_id
+FROM d JOIN pool p ON p.verdict = d.v AND p.slot = floor(d.u * p.n)""")
+def replay_resample(spark, sf):
+    draws = B.flow(spark, sf).select(F.col("row_id").alias("draw"))
+    out = S.replay_resample(B.alerts(spark, sf), "row_id", draws, "draw", 0.25, 500, width=B.BUCKET)
+    return out.select("draw", "source_event_id", "threat_class", "cloud_resource_id")
