@@ -52,26 +52,28 @@ def running_totals(
     themselves are exact. Group totals and borders come from one bounded aggregate per group.
     """
     by = by or []
-    totals = [F.sum(m).alias(f"{m}_total") for m in measures]
     if bucket is None:
         side = max(2, int(cuts ** 0.5))
         steps = [i / side ** 2 for i in range(1, side ** 2)]
+        # the totals also keep this branch's input identical to the others', so its exchange is reused
+        totals = [F.sum(m).alias(f"{m}_total") for m in measures]
         summary = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"), *totals)
         every = F.sequence(F.lit(side - 1), F.lit(side * side - 2), F.lit(side))
         summary = summary.withColumn("_coarse", F.transform(every, lambda i: F.get("_cuts", i)))
         keyed = _attach(df, summary, by)
         keyed = keyed.withColumn("_bucket", _cut_index(F.col(order), side)).drop("_cuts", "_coarse")
     else:
-        summary = df.groupBy(*by).agg(*totals)
-        keyed = _attach(df.withColumn("_bucket", bucket), summary, by)
+        keyed = df.withColumn("_bucket", bucket)
 
     group = F.struct(*by, "_bucket").alias("_k")
-    bucketed = df.withColumn("_bucket", bucket) if bucket is not None else keyed
-    per_bucket = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        group, *[F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures]
-    )
+    per_bucket = keyed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
+    whole = W.partitionBy(*by)
+    earlier = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures]
+    if bucket is not None:
+        # group totals ride along, so the rows are never joined (or shuffled) by group alone
+        offsets += [F.sum(f"_sum_{m}").over(whole).alias(f"{m}_total") for m in measures]
+    offsets = per_bucket.select(group, *offsets)
     # join and window share the key, so the rows move once
     joined = keyed.withColumn("_k", group).join(offsets, "_k")
     inside = W.partitionBy("_k").orderBy(order).rowsBetween(W.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SPLIT_FRACTIONS
@@ -23,11 +23,6 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def _scalar_cut(df: DataFrame, order: str, target: DataFrame, width: int) -> Column:
-    """Order value at a rank, as a scalar; null when the rank lies past the end."""
-    return value_at_positions(df, order, id_bucket(order, width), target).agg(F.min(order)).scalar()
-
-
 def positional_split(
     df: DataFrame, order: str, fractions: tuple[float, float, float] = SPLIT_FRACTIONS,
     out: str = "split", width: int = ID_BUCKET_WIDTH,
@@ -37,20 +32,20 @@ def positional_split(
     Only two border ids are looked up, through a histogram of the id column, and then every row is
     classified by comparison: the rows themselves are not shuffled.
     """
-    ends = df.agg(F.count("*").alias("n")).select(
-        F.floor(F.col("n") * fractions[0]).alias("a"), F.floor(F.col("n") * fractions[1]).alias("b")
-    )
-    train_end = ends.select(F.col("a").cast("long").alias("_target"))
-    val_end = ends.select((F.col("a") + F.col("b")).cast("long").alias("_target"))
-    first_val, first_test = (_scalar_cut(df, order, t, width) for t in (train_end, val_end))
-    return (
-        df.withColumn("_v", first_val).withColumn("_t", first_test)
-        .withColumn(
-            out,
-            F.when(F.col("_v").isNull() | (F.col(order) < F.col("_v")), "train")
-            .when(F.col("_t").isNull() | (F.col(order) < F.col("_t")), "val").otherwise("test"),
-        ).drop("_v", "_t")
+    n = F.col("n")
+    train, val = (F.floor(n * f).cast("long") for f in fractions[:2])
+    ends = df.agg(F.count("*").alias("n")).select(train.alias("first_val"), (train + val).alias("first_test"))
+    targets = ends.select(F.explode(F.array_distinct(F.array("first_val", "first_test"))).alias("_target"))
+    found = value_at_positions(df, order, id_bucket(order, width), targets)
+    ids = found.agg(F.map_from_entries(F.collect_list(F.struct("_target", order))).alias("m")).scalar()  # at most two
+    marked = df.withColumn("_ids", ids).withColumn("_ends", ends.select(F.struct("*").alias("e")).scalar())
+    # a rank past the last row finds no id: then nothing lies beyond that border
+    first_val, first_test = (F.try_element_at("_ids", F.col("_ends")[c]) for c in ("first_val", "first_test"))
+    split = (
+        F.when(first_val.isNull() | (F.col(order) < first_val), "train")
+        .when(first_test.isNull() | (F.col(order) < first_test), "val").otherwise("test")
     )
+    return marked.withColumn(out, split).drop("_ids", "_ends")
 
 
 def row_position(df: DataFrame, order: str, width: int = ID_BUCKET_WIDTH) -> DataFrame:
