@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_CUTS = 256
+MAX_SETTLED_GROUPS = 2048  # of about 2 kB each
 ID_BUCKET_WIDTH = 262_144
 HASH_BUCKET_CHARS = 5  # about a million buckets
 
@@ -49,18 +52,18 @@ def running_totals(
     ``df`` holds one row per (by, order). Adds ``<m>_before`` and ``<m>_total``. Without an
     order-preserving ``bucket`` expression, bucket borders are approximate quantiles of the order
     column, so a bucket holds about 1/``cuts`` of a group whatever the distribution; the sums
-    themselves are exact. Group totals and borders come from one bounded aggregate per group.
+    themselves are exact. Borders are evaluated when the frame is built, and only once.
     """
     by = by or []
     if bucket is None:
         side = max(2, int(cuts ** 0.5))
         steps = [i / side ** 2 for i in range(1, side ** 2)]
-        # the totals also keep this branch's input identical to the others', so its exchange is reused
         totals = [F.sum(m).alias(f"{m}_total") for m in measures]
         summary = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"), *totals)
+        summary, small = _settled(summary)
         every = F.sequence(F.lit(side - 1), F.lit(side * side - 2), F.lit(side))
         summary = summary.withColumn("_coarse", F.transform(every, lambda i: F.get("_cuts", i)))
-        keyed = _attach(df, summary, by)
+        keyed = _attach(df, F.broadcast(summary) if small and by else summary, by)
         keyed = keyed.withColumn("_bucket", _cut_index(F.col(order), side)).drop("_cuts", "_coarse")
     else:
         keyed = df.withColumn("_bucket", bucket)
@@ -82,6 +85,21 @@ def running_totals(
     }).drop("_k", "_bucket", *[f"_off_{m}" for m in measures])
 
 
+def _settled(summary: DataFrame) -> tuple[DataFrame, bool]:
+    """The borders evaluated once, and whether they are small.
+
+    Approximate quantiles depend on the order in which partial sketches are merged. Evaluated again
+    in another branch (or after a lost executor) they could differ, and rows would then be counted in
+    one bucket and offset by another. Up to ``MAX_SETTLED_GROUPS`` groups are kept on the driver; more
+    are written as a checkpoint.
+    """
+    rows = summary.limit(MAX_SETTLED_GROUPS + 1).collect()
+    if len(rows) <= MAX_SETTLED_GROUPS:
+        return summary.sparkSession.createDataFrame(rows, summary.schema), True
+    ensure_checkpoint_dir(summary.sparkSession)
+    return summary.checkpoint(), False
+
+
 def _cut_index(value: Column, side: int) -> Column:
     """Number of cuts below a value, looking at 2 * side of the side * side cuts."""
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
