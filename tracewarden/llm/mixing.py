@@ -74,7 +74,7 @@ def source_targets(sources: DataFrame, source: str, size: str, weights: tuple[in
 def mix_events(
     events: DataFrame, event_id: str = "event_id", source: str = "cloud_resource_id", canonical_string: str = "canonical_string",
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 64,
-    shard_tokens: int = 1 << 22, seed: int = 42,
+    shard_tokens: int = 1 << 20, seed: int = 42,
 ) -> DataFrame:
     """How many tokens (words) of each event text a mix of the sources takes.
 

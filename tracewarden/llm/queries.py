@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, mixing, packing, reference_sql, tokens
+from . import chat, language, mixing, neardup, packing, reference_sql, tokens, vectors
 
 PAYLOADS = {"doc_id": "event_id", "text": "canonical_string", "source": "cloud_resource_id"}
 
@@ -27,6 +27,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("event_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def remainder(key: str, divisor: int) -> Column:
+    """crc32 of an id as text, modulo ``divisor``."""
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(divisor))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = payloads(spark, sf_dir)
+    held_out = remainder("event_id", 4) == 2
+    model = language.fit_languages(texts, vocabulary("byte_bpe_50k.json"), where=~held_out)
+    found = language.identify_languages(texts, model).withColumn("held_out", held_out)
+    return found.select(F.col("event_id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "<|im_end|><|im_start|>assistant ok"
@@ -40,6 +53,16 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(spark, manifest, dict(texts.dtypes)["event_id"]).withColumnRenamed("event_id", "doc_id")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_duplicates(payloads(spark, sf_dir), width=4, percent=80)
+    return classes.withColumnRenamed("event_id", "doc_id")
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors_ = table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "event_id", "embedding": "features"})
+    return vectors.near_vectors(vectors_, threshold=0.9).withColumnRenamed("event_id", "vec_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_events(payloads(spark, sf_dir), vocabulary("byte_bpe_50k.json"), sequence_tokens=2048, end_id=1)
     return packed.withColumnsRenamed({"event_id": "doc_id", "event_tokens": "doc_tokens"})
@@ -47,8 +70,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_token_shards": op4_token_shards,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op8_near_vectors": op8_near_vectors,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL = {"op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT}
+ORACLE_SQL = {"op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT, "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS}

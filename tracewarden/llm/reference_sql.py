@@ -19,7 +19,7 @@ opened AS (SELECT *, min(CASE WHEN level * w <= cap THEN i END) OVER () AS open
 targets AS (
     SELECT source, source_size, budget,
         CASE WHEN i < open OR open IS NULL THEN cap ELSE max(CASE WHEN i = open THEN level END) OVER () * w END AS target,
-        CAST(floor(budget / 64) AS BIGINT) AS seats, greatest(CAST(ceil(source_size / 4194304) AS BIGINT), 1) AS shards
+        CAST(floor(budget / 64) AS BIGINT) AS seats, greatest(CAST(ceil(source_size / 1048576) AS BIGINT), 1) AS shards
     FROM opened),
 bounds AS (
     SELECT *, CASE WHEN seats > 0 AND sum(target) OVER () > 0 THEN target * seats / sum(target) OVER () ELSE 0 END AS q,
@@ -85,3 +85,34 @@ told AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM told
 """
+
+NEAR_TEXTS = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+elements AS (SELECT doc_id, unnest(s) AS e FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN pairs l ON r.b = l.a)
+SELECT r.a AS doc_id, s.n AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r JOIN sized s ON s.doc_id = r.a GROUP BY r.a, s.n
+"""
+
+NEAR_VECTORS = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, named.c AS component_id, e.vec_id = named.c AS kept
+FROM embeddings e JOIN named ON named.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
