@@ -230,8 +230,10 @@ def fit_languages(
 
 def identify_languages(
     events: DataFrame, model: LanguageModel, event_id: str = "event_id", canonical_string: str = "canonical_string",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Language of every whole text: ``event_id``, ``lang_pred``, ``score``.
+    """Language of every whole text: ``event_id``, ``lang_pred``, ``score``, then ``carried``, a struct
+    of the columns named in ``carry``, if any.
 
     The project's records are machine text without a language, so this works on any table with an id
     and a text. A text is its letter runs, lower-cased; the probability of a run sums over all its
@@ -241,8 +243,10 @@ def identify_languages(
     are kept, whatever their id; an empty table gives no rows. The model is bounded by the vocabulary
     and the number of languages and travels as a broadcast variable.
     """
-    rows = events.select(F.col(event_id).alias("event_id"), F.col(canonical_string).cast("string").alias("text"))
-    kind = rows.schema["event_id"].dataType.simpleString()
+    kept = ["carried"] if carry else []
+    rows = events.select(
+        F.col(event_id).alias("event_id"), F.col(canonical_string).cast("string").alias("text"), *[F.struct(*carry).alias(c) for c in kept])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("event_id", *kept).schema)
     shared = events.sparkSession.sparkContext.broadcast(model)
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +261,8 @@ def identify_languages(
                 else:
                     names, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("event_id"), pa.array(names, pa.string()), pa.array(score)], ["event_id", "lang_pred", "score"])
+                    [*(part.column(c) for c in ("event_id", *kept)), pa.array(names, pa.string()), pa.array(score)],
+                    ["event_id", *kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(identify, f"event_id {kind}, lang_pred string, score double")
+    found = rows.mapInArrow(identify, f"{schema}, lang_pred string, score double")
+    return found.select("event_id", "lang_pred", "score", *kept)

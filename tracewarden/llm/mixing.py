@@ -75,6 +75,7 @@ def mix_events(
     events: DataFrame, event_id: str = "event_id", source: str = "cloud_resource_id", canonical_string: str = "canonical_string",
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 64,
     shard_tokens: int = 1 << 20, seed: int = 42,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """How many tokens (words) of each event text a mix of the sources takes.
 
@@ -88,15 +89,16 @@ def mix_events(
 
     Returns ``event_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, and for those
     who cut texts ``passes`` (whole passes) and ``spans`` (array of start, length: words taken once
-    more). Null source: a source of its own, last. Rows that share an id count each for itself. An
+    more), then ``carried``, a struct of the columns named in ``carry``, if any. Null source: a source of its own, last. Rows that share an id count each for itself. An
     empty text or an empty table takes nothing.
 
     Rows are sized once and written as a slim table. Only sources and shards are ever ranked together;
     rows are ranked inside shards of bounded size, so a source of a third of all rows spreads.
     """
     words = F.coalesce(F.regexp_count(F.col(canonical_string).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    kept = ["carried"] if carry else []
     sized = written(events.select(
-        F.col(event_id).alias("event_id"), F.col(source).alias("source"), words.alias("size")), "sizes")
+        F.col(event_id).alias("event_id"), F.col(source).alias("source"), words.alias("size"), *[F.struct(*carry).alias(c) for c in kept]), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, "source", "source_size", weights, share, most)
     targets = targets.withColumns({
@@ -135,7 +137,7 @@ def mix_events(
     spans = F.filter(F.array(overlap(F.col("_from"), F.least(end, F.col("_words"))), overlap(F.lit(0), end - F.col("_words"))), lambda s: s["length"] > 0)
     rows = rows.withColumn("spans", spans)
     taken = F.col("passes") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    return rows.select("event_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "spans")
+    return rows.select("event_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "spans", *kept)
 
 
 def sized_shards(placed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, language, mixing, neardup, packing, reference_sql, tokens, vectors
+from . import chat, language, mixing, neardup, packing, quality, reference_sql, tokens, toxicity, urls, vectors
 
 PAYLOADS = {"doc_id": "event_id", "text": "canonical_string", "source": "cloud_resource_id"}
 
@@ -53,11 +53,27 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_shards(spark, manifest, dict(texts.dtypes)["event_id"]).withColumnRenamed("event_id", "doc_id")
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = neardup.near_duplicates(payloads(spark, sf_dir), width=4, percent=80)
     return classes.withColumnRenamed("event_id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, labels = payloads(spark, sf_dir), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "event_id")
+    held_out = remainder("event_id", 5) == 0
+    model = toxicity.fit_toxicity(texts, labels, where=~held_out)
+    scored = toxicity.score_toxicity(texts, model).withColumn("held_out", held_out)
+    return scored.select(F.col("event_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors_ = table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "event_id", "embedding": "features"})
     return vectors.near_vectors(vectors_, threshold=0.9).withColumnRenamed("event_id", "vec_id")
@@ -68,13 +84,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnsRenamed({"event_id": "doc_id", "event_tokens": "doc_tokens"})
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, labels = payloads(spark, sf_dir), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "event_id")
+    judged = quality.judge_quality(texts, quality.fit_quality(texts, labels))
+    return judged.withColumnRenamed("event_id", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_token_shards": op4_token_shards,
+    "op5_url_rules": op5_url_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op8_near_vectors": op8_near_vectors,
     "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT, "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS}
+ORACLE_SQL = {"op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT, "op5_url_rules": reference_sql.URLS, "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS}

@@ -116,3 +116,17 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, named.c AS component_id, e.vec_id = named.c AS kept
 FROM embeddings e JOIN named ON named.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """
+
+URLS = r"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
+parsed AS (
+    SELECT page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+    SELECT DISTINCT host, path, arg_max(h || p, length(h || p)) OVER (PARTITION BY host, path) AS rule, arg_max(v, length(h || p)) OVER (PARTITION BY host, path) AS verdict
+    FROM (SELECT DISTINCT host, path FROM parsed) u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, parsed.host, parsed.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parsed LEFT JOIN fits ON parsed.host = fits.host AND parsed.path = fits.path
+"""

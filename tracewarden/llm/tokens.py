@@ -98,7 +98,7 @@ def write_token_shards(
             yield close()
 
     coded = slim.mapInArrow(encode, f"event_id {kind.simpleString()}, shard int, tokens binary")
-    ranged = coded.repartition(ranges, "shard").sortWithinPartitions("shard", "event_id", "tokens")
+    ranged = coded.repartitionById(ranges, "shard").sortWithinPartitions("shard", "event_id", "tokens")
     manifest = written(ranged.mapInArrow(write, "folder string, shard long, part long, path string, n_events long, n_tokens long"), "manifest")
     # one row per file of millions of ids
     before = F.sum("n_tokens").over(W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1))
