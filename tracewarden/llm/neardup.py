@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,9 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     Shingles are ``width`` words in a row after A-Z is lower-cased; a shorter text is one shingle, a
     text without words has none.
     """
-    words = split_words(pc.ascii_lower(texts.cast(pa.large_string())))
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
+    words = split_words(texts)
+    # bytes.lower changes A-Z alone
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
     flat = hashed[words.codes]
     rolled = np.zeros(max(len(flat) - width + 1, 0), dtype=np.uint64)
     factors = _scramble(np.arange(1, width + 1, dtype=np.uint64) * _MIX[0])

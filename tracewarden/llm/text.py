@@ -50,12 +50,15 @@ def split_words(texts: pa.Array) -> Words:
 
 
 def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds about ``chars`` bytes of text, one row at least."""
+    """Cut a batch so that a slice holds about ``chars`` bytes of text, one row at least.
+
+    Slices are copies: some text functions of Arrow misread a view that does not begin at row 0.
+    """
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.concatenate([[0], np.cumsum(size)]), 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(total, total[at] + chars, side="right")) - 1)
-        yield batch.slice(at, end - at)
+        yield batch.take(pa.array(np.arange(at, end)))
         at = end
 
 
