@@ -23,7 +23,7 @@ def labelled_sample(
     sizes = {r["label"]: r["count"] for r in rated.groupBy("label").count().collect()}
     share = {k: min(1.0, rows_per_class / n) for k, n in sizes.items()}
     draw = F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.when(F.col("label") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0)))
+    keep = F.when(F.col("label") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
     drawn = rated.where(draw < keep).withColumns({
         "weight": 1.0 / keep, "fold": F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(5)).cast("int")})
     texts = events.select(F.col(event_id).alias("event_id"), F.coalesce(F.col(canonical_string).cast("string"), F.lit("")).alias("text"))
