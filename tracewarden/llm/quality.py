@@ -95,14 +95,22 @@ class QualityModel:
 
 def calibrate(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through held-out margins, by Newton's method."""
-    x = np.stack([margins, np.ones_like(margins)], axis=1)
-    theta, prior = np.array([1.0, 0.0]), np.diag([1e-3, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weights * (p - labels)) + prior @ (theta - [1.0, 0.0])
-        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + prior, gradient)
-        theta = theta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+    x, start, prior = np.stack([margins, np.ones_like(margins)], axis=1), np.array([1.0, 0.0]), 1e-3
+    sign = np.where(labels > 0, 1.0, -1.0)
+
+    def loss(theta: np.ndarray) -> float:
+        return float(weights @ np.logaddexp(0, -sign * (x @ theta)) + prior / 2 * ((theta - start) ** 2).sum())
+
+    theta = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        gradient = x.T @ (weights * (p - labels)) + prior * (theta - start)
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + prior * np.eye(2), gradient)
+        size = 1.0
+        while loss(theta - size * step) > loss(theta) and size > 1e-10:  # a far outlier makes the full step too long
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return float(max(theta[0], 1e-6)), float(theta[1])
 
