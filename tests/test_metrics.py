@@ -98,7 +98,7 @@ def test_curve_equals_counting_per_gate(spark):
 
 
 def test_gate_decisions(spark):
-    policy = GatePolicy.from_dict({"confidence_threshold": 0.6, "category_thresholds": {"Infiltration": 0.2}, "immediate_confidence_threshold": 0.9})
+    policy = GatePolicy(confidence_threshold=0.6, category_thresholds={"Infiltration": 0.2}, immediate_confidence_threshold=0.9)
     rows = [("BENIGN", "Benign", 0.99), ("ATTACK", "DDoS", 0.5), ("ATTACK", "DDoS", 0.6), ("ATTACK", "DDoS", 0.9), ("ATTACK", "Infiltration", 0.3)]
     df = spark.createDataFrame(rows, "v string, c string, p double")
     got = [r[0] for r in df.select(policy.decide(F.col("v"), F.col("c"), F.col("p"))).collect()]

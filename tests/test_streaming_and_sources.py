@@ -170,7 +170,7 @@ def test_csv_splits_and_predictions(spark, data, tmp_path):
 def test_policy_and_column_roles(spark, tmp_path):
     (tmp_path / "policy.json").write_text(json.dumps({"confidence_threshold": 0.7, "category_thresholds": {"Bot": 0.1}}))
     policy = lookups.read_policy(spark, str(tmp_path / "policy.json"))
-    assert (policy.confidence_threshold, policy.category_thresholds, policy.immediate_threshold) == (0.7, {"Bot": 0.1}, 0.99)
+    assert (policy.confidence_threshold, policy.category_thresholds, policy.immediate_confidence_threshold) == (0.7, {"Bot": 0.1}, 0.99)
     roles = S.classify_columns(["IPV4_SRC_ADDR", "L4_DST_PORT", "Label", "Attack", "IN_BYTES"])
     assert (roles.identifiers, roles.labels, roles.features) == (["IPV4_SRC_ADDR", "L4_DST_PORT"], ["Label", "Attack"], ["IN_BYTES"])
     assert (S.multiclass_label(roles.labels), S.binary_label(roles.labels)) == ("Attack", "Label")

@@ -72,7 +72,6 @@ SPLIT_FRACTIONS = (0.60, 0.20, 0.20)
 CORRELATION_CUTOFF = 0.95
 LEAKAGE_F1_CUTOFF = 0.90
 SEED = 42
-TOP_FEATURES = 25
 TOP_ATTRIBUTIONS = 5
 RELIABILITY_BINS = 15
 UNIFORM_TAUS = 201
@@ -86,13 +85,3 @@ BATCH_SIZE = 100
 MAX_ATTEMPTS = 3
 BACKOFF_BASE_SEC = 0.05
 BACKOFF_MULTIPLIER = 2.0
-
-# --- model input order ------------------------------------------------------------------------
-MODEL_FEATURES = [
-    "SRC_TO_DST_SECOND_BYTES", "LONGEST_FLOW_PKT", "SRC_TO_DST_AVG_THROUGHPUT", "IN_BYTES",
-    "L7_PROTO", "TCP_WIN_MAX_OUT", "DURATION_OUT", "DURATION_IN", "FLOW_DURATION_MILLISECONDS",
-    "RETRANSMITTED_OUT_BYTES", "DST_TO_SRC_AVG_THROUGHPUT", "TCP_WIN_MAX_IN", "OUT_BYTES",
-    "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_128_TO_256_BYTES", "RETRANSMITTED_OUT_PKTS", "MAX_TTL",
-    "CLIENT_TCP_FLAGS", "DST_TO_SRC_SECOND_BYTES", "ICMP_TYPE", "RETRANSMITTED_IN_BYTES",
-    "SHORTEST_FLOW_PKT", "RETRANSMITTED_IN_PKTS", "DNS_QUERY_ID", "MIN_IP_PKT_LEN",
-]

@@ -1,8 +1,7 @@
 """Canonical JSON of a typed struct, built as one column expression from its schema.
 
-Struct members are sorted once, when the expression is built; map keys are sorted per row. Floats
-are rendered either natively (``floats="six"``: values with at most six decimals) or exactly, where
-all doubles of a row travel through a single Arrow call.
+Struct members are sorted once, when the expression is built; map keys are sorted per row. Floats are
+rendered by ``repr_double``, or by the shorter ``repr6`` (``floats="six"``: at most six decimals).
 """
 
 from __future__ import annotations
@@ -11,48 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import escape_controls, quoted, repr6, repr_exact
+from .text import escape_controls, quoted, repr6, repr_double
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
-def _double_member(name: str):
-    return lambda e: e[name].cast("double")
-
-
-def _holds_float(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StructType):
-        return any(_holds_float(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _holds_float(dtype.elementType)
-    if isinstance(dtype, T.MapType):
-        return _holds_float(dtype.valueType)
-    return isinstance(dtype, _FLOATING)
-
-
 class _Builder:
-    """Walks a schema, and gathers the doubles that need exact text on the way."""
+    """Walks a schema and renders every value of it."""
 
     def __init__(self, optional: set[str], exact: bool, item_sep: str, key_sep: str):
-        self.item_sep, self.key_sep = item_sep, key_sep
-        self.optional = optional
-        self.exact = exact
-        self.doubles: list[Column] = []
-        self.pending = F.col("_float_text")
-
-    def _texts(self, doubles: Column) -> Column:
-        """Array of texts for an array of doubles."""
-        if not self.exact:
-            return F.transform(doubles, repr6)
-        self.doubles.append(doubles)
-        return self.pending[len(self.doubles) - 1]
-
-    def _scalar_double(self, value: Column) -> Column:
-        value = value.cast("double")
-        if not self.exact:
-            return repr6(value)
-        return self._texts(F.array(value))[0]
+        self.item_sep, self.key_sep, self.optional = item_sep, key_sep, optional
+        self.number = repr_double if exact else repr6
 
     def render(self, value: Column, dtype: T.DataType, path: str) -> Column:
         if isinstance(dtype, T.StructType):
@@ -66,7 +35,7 @@ class _Builder:
         elif isinstance(dtype, (T.BooleanType, *_INTEGRAL)):
             text = value.cast("string")
         elif isinstance(dtype, _FLOATING):
-            text = self._scalar_double(value)
+            text = self.number(value.cast("double"))
         else:
             raise TypeError(f"no canonical form for {dtype.simpleString()} at {path or 'top level'}")
         return F.when(value.isNull(), F.lit("null")).otherwise(text)
@@ -84,57 +53,16 @@ class _Builder:
         return F.concat(F.lit("{"), F.concat_ws(self.item_sep, *members), F.lit("}"))
 
     def _map(self, value: Column, dtype: T.MapType, path: str) -> Column:
-        entries = F.array_sort(F.map_entries(value))
-        if isinstance(dtype.valueType, _FLOATING):
-            texts = self._texts(F.transform(entries, lambda e: e["value"].cast("double")))
-            body = F.zip_with(
-                entries, texts,
-                lambda e, t: F.concat(quoted(e["key"]), F.lit(self.key_sep), F.coalesce(t, F.lit("null"))),
-            )
-        else:
-            self._require_no_float(dtype.valueType, path)
-            body = F.transform(
-                entries,
-                lambda e: F.concat(quoted(e["key"]), F.lit(self.key_sep), self.render(e["value"], dtype.valueType, path)),
-            )
+        body = F.transform(
+            F.array_sort(F.map_entries(value)),
+            lambda e: F.concat(quoted(e["key"]), F.lit(self.key_sep), self.render(e["value"], dtype.valueType, path)),
+        )
         return F.concat(F.lit("{"), F.array_join(body, self.item_sep), F.lit("}"))
 
     def _array(self, value: Column, dtype: T.ArrayType, path: str) -> Column:
-        element = dtype.elementType
-        if isinstance(element, _FLOATING):
-            body = F.transform(self._texts(value.cast("array<double>")), lambda t: F.coalesce(t, F.lit("null")))
-        elif isinstance(element, T.StructType) and self.exact and any(
-            isinstance(f.dataType, _FLOATING) for f in element.fields
-        ) and not any(_holds_float(f.dataType) for f in element.fields if not isinstance(f.dataType, _FLOATING)):
-            body = self._struct_array(value, element)
-        else:
-            self._require_no_float(element, path)
-            body = F.transform(value, lambda e: self.render(e, element, path))
+        body = F.transform(value, lambda e: self.render(e, dtype.elementType, path))
         return F.concat(F.lit("["), F.array_join(body, self.item_sep), F.lit("]"))
 
-    def _require_no_float(self, dtype: T.DataType, path: str) -> None:
-        """Inside a lambda no Arrow call is possible, so deeper floats have no exact form here."""
-        if self.exact and _holds_float(dtype):
-            raise TypeError(f"floats nested this deep need floats='six': {path}")
-
-    def _struct_array(self, value: Column, element: T.StructType) -> Column:
-        """Structs with double members: their texts come as one array per member."""
-        floating = [f.name for f in element.fields if isinstance(f.dataType, _FLOATING)]
-        texts = {name: self._texts(F.transform(value, _double_member(name))) for name in floating}
-        fields = sorted(element.fields, key=lambda f: f.name.encode())
-
-        def one(e: Column, i: Column) -> Column:
-            members = []
-            for f in fields:
-                text = (
-                    F.coalesce(F.get(texts[f.name], i), F.lit("null"))
-                    if f.name in texts else self.render(e[f.name], f.dataType, f.name)
-                )
-                members.append(F.concat(quoted(F.lit(f.name)), F.lit(self.key_sep), text))
-            return F.concat(F.lit("{"), F.concat_ws(self.item_sep, *members), F.lit("}"))
-
-        return F.transform(value, one)
-
 
 def with_canonical_json(
     df: DataFrame,
@@ -156,11 +84,7 @@ def with_canonical_json(
     kept = T.StructType([f for f in dtype.fields if f.name not in drop_members])
     builder = _Builder(optional or set(), floats == "exact", *((", ", ": ") if spaced else (",", ":")))
     text = builder.render(F.col(source), kept, "")
-    if builder.doubles:
-        df = df.withColumn("_float_text", repr_exact(F.array(*builder.doubles)))
-        df = df.withColumn(out, text).drop("_float_text")
-    else:
-        df = df.withColumn(out, text)
+    df = df.withColumn(out, text)
     # never null, and said so: a nullable digest would draw inferred not-null filters through the
     # whole expression whenever it is joined on
     return df.withColumn(out, F.coalesce(escape_controls(F.col(out)), F.lit("null")))

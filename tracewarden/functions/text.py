@@ -1,14 +1,11 @@
 """Number and string text forms used by the digests.
 
-Two families exist for floats. The native forms stay in the JVM and are exact for contract values,
-which are rounded to six places before they are rendered. The ``*_exact`` forms are Arrow UDFs for
-arbitrary doubles, where the JVM's own text rules differ from the contract's.
+All of them but ``fixed6_exact`` are JVM expressions. ``repr6`` is short for contract values, which are
+rounded to six places before they are rendered; ``repr_double`` takes any double.
 """
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,37 +28,75 @@ def fixed6_exact(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else f"{v:.6f}" for v in values.to_pylist()], pa.string())
 
 
-def repr6(value: Column) -> Column:
-    """Shortest round-trip text of a double with at most six decimals and magnitude below 1e9.
-
-    Such a number has at most 15 significant digits, and decimals that short are never shared by
-    two doubles, so trimming the zeros of its decimal text gives the shortest form. Magnitudes
-    below 1e-4 take two-digit exponent notation.
-    """
-    plain = F.regexp_replace(value.cast("decimal(16,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    # 1.2E-5 -> 1.2e-05, 1.0E-6 -> 1e-06
-    tiny = F.replace(F.replace(value.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-0"))
-    return F.when(F.abs(value).between(1e-7, 0.9999e-4), tiny).otherwise(plain)
+#: Below this, doubles have fewer digits.
+SUBNORMAL = 2.2250738585072014e-308
+#: Doubles that are whole and still fit a 64-bit integer.
+WHOLE = (2.0 ** 53, 9.2e18)
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def repr_exact(groups: pa.Array) -> pa.Array:
-    """Shortest round-trip text for every double of a nested array, one Arrow call per batch.
+def repr_double(value: Column) -> Column:
+    """Shortest round-trip text of any finite double, in the contract's notation.
 
-    Arrow keeps null apart from NaN. NaN and infinities have no canonical text, so they fail the
-    task instead of being written.
+    Fifteen, sixteen or seventeen significant digits (from one on for subnormal values), whichever is the
+    first to give the same double back; positional from 1e-4 up to 1e16, otherwise with a signed exponent of two digits at least.
+    NaN and infinities have no canonical text and fail the task.
     """
+    def one(v: Column) -> Column:
+        back = lambda form: form.cast("double") == v
+        forms = [F.format_string(f"%.{n}e", v) for n in range(17)]
+        shortest = F.when(F.abs(v) < SUBNORMAL, F.filter(F.array(*forms), back)[0]).when(
+            F.abs(v).between(*WHOLE), F.transform(F.array(F.abs(v).cast("long")), lambda n: F.concat(F.when(v < 0, "-").otherwise(""), whole_form(v, n)))[0]
+        ).when(back(forms[14]), forms[14]).when(back(forms[15]), forms[15]).when(back(above(forms[15])), above(forms[15])).otherwise(forms[16])
+        return F.transform(F.array(shortest), notation)[0]
+
+    def above(form: Column) -> Column:
+        """The next longer number of as many digits: a power of two reaches further up than down."""
+        digits = (F.regexp_replace(F.substring_index(form, "e", 1), r"[-.]", "").cast("bigint") + 1).cast("string")
+        sign = F.when(form.startswith("-"), "-").otherwise("")
+        return F.concat(sign, F.substring(digits, 1, 1), F.lit("."), F.substr(digits, F.lit(2)), F.lit("e"), F.substring_index(form, "e", -1))
+
+    def whole_form(v: Column, n: Column) -> Column:
+        """From the exact digits, which the formatter does not always round well in this range."""
+        def cut(digits: int) -> Column:
+            unit = F.element_at(F.array(*[F.lit(10 ** k) for k in range(1, 5)]).cast("array<bigint>"), F.length(n.cast("string")) - digits)
+            return F.when(F.length(n.cast("string")) > digits, F.floor((n + (unit / 2).cast("long")) / unit.cast("decimal(20,0)")).cast("long") * unit).otherwise(n)
+
+        near = lambda digits: F.when(cut(digits).cast("double") == F.abs(v), cut(digits))
+        digits = F.coalesce(near(15), near(16), near(17), n).cast("string")
+        return F.concat(F.substring(digits, 1, 1), F.lit("."), F.substr(digits, F.lit(2)), F.lit("e"), (F.length(digits) - 1).cast("string"))
+
+    def notation(text: Column) -> Column:
+        parts = F.struct(
+            F.when(text.startswith("-"), "-").otherwise("").alias("sign"), F.substring_index(text, "e", -1).cast("int").alias("e"),
+            F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), r"[-.]", ""), r"(?<=.)0+$", "").alias("d"))
+        return F.transform(F.array(parts), placed)[0]
+
+    def placed(p: Column) -> Column:
+        sign, e, d = p["sign"], p["e"], p["d"]
+        whole = F.concat(F.rpad(F.substr(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.when(F.length(d) > e + 1, F.substr(d, e + 2)).otherwise("0"))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        tail = F.when(F.length(d) > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise("")
+        power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        body = F.when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), small).otherwise(F.concat(F.substring(d, 1, 1), tail, power))
+        return F.concat(sign, body)
+
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(value == 0, value.cast("string")).when(finite, one(value)).when(
+        value.isNotNull(), F.raise_error(F.lit("NaN and infinity have no canonical form")).cast("string"))
 
-    def one(number):
-        if number is not None and not math.isfinite(number):
-            raise ValueError("NaN and infinity have no canonical form")
-        return None if number is None else repr(number)
 
-    rows = [
-        None if row is None else [None if group is None else [one(n) for n in group] for group in row]
-        for row in groups.to_pylist()
-    ]
-    return pa.array(rows, pa.list_(pa.list_(pa.string())))
+def repr6(value: Column) -> Column:
+    """Shortest round-trip text of a double with at most six decimals, of any magnitude.
+
+    Below 1e9 such a number has at most 15 significant digits, and decimals that short are never shared
+    by two doubles, so trimming the zeros of its decimal text gives the shortest form; below 1e-4 it
+    takes two-digit exponent notation. Larger magnitudes take the general form.
+    """
+    plain = F.regexp_replace(value.cast("decimal(16,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    # 1.2E-5 -> 1.2e-05, 1.0E-6 -> 1e-06
+    tiny = F.replace(F.replace(value.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-0"))
+    return F.when(value == 0, value.cast("string")).when(F.abs(value).between(1e-7, 0.9999e-4), tiny).when(
+        F.abs(value) < 1e9, plain).otherwise(repr_double(value))
 
 
 def quoted(value: Column) -> Column:

@@ -13,7 +13,9 @@ from ..functions.canonical import digest_claim_holds
 def key_pads(registry: DataFrame) -> DataFrame:
     """(agent_id, inner_pad, outer_pad) of a registry with hex keys."""
     inner, outer = hmac_pads(F.col("key_hex"))
-    return registry.select("agent_id", inner.alias("_inner"), outer.alias("_outer"))
+    # an agent with several keys has none that can be trusted: its signatures do not verify
+    single = registry.groupBy("agent_id").agg(F.min("key_hex").alias("key_hex"), F.count_distinct("key_hex").alias("_keys")).where("_keys = 1")
+    return single.select("agent_id", inner.alias("_inner"), outer.alias("_outer"))
 
 
 def keyed_digest(digest: str) -> Column:
@@ -44,7 +46,7 @@ def audit(
     """
     models = provenance.select("model_digest", F.lit(True).alias("model_provenance_found")).distinct()
     joined = (
-        records.join(payloads.withColumn("_found", F.lit(True)), "content_address", "left")
+        records.join(payloads.dropDuplicates(["content_address"]).withColumn("_found", F.lit(True)), "content_address", "left")
         .join(key_pads(registry), "agent_id", "left")
         .join(models, "model_digest", "left")
     )

@@ -29,6 +29,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.withColumn("_k", F.struct(*keys)).join(keyed, "_k", how).drop("_k")
 
 
+def null_safe_full_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Full outer join on one key in which nulls match; the key is taken from either side."""
+    joined = left.withColumn("_k", F.struct(key)).drop(key).join(right.withColumn("_k", F.struct(key)).drop(key), "_k", "full_outer")
+    return joined.withColumn(key, F.col("_k")[key]).drop("_k")
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Keep later filters above this point.
 

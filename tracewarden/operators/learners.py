@@ -22,7 +22,7 @@ from ..constants import SEED, THRESHOLD_GRID
 from ..functions.digests import hash_rank_key
 from ..functions.vectors import argmax_index, cascade, literal_array, threshold_argmax, top_by_magnitude
 from .cleaning import impute, mask_outliers, severity
-from .distributed import HASH_BUCKET_CHARS, running_totals
+from .distributed import HASH_BUCKET_CHARS, null_safe_join, running_totals
 from .gate import anchor_flag
 from .metrics import class_weights, confusion, multiclass_metrics, per_class_metrics
 
@@ -30,17 +30,36 @@ Builder = Callable[[int, int], Estimator]
 
 
 # --- pipelines ---------------------------------------------------------------------------------
-def prepared(df: DataFrame, features: list[str], label: str, classes: list[str]) -> DataFrame:
-    """Add ``features`` and a numeric ``label`` whose order is that of ``classes``."""
+def prepared(df: DataFrame, features: list[str], label: str, classes: list[str], unknown: str = "error") -> DataFrame:
+    """Add ``features`` and a numeric ``label`` whose order is that of ``classes``.
+
+    A label that is null or not among them fails the job, so fits take ``known_labels`` and report
+    ``label_rejects``. For an evaluation, ``unknown="keep"`` gives such rows a label that no model
+    predicts: they count, as wrong.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    indexer = StringIndexerModel.from_labels(classes, inputCol=label, outputCol="label", handleInvalid="skip")
+    indexer = StringIndexerModel.from_labels(classes, inputCol=label, outputCol="label", handleInvalid=unknown)
     return indexer.transform(assembler.transform(df))
 
 
+def known_labels(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    return df.where(F.coalesce(F.col(label).isin(*classes), F.lit(False)))
+
+
+def label_rejects(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """(label, n): rows that no fit uses, because their label is null or not among ``classes``."""
+    bad = df.where(~F.coalesce(F.col(label).isin(*classes), F.lit(False)))
+    return bad.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+
+
 def with_balanced_weight(df: DataFrame, label: str) -> DataFrame:
-    """Attach n / (k * n_c) per class; the weight table has one row per class."""
+    """Attach n / (k * n_c) per class; a null label is a class of its own."""
     weights = class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(weights), label)
+    return null_safe_join(df, weights, [label])
+
+
+def fitting_rows(df: DataFrame, features: list[str], label: str, classes: list[str]) -> DataFrame:
+    return with_balanced_weight(prepared(known_labels(df, label, classes), features, label, classes), label)
 
 
 # Gradient boosting in Spark ML is binary, so one-vs-rest stands in for multiclass boosting.
@@ -99,8 +118,8 @@ def compare_models(
     builders: dict[str, Builder] | None = None,
 ) -> DataFrame:
     """Fit every builder plus the cascade and rank by macro-F1 on ``test``."""
-    fit_on = with_balanced_weight(prepared(train, features, label, classes), label).persist()
-    score_on = prepared(test, features, label, classes)
+    fit_on = fitting_rows(train, features, label, classes).persist()
+    score_on = prepared(test, features, label, classes, "keep")
     try:
         models = {n: b(len(features), len(classes)).fit(fit_on) for n, b in (builders or BUILDERS).items()}
         models["cascade"] = fit_cascade(fit_on, label, classes, benign)
@@ -116,7 +135,7 @@ def compare_models(
 def feature_importance(train: DataFrame, features: list[str], label: str, classes: list[str]) -> DataFrame:
     """Impurity importance of a forest, one row per feature."""
     model = BUILDERS["randomforest"](len(features), len(classes)).fit(
-        with_balanced_weight(prepared(train, features, label, classes), label))
+        fitting_rows(train, features, label, classes))
     rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     return train.sparkSession.createDataFrame(rows, "feature string, importance double")
 
@@ -131,23 +150,23 @@ def permutation_importance(
     donor's rank by another. Ranks are bucketed, so no task sorts the table. All variants of a row
     are scored together.
     """
-    slim = df.select(row_id, label, *features)
-    parts = None
+    one = df.select(row_id, label, *features).withColumn("_one", F.lit(1).cast("long"))
+    bucket = F.substring("_h", 1, HASH_BUCKET_CHARS)
+
+    def shuffled(draw: int) -> DataFrame:
+        keyed = one.withColumn("_h", hash_rank_key(F.col(row_id), draw))
+        return running_totals(keyed, "_h", ["_one"], bucket=bucket).withColumnRenamed("_one_before", "_at")
+
+    own, parts = shuffled(seed - 1), None  # ranked once, for all repeats
     for r in range(repeats):
-        one = slim.withColumn("_one", F.lit(1).cast("long"))
-        bucket = F.substring("_h", 1, HASH_BUCKET_CHARS)
-        own, donor = (
-            running_totals(one.withColumn("_h", hash_rank_key(F.col(row_id), seed + r)), "_h", ["_one"], bucket=bucket)
-            .withColumnRenamed("_one_before", "_at") for r in (-1, r)
-        )
-        donor = donor.select("_at", *[F.col(f).alias(f"_d_{f}") for f in features])
+        donor = shuffled(seed + r).select("_at", *[F.col(f).alias(f"_d_{f}") for f in features])
         paired = own.select("_at", label, *features).join(donor, "_at")
         variants = [F.struct(F.lit("").alias("feature"), *[F.col(f) for f in features])] + [
             F.struct(F.lit(v).alias("feature"), *[F.col(f"_d_{f}" if f == v else f).alias(f) for f in features]) for v in features
         ]
         rows = paired.select(label, F.lit(r).alias("repeat"), F.inline(F.array(*variants)))
         parts = rows if parts is None else parts.unionByName(rows)
-    scored = model.transform(prepared(parts, features, label, classes))
+    scored = model.transform(prepared(parts, features, label, classes, "keep"))
     hits = scored.groupBy("repeat", "feature").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
     base = hits.where("feature = ''").select("repeat", F.col("accuracy").alias("base"))
     return hits.where("feature <> ''").join(base, "repeat").groupBy("feature").agg(
@@ -161,8 +180,8 @@ def selected_vs_full(
     tables = {}
     for name, features in (("selected", selected), ("full", full)):
         model = BUILDERS["randomforest"](len(features), len(classes)).fit(
-            with_balanced_weight(prepared(train, features, label, classes), label))
-        cells = confusion(predictions(model.transform(prepared(test, features, label, classes)), name, classes, label))
+            fitting_rows(train, features, label, classes))
+        cells = confusion(predictions(model.transform(prepared(test, features, label, classes, "keep")), name, classes, label))
         tables[name] = per_class_metrics(cells, classes).select("class", F.col("f1").alias(name))
     return tables["full"].join(tables["selected"], "class").withColumn("delta", F.col("selected") - F.col("full"))
 
@@ -177,7 +196,7 @@ def hyper_search(
         forest.numTrees: draw.randrange(5, 25, 5), forest.maxDepth: draw.randint(3, 7),
         forest.minInstancesPerNode: draw.choice([1, 5, 20, 50]), forest.subsamplingRate: round(draw.uniform(0.6, 1.0), 3),
     } for _ in range(trials)]
-    data = with_balanced_weight(prepared(train, features, label, classes), label).persist()
+    data = fitting_rows(train, features, label, classes).persist()
     try:
         search = TrainValidationSplit(
             estimator=forest, estimatorParamMaps=grid, trainRatio=0.8, seed=seed, parallelism=2,
@@ -220,9 +239,9 @@ def fit_thresholds(
             improved = False
             for j in range(len(classes)):
                 options = [[*tau[:j], g, *tau[j + 1:]] for g in grid]
-                for option, value in zip(options, score(options)):
-                    if value > best + 1e-6:
-                        best, tau, improved = value, option, True
+                value, option = max(zip(score(options), options), key=lambda x: x[0])
+                if value > best + 1e-6:
+                    best, tau, improved = value, option, True
             if not improved:
                 break
         return tau, best

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import BATCH_SIZE, GENESIS_HASH
 from ..functions.digests import sha256_hex
 from ..functions.merkle import merkle_levels, merkle_proof, merkle_root
-from ..functions.text import json_string
+from ..functions.text import json_string, parse_rfc3339
 from .distributed import ID_BUCKET_WIDTH, pin, row_positions
 
 SEGMENT_BLOCKS = 1024
@@ -205,24 +206,44 @@ def append_new(batch: DataFrame, log: DataFrame, key: str, order: str) -> DataFr
     return pin(first.select(key, "r.*").select(*batch.columns)).join(log.select(key), key, "left_anti")
 
 
+def with_reject_reason(batch: DataFrame, settled: DataFrame | None, key: str, order: list) -> DataFrame:
+    """Every row of a batch with ``reason``, null for the rows that may be appended.
+
+    Of the rows of one id the first by ``order`` is taken and the others are repeats; an id that is
+    settled already is refused altogether. No row disappears.
+    """
+    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
+    told = batch.withColumn("reason", F.when(~first, "repeated in the batch"))
+    if settled is None:
+        return told
+    known = settled.select(key).distinct().withColumn("_settled", F.lit(True))
+    told = told.join(known, key, "left").withColumn("reason", F.when(F.col("_settled"), "already settled").otherwise(F.col("reason")))
+    return told.select(*batch.columns, "reason")
+
+
 def event_history(
     log: DataFrame, timestamp: str = "timestamp", resource: Column | None = None, start=None, end=None
 ) -> DataFrame:
-    """Inclusive range and resource filter as plain predicates, which reach the scan of the log."""
+    """Inclusive range and resource filter. A text column is compared as the time it states, so ``Z`` and
+    ``+00:00`` are one instant; a timestamp column is filtered as it is, which reaches the scan."""
     out = log if resource is None else log.where(resource)
+    as_text = isinstance(log.schema[timestamp].dataType, T.StringType)
+    at = parse_rfc3339(F.col(timestamp)) if as_text else F.col(timestamp)
+    bound = lambda x: parse_rfc3339(x if isinstance(x, Column) else F.lit(x)) if as_text and isinstance(x, (str, Column)) else x
     if start is not None:
-        out = out.where(F.col(timestamp) >= start)
+        out = out.where(at >= bound(start))
     if end is not None:
-        out = out.where(F.col(timestamp) <= end)
+        out = out.where(at <= bound(end))
     return out
 
 
 def verify_events(requests: DataFrame, log: DataFrame, key: str = "event_id", digest: str = "payload_digest") -> DataFrame:
-    """Requests with ``verified``: the stored digest equals the claimed one; unknown ids are false."""
-    stored = log.select(key, F.col(digest).alias("_stored"))
+    """Requests with ``verified``: the stored digest equals the claimed one. Unknown ids are false, and so
+    is an id that the log holds with several digests; a repeated id never repeats a request."""
+    stored = log.groupBy(key).agg(F.min(digest).alias("_stored"), (F.min(digest) == F.max(digest)).alias("_one"))
     return requests.join(stored, key, "left").withColumn(
-        "verified", F.coalesce(F.col(digest) == F.col("_stored"), F.lit(False))
-    ).drop("_stored")
+        "verified", F.coalesce((F.col(digest) == F.col("_stored")) & F.col("_one"), F.lit(False))
+    ).drop("_stored", "_one")
 
 
 def unauthorised_writes(records: DataFrame, registry: DataFrame, agent: str = "agent_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .distributed import exact_percentiles, row_positions, running_totals, value_counts
+from .distributed import exact_percentiles, null_safe_full_join, null_safe_join, row_positions, running_totals, value_counts
 from .metrics import ratio
 
 
@@ -71,21 +71,32 @@ def capacity_table(anchor_rate: DataFrame, target: float = K.TARGET_TPS) -> Data
     )
 
 
-def loss_accounting(submitted: DataFrame, outcomes: DataFrame, key: str = "event_id") -> DataFrame:
-    """Submitted against outcomes, matched by id and not only by totals."""
+def loss_accounting(
+    submitted: DataFrame, outcomes: DataFrame, key: str = "event_id", rejected: DataFrame | None = None,
+) -> DataFrame:
+    """Submissions against outcomes and rejections, matched by id and not only by totals.
+
+    An id may be submitted several times, but it is settled once: every further submission needs a row
+    in ``rejected``. Without one it is lost, so ``zero_loss`` cannot hold.
+    """
+    if rejected is None:
+        rejected = outcomes.limit(0)
     per_id = outcomes.groupBy(key).agg(
         F.count_if(F.col("outcome") == "committed").alias("c"),
         F.count_if(F.col("outcome") == "dead_lettered").alias("d"),
         F.max(F.when(F.col("outcome") == "committed", F.col("attempts"))).alias("attempts"),
     )
-    joined = submitted.select(key).withColumn("s", F.lit(True)).join(per_id, key, "full_outer")
-    known = F.coalesce("s", F.lit(False))
-    done = F.coalesce(F.col("c") + F.col("d"), F.lit(0))
+    sent = submitted.groupBy(key).agg(F.count("*").alias("s"))
+    refused = rejected.groupBy(key).agg(F.count("*").alias("r"))
+    joined = null_safe_full_join(null_safe_full_join(sent, per_id, key), refused, key)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    done, total = n("c") + n("d"), lambda c: F.coalesce(F.sum(c), F.lit(0))
     return joined.agg(
-        F.count_if(known).alias("submitted"), F.count_if(F.col("c") > 0).alias("committed"),
-        F.count_if(F.col("d") > 0).alias("dead_lettered"), F.count_if(F.col("attempts") > 1).alias("retried"),
-        F.count_if(known & (done == 0)).alias("lost"), F.count_if(done > 1).alias("counted_twice"),
-        F.count_if(~known).alias("unknown"),
+        total(n("s")).alias("submitted"), F.count_if(n("c") > 0).alias("committed"),
+        F.count_if(n("d") > 0).alias("dead_lettered"), total(n("r")).alias("rejected"),
+        F.count_if(F.col("attempts") > 1).alias("retried"),
+        total(F.greatest(n("s") - n("r") - F.least(done, F.lit(1)), F.lit(0))).alias("lost"),
+        F.count_if(done > 1).alias("counted_twice"), F.count_if(n("s") == 0).alias("unknown"),
     ).withColumn("zero_loss", (F.col("lost") == 0) & (F.col("counted_twice") == 0) & (F.col("unknown") == 0))
 
 
@@ -113,10 +124,20 @@ def key_results(row: DataFrame, names: list[str]) -> DataFrame:
     return row.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "metric", "value")
 
 
+STREAM_DIGEST_ROWS = 1_000_000
+
+
 def stream_digest(df: DataFrame, order: str, digest: str, by: list[str]) -> DataFrame:
-    """SHA-256 over the concatenated digests of a bounded ordered group (a batch, a run)."""
+    """SHA-256 over the concatenated digests of a bounded ordered group (a batch, a run).
+
+    A digest of a sequence needs the whole sequence, so a group of more than ``STREAM_DIGEST_ROWS`` rows
+    is refused instead of collected; digest it by batches and those by their digests.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda s: s[digest])
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("stream_digest"))
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    fine = F.when(F.col("_n") <= STREAM_DIGEST_ROWS, F.lit(True)).otherwise(F.raise_error(F.lit("a group is too long for one digest")))
+    checked = null_safe_join(df.select(*by, order, digest), counts, by).where(fine)
+    return checked.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("stream_digest"))
 
 
 def arrival_windows(

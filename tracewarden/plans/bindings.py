@@ -24,7 +24,7 @@ TAU = 0.6
 PRODUCER = "detector"
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "dup_feature", "const_feature"]
 LINE_CLASSES = ["A", "N", "R"]
-POLICY = GatePolicy(confidence_threshold=0.5, category_thresholds={"Infiltration": 0.3}, immediate_threshold=0.8)
+POLICY = GatePolicy(confidence_threshold=0.5, category_thresholds={"Infiltration": 0.3}, immediate_confidence_threshold=0.8)
 BATCH = 100
 BUCKET = 65_536  # id bucket width for ranks: bounds what one task sorts
 

@@ -154,18 +154,26 @@ def calibration_rank(spark, sf):
     return rounded(C.calibration_rank(errors, aucs))
 
 
-@query("anchor_flag", with_ctes("SELECT row_id, round(score, 6) AS confidence, score >= 0.6 AS anchor FROM flow", "flow"))
+# some confidences are NaN, some null: neither is ever anchored
+_SILENT = "(row_id % 101 = 7 OR row_id % 103 = 9)"
+
+
+def _with_gaps(confidence):
+    return F.when(F.col("row_id") % 101 == 7, float("nan")).when(F.col("row_id") % 103 != 9, confidence)
+
+
+@query("anchor_flag", with_ctes(f"SELECT row_id, round(score, 6) AS confidence, score >= 0.6 AND NOT {_SILENT} AS anchor FROM flow", "flow"))
 def anchor_flags(spark, sf):
     f = B.flow(spark, sf)
-    return f.select("row_id", F.round("score", 6).alias("confidence"), anchor_flag(F.col("score"), B.TAU).alias("anchor"))
+    return f.select("row_id", F.round("score", 6).alias("confidence"), anchor_flag(_with_gaps(F.col("score")), B.TAU).alias("anchor"))
 
 
 @query("gate_decision", with_ctes(
-    "SELECT event_id, threat_class AS threat_category, confidence, decision FROM decided", "decided"))
+    f"SELECT event_id, threat_class AS threat_category, confidence, CASE WHEN {_SILENT} THEN 'off_chain_only' ELSE decision END AS decision FROM decided", "decided"))
 def gate_decision(spark, sf):
     a = B.alerts(spark, sf)
     decision = B.POLICY.decide(
-        F.when(F.col("threat_class") == "Benign", "BENIGN").otherwise("ATTACK"), F.col("threat_class"), F.col("confidence")
+        F.when(F.col("threat_class") == "Benign", "BENIGN").otherwise("ATTACK"), F.col("threat_class"), _with_gaps(F.col("confidence"))
     )
     return a.select("event_id", F.col("threat_class").alias("threat_category"), "confidence", decision.alias("decision"))
 

@@ -116,11 +116,11 @@ def event_contract(spark, sf):
 SELECT row_id, rank, feature, round(shap, 6) AS shap FROM (
   SELECT row_id, feature, shap, row_number() OVER (PARTITION BY row_id ORDER BY abs(shap) DESC, i) - 1 AS rank FROM (
     SELECT row_id, unnest(['Benign', 'Bot', 'DDoS', 'Infiltration']) AS feature, unnest([p0 - 0.25, p1 - 0.25, p2 - 0.25, p3 - 0.25]) AS shap,
-      unnest([0, 1, 2, 3]) AS i FROM scored)) WHERE rank < 2""", "scored"))
+      unnest([0, 1, 2, 3]) AS i FROM scored)) WHERE rank < 5""", "scored"))
 def topk_attributions(spark, sf):
     items = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"p{i}").alias("value"), (F.col(f"p{i}") - 0.25).alias("shap")) for i, c in enumerate(CLASSES)])
-    top = B.scored(spark, sf).select("row_id", F.posexplode(top_by_magnitude(items, "shap", 2)).alias("rank", "a"))
+    top = B.scored(spark, sf).select("row_id", F.posexplode(top_by_magnitude(items, "shap", 5)).alias("rank", "a"))
     return top.select("row_id", F.col("rank").cast("long").alias("rank"), F.col("a.feature").alias("feature"), F.round("a.shap", 6).alias("shap"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, learners as L
+from ..functions.vectors import threshold_argmax
 from ..operators import coverage as C
+from ..operators import metrics as M
 from . import bindings as B
+from .bindings import with_ctes
 from .catalog import query
 from .rounding import rounded
 
@@ -19,10 +22,15 @@ def _split(spark, sf, name):
 
 
 def _forest(spark, sf):
-    train = L.with_balanced_weight(L.prepared(_split(spark, sf, "train"), _FEATURES, "category", B.LINE_CLASSES), "category")
+    train = L.fitting_rows(_split(spark, sf, "train"), _FEATURES, "category", B.LINE_CLASSES)
     return L.BUILDERS["randomforest"](len(_FEATURES), 3).fit(train)
 
 
+@query("label_rejects", with_ctes("SELECT attack AS label, count(*) AS n FROM flow WHERE attack NOT IN ('view', 'click') OR attack IS NULL GROUP BY 1", "flow"))
+def label_rejects(spark, sf):
+    return L.label_rejects(B.flow(spark, sf), "attack", ["view", "click"])
+
+
 @query("compare_models")
 def compare_models(spark, sf):
     return rounded(L.compare_models(_split(spark, sf, "train"), _split(spark, sf, "test"), _FEATURES, "category", B.LINE_CLASSES, _BENIGN))
@@ -75,9 +83,13 @@ def platt(spark, sf):
 
 @query("fit_thresholds")
 def fit_thresholds(spark, sf):
-    tau, best = L.fit_thresholds(B.scored(spark, sf), "prob", "category", B.CLASSES)
-    rows = [(c, float(t), float(best)) for c, t in zip(B.CLASSES, tau)]
-    return spark.createDataFrame(rows, "class string, threshold double, macro_f1 double")
+    """Fitted on even rows; ``macro_f1`` is that of the odd rows."""
+    rows = B.scored(spark, sf)
+    tau, _ = L.fit_thresholds(rows.where("row_id % 2 = 0"), "prob", "category", B.CLASSES)
+    held = rows.where("row_id % 2 = 1").withColumn("y_pred", threshold_argmax(F.col("prob"), tau, B.CLASSES))
+    score = M.multiclass_metrics(M.confusion(held, "category", "y_pred"), B.CLASSES).select("f1_macro").scalar()
+    table = spark.createDataFrame([(c, float(t)) for c, t in zip(B.CLASSES, tau)], "class string, threshold double")
+    return table.withColumn("macro_f1", F.round(score, 6))
 
 
 @query("score_batch")
@@ -93,6 +105,6 @@ def score_batch(spark, sf):
 def occlusion(spark, sf):
     train = _split(spark, sf, "train")
     medians = {r["feature"]: r["median"] for r in cleaning.fit_medians(train, _FEATURES).collect()}  # one per feature
-    out = L.occlusion_attributions(_split(spark, sf, "test"), _forest(spark, sf), _FEATURES, B.LINE_CLASSES, medians, 2)
+    out = L.occlusion_attributions(_split(spark, sf, "test"), _forest(spark, sf), _FEATURES, B.LINE_CLASSES, medians)
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "predicted_class", F.posexplode("attributions").alias("rank", "a")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "predicted_class", "rank", "a.feature", F.col("a.shap").alias("contribution"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.canonical import with_canonical_json
 from ..operators import coverage as C
+from ..operators import ledger as G
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..streaming import retry, serving
@@ -76,20 +77,32 @@ def throughput(spark, sf):
     return t.withColumns({"elapsed_sec": F.round("elapsed_sec", 3), "per_second": F.round("per_second", 6)})
 
 
-# some outcomes are missing, some written twice
+# some outcomes are missing, some written twice; some ids are submitted again, most of those rejected
 _LOSS = "o AS (SELECT * FROM outcomes WHERE event_id % 1009 <> 7 UNION ALL SELECT * FROM outcomes WHERE event_id % 2003 = 5)"
 
 
 @query("loss_accounting", with_ctes("", "outcomes").rstrip() + f""", {_LOSS},
 i AS (SELECT e.event_id, count(*) FILTER (o.outcome = 'committed') AS c, count(*) FILTER (o.outcome = 'dead_lettered') AS d,
   max(o.attempts) FILTER (o.outcome = 'committed') AS att FROM events e LEFT JOIN o ON o.event_id = e.event_id GROUP BY 1)
-SELECT count(*) AS submitted, count(*) FILTER (c > 0) AS committed, count(*) FILTER (d > 0) AS dead_lettered, count(*) FILTER (att > 1) AS retried,
-  count(*) FILTER (c + d = 0) AS lost, count(*) FILTER (c + d > 1) AS counted_twice, 0::BIGINT AS unknown,
-  count(*) FILTER (c + d <> 1) = 0 AS zero_loss FROM i""")
+s AS (SELECT *, CASE WHEN event_id % 499 = 3 THEN 2 ELSE 1 END AS s, CASE WHEN event_id % 998 = 3 THEN 1 ELSE 0 END AS r FROM i)
+SELECT sum(s)::BIGINT AS submitted, count(*) FILTER (c > 0) AS committed, count(*) FILTER (d > 0) AS dead_lettered, sum(r)::BIGINT AS rejected,
+  count(*) FILTER (att > 1) AS retried, sum(greatest(s - r - least(c + d, 1), 0))::BIGINT AS lost, count(*) FILTER (c + d > 1) AS counted_twice, 0::BIGINT AS unknown,
+  sum(greatest(s - r - least(c + d, 1), 0)) = 0 AND count(*) FILTER (c + d > 1) = 0 AS zero_loss FROM s""")
 def loss_accounting(spark, sf):
     o = B.outcomes(spark, sf)
     written = o.where("event_id % 1009 <> 7").unionByName(o.where("event_id % 2003 = 5"))
-    return R.loss_accounting(o, written)
+    again = o.where("event_id % 499 = 3")
+    return R.loss_accounting(o.unionByName(again), written, rejected=again.where("event_id % 998 = 3"))
+
+
+@query("rejected_events", with_ctes("", "outcomes").rstrip() + """,
+b AS (SELECT event_id, event_id AS seq FROM outcomes UNION ALL SELECT event_id, event_id + 1000000 FROM outcomes WHERE event_id % 7 = 0)
+SELECT event_id, seq, CASE WHEN event_id % 10 = 4 THEN 'already settled' WHEN seq >= 1000000 AND event_id % 7 = 0 AND seq = event_id + 1000000 THEN 'repeated in the batch' END AS reason
+FROM b WHERE event_id % 10 = 4 OR seq = event_id + 1000000""", "outcomes"))
+def rejected_events(spark, sf):
+    o = B.outcomes(spark, sf).select("event_id", F.col("event_id").alias("seq"))
+    batch = o.unionByName(o.where("event_id % 7 = 0").withColumn("seq", F.col("seq") + 1000000))
+    return G.with_reject_reason(batch, o.where("event_id % 10 = 4"), "event_id", ["seq"]).where("reason is not null")
 
 
 @query("max_dead_run", with_ctes("""
@@ -109,12 +122,12 @@ def retry_due(spark, sf):
 
 
 @query("latest_state", with_ctes("""
-SELECT resource_id, count(*) AS events, max(timestamp) AS last_timestamp, max_by(event_id, row_id) AS last_event_id FROM decided
+SELECT resource_id, count(*) AS events, max(timestamp) AS last_timestamp, arg_max(event_id, timestamp || event_id) AS last_event_id FROM decided
 WHERE decision <> 'off_chain_only' GROUP BY resource_id""", "decided"))
 def latest_state(spark, sf):
     log = B.decided(spark, sf).where("decision <> 'off_chain_only'").select(
         "row_id", "event_id", "timestamp", F.coalesce("cloud_resource_id", F.lit(K.UNMAPPED_RESOURCE)).alias("resource_id"))
-    return serving.latest_state(log, "resource_id", "row_id")
+    return serving.latest_state(log, "resource_id")
 
 
 @query("arrival_windows", with_ctes("", "outcomes").rstrip() + """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -16,25 +17,28 @@ class Roles:
     features: list[str]
 
 
-def _matches(column: str, patterns: list[str]) -> bool:
-    return any(p in column.lower() for p in patterns)
+def _named(patterns: list[str]) -> re.Pattern[str]:
+    return re.compile("|".join(map(re.escape, patterns)), re.IGNORECASE)
+
+
+#: Roles by precedence; the last one takes every name.
+ROLE_RULES = {"identifiers": _named(K.IDENTIFIER_PATTERNS), "labels": _named(K.LABEL_PATTERNS), "features": re.compile("")}
+TIMESTAMP_NAME = _named(K.TIMESTAMP_PATTERNS)
+
+
+def role_of(column: str) -> str:
+    """The first role whose rule finds something in the name."""
+    return next(role for role, rule in ROLE_RULES.items() if rule.search(column))
 
 
 def classify_columns(columns: list[str]) -> Roles:
-    """Identifier beats label beats feature."""
-    roles = Roles([], [], [])
-    for column in columns:
-        if _matches(column, K.IDENTIFIER_PATTERNS):
-            roles.identifiers.append(column)
-        elif _matches(column, K.LABEL_PATTERNS):
-            roles.labels.append(column)
-        else:
-            roles.features.append(column)
-    return roles
+    """Columns by role, each in their given order."""
+    role = {c: role_of(c) for c in columns}
+    return Roles(**{name: [c for c in columns if role[c] == name] for name in ROLE_RULES})
 
 
 def timestamp_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if _matches(c, K.TIMESTAMP_PATTERNS)]
+    return list(filter(TIMESTAMP_NAME.search, columns))
 
 
 def _best_label(labels: list[str], word: str) -> str | None:

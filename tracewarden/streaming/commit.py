@@ -1,7 +1,7 @@
 """Asynchronous evidence commit as a streaming job.
 
-Every micro-batch is one *epoch*. It takes the new events and the retries that are due, rejects ids
-the log already holds, calls the commit check once, and appends records, blocks, outcomes and the
+Every micro-batch is one *epoch*. It takes the new events and the retries that are due, sets aside
+repeated ids with a reason, calls the commit check once, and appends records, blocks, outcomes and the
 rows still pending under its own epoch folder. Running an epoch again overwrites exactly its own
 folders and reads only earlier ones, so a replay after a failure changes nothing.
 """
@@ -13,10 +13,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_SIZE, MAX_ATTEMPTS
+from ..functions.text import rfc3339
 from ..operators import ledger as G
 from ..operators.reports import loss_accounting
 from . import retry
@@ -30,7 +31,7 @@ EPOCHS_PER_BATCH = 1000  # epoch = batch_id * 1000 + drain round
 
 @dataclass
 class CommitLog:
-    """Folder layout of the log. Tables: attempts, records, blocks, outcomes, pending."""
+    """Folder layout of the log. Tables: taken, attempts, records, blocks, heads, outcomes, settled, pending."""
 
     spark: SparkSession
     root: str
@@ -51,8 +52,9 @@ class CommitLog:
     def read_epoch(self, table: str, epoch: int) -> DataFrame:
         return self.spark.read.parquet(self.path(table, epoch))
 
-    def write(self, df: DataFrame, table: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(table, epoch))
+    def write(self, df: DataFrame, table: str, epoch: int, by: str | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(self.path(table, epoch))
 
     def epochs(self, table: str) -> list[int]:
         """Epochs that ran, whether or not they left rows behind."""
@@ -62,6 +64,11 @@ class CommitLog:
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
 
 
+def id_prefix(key: str) -> Column:
+    """``h`` and two hex digits of an id's hash, by which settled ids are kept."""
+    return F.concat(F.lit("h"), F.substring(F.md5(F.col(key)), 1, 2))
+
+
 CommitCheck = Callable[[DataFrame], DataFrame]
 
 
@@ -94,10 +101,8 @@ class EvidenceCommitter:
         tries = fresh.select(*EVENT_COLUMNS, F.lit(1).alias("attempt"))
         if due is not None:
             tries = tries.unionByName(due.select(*EVENT_COLUMNS, (F.col("attempt") + 1).alias("attempt")))
-        # an id may come twice in one batch: the further attempt wins, then the earlier arrival
-        rank = F.struct((-F.col("attempt")).alias("a"), "seq", *[c for c in tries.columns if c not in ("event_id", "seq")])
-        tries = tries.groupBy("event_id").agg(F.min(rank).alias("r")).select("event_id", "r.*").drop("a").select(*EVENT_COLUMNS, "attempt")
-        tries = self._unknown(tries, epoch)
+        self._take(tries, epoch)
+        tries = self.log.read_epoch("taken", epoch).where("reason is null").drop("reason")
         self.log.write(self.commit(tries).withColumn("tried_sec", F.lit(now)), "attempts", epoch)
 
         done = self.log.read_epoch("attempts", epoch)
@@ -107,6 +112,7 @@ class EvidenceCommitter:
             "event_id", F.when(F.col("error").isNull(), "committed").otherwise("dead_lettered").alias("outcome"),
             F.col("attempt").alias("attempts"), "enqueued_sec", F.col("tried_sec").alias("finished_sec"), "error",
         ), "outcomes", epoch)
+        self.log.write(final.select("event_id", id_prefix("event_id").alias("prefix")), "settled", epoch, by="prefix")
         pending = done.where(F.col("error").isNotNull() & (F.col("attempt") < self.max_attempts)).select(
             *EVENT_COLUMNS, "attempt", "tried_sec", "error")
         if waiting is not None:
@@ -120,24 +126,47 @@ class EvidenceCommitter:
         rows = retry.with_state(self.log.read_epoch("pending", earlier[-1]), "tried_sec", now, self.max_attempts)
         return rows.where("state = 'due'"), rows.where("state = 'waiting'")
 
-    def _unknown(self, tries: DataFrame, epoch: int) -> DataFrame:
-        """Ids the log has not settled. A settled id is rejected whenever it comes back."""
-        settled = self.log.read("outcomes", epoch)
-        return tries if settled is None else tries.join(settled.select("event_id"), "event_id", "left_anti")
+    def _take(self, tries: DataFrame, epoch: int) -> None:
+        """Write every row of the epoch to ``taken``, with a reason where it is not tried.
+
+        Of the rows of one id the further attempt is tried, then the earlier arrival; the others are
+        repeats. An id the log has settled is refused whenever it comes back. Settled ids are kept by a
+        prefix of their hash, so an epoch opens the prefixes of its own ids only.
+        """
+        settled = self.log.read("settled", epoch)
+        if settled is not None:
+            prefixes = [r[0] for r in tries.select(id_prefix("event_id")).distinct().collect()]  # at most 256
+            settled = settled.where(F.col("prefix").isin(*prefixes)).select("event_id")
+        order = [F.col("attempt").desc(), "seq", *[c for c in EVENT_COLUMNS if c not in ("event_id", "seq")]]
+        told = G.with_reject_reason(tries, settled, "event_id", order)
+        self.log.write(told.select(*EVENT_COLUMNS, "attempt", "reason"), "taken", epoch)
+
+    def rejected(self) -> DataFrame | None:
+        """Submissions that were not tried, with their reason."""
+        taken = self.log.read("taken")
+        return None if taken is None else taken.where(F.col("reason").isNotNull())
 
     def _append_blocks(self, committed: DataFrame, epoch: int) -> None:
         batches = G.assign_batches(committed, "seq", ["chain"], self.batch_size)
         roots = G.batch_roots(batches, "payload_digest", ["chain"]).withColumnRenamed("batch_no", "block_number")
-        earlier = self.log.read("blocks", epoch)
-        heads = None if earlier is None else G.chain_heads(earlier, "chain")
+        heads = self._heads(epoch)
         self.log.write(G.link_blocks(roots, "chain", heads=heads), "blocks", epoch)
+        now = G.chain_heads(self.log.read_epoch("blocks", epoch), "chain")
+        if heads is not None:
+            now = now.unionByName(heads.join(now.select("chain"), "chain", "left_anti"))
+        self.log.write(now, "heads", epoch)
         numbered = batches if heads is None else batches.join(heads.select("chain", "next_block"), "chain", "left")
         offset = F.lit(0) if heads is None else F.coalesce("next_block", F.lit(0))
         blocks = self.log.read_epoch("blocks", epoch).select("chain", "block_number", "merkle_root")
         records = numbered.withColumn("block_number", F.col("batch_no") + offset).join(blocks, ["chain", "block_number"])
         self.log.write(records.select(
             "event_id", "chain", "payload_digest", "resource_id", "seq", "block_number", "leaf_index", "merkle_root",
-            F.col("tried_sec").alias("committed_sec")), "records", epoch)
+            F.col("tried_sec").alias("committed_sec"), rfc3339(F.timestamp_millis((F.col("tried_sec") * 1000).cast("long"))).alias("timestamp")), "records", epoch)
+
+    def _heads(self, epoch: int) -> DataFrame | None:
+        """Where every chain stands after the last epoch, one row per chain; no block is read again."""
+        earlier = [e for e in self.log.epochs("heads") if e < epoch]
+        return self.log.read_epoch("heads", earlier[-1]) if earlier else None
 
     # --- stream ------------------------------------------------------------------------------
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True, interval: str = "5 seconds"):
@@ -151,7 +180,10 @@ class EvidenceCommitter:
 
         Backoff is not waited for. Returns the number of rounds; ``max_attempts`` of them suffice.
         """
-        epoch, rounds = self.log.epochs("pending")[-1], 0
+        epochs = self.log.epochs("pending")
+        if not epochs:
+            return 0
+        epoch, rounds = epochs[-1], 0
         empty = self.log.spark.createDataFrame([], EVENT_SCHEMA)
         while not self.log.read_epoch("pending", epoch).isEmpty():
             epoch, rounds = epoch + 1, rounds + 1
@@ -159,4 +191,7 @@ class EvidenceCommitter:
         return rounds
 
     def accounting(self, submitted: DataFrame) -> DataFrame:
-        return loss_accounting(submitted, self.log.read("outcomes").select("event_id", "outcome", "attempts"))
+        outcomes = self.log.read("outcomes")
+        if outcomes is None:
+            outcomes = self.log.spark.createDataFrame([], "event_id string, outcome string, attempts int")
+        return loss_accounting(submitted, outcomes.select("event_id", "outcome", "attempts"), rejected=self.rejected())

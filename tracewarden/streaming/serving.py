@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_rfc3339
 
-def latest_state(log: DataFrame, resource: str, order: str) -> DataFrame:
-    """Event count and last event per resource; a hot resource combines map-side to one row per task."""
-    return log.groupBy(resource).agg(
-        F.count("*").alias("events"), F.max("timestamp").alias("last_timestamp"), F.max_by("event_id", order).alias("last_event_id")
-    )
+
+def latest_state(log: DataFrame, resource: str) -> DataFrame:
+    """Event count and last event per resource; a hot resource combines map-side to one row per task.
+
+    Time is compared as time; of events of one instant the larger id is the last, as in
+    ``merge_latest``.
+    """
+    last = F.max(F.struct(parse_rfc3339(F.col("timestamp")).alias("t"), "event_id", "timestamp"))
+    return log.groupBy(resource).agg(F.count("*").alias("events"), last.alias("l")).select(
+        resource, "events", F.col("l.timestamp").alias("last_timestamp"), F.col("l.event_id").alias("last_event_id"))
 
 
 def by_event(log: DataFrame, event_id: str) -> DataFrame:
@@ -18,13 +25,13 @@ def by_event(log: DataFrame, event_id: str) -> DataFrame:
 
 
 def by_resource(log: DataFrame, resource_id: str) -> DataFrame:
-    return log.where(F.col("resource_id") == resource_id).orderBy("timestamp", "event_id")
+    return log.where(F.col("resource_id") == resource_id).orderBy(parse_rfc3339(F.col("timestamp")), "event_id")
 
 
 def merge_latest(current: DataFrame, fresh: DataFrame, resource: str) -> DataFrame:
     """Latest state after new records: counts add up, the later event wins."""
     both = current.unionByName(fresh)
-    last = F.max(F.struct("last_timestamp", "last_event_id"))
+    last = F.max(F.struct(parse_rfc3339(F.col("last_timestamp")).alias("t"), "last_event_id", "last_timestamp"))
     return both.groupBy(resource).agg(F.sum("events").alias("events"), last.alias("l")).select(
         resource, "events", F.col("l.last_timestamp").alias("last_timestamp"), F.col("l.last_event_id").alias("last_event_id")
     )
@@ -48,8 +55,10 @@ class ServingView:
         self._next += 1
         try:
             log = self.spark.read.parquet(self.log_path)
-            latest_state(log, "resource_id", "timestamp").write.mode("overwrite").parquet(f"{self.root}/v{target}")
-        except Exception:  # noqa: BLE001 - an unreachable log must not take the old view away
+            latest_state(log, "resource_id").write.mode("overwrite").parquet(f"{self.root}/v{target}")
+        except AnalysisException as exc:  # a log that is not there must not take the old view away
+            if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return False
         self.version, self.synced_at = target, now
         return True
