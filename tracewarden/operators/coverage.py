@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import COVERAGE_TARGETS, RELIABILITY_BINS, UNIFORM_TAUS
-from .distributed import bounded_local, quantile_grids, running_totals, value_counts
+from .distributed import quantile_grids, running_totals, value_counts
 from .metrics import ratio
 
-MAX_GATES = 201 + 60 + 400 + 2000
 
 
 # --- calibration -------------------------------------------------------------------------------
@@ -82,26 +81,21 @@ def calibration_rank(errors: DataFrame, aucs: DataFrame, method: str = "method")
 
 
 # --- curve -------------------------------------------------------------------------------------
-def threshold_grid(df: DataFrame, score: str, dense_below: int = 2000) -> DataFrame:
-    """Gate candidates: uniform, score quantiles, near-one points, and the distinct scores if few.
+def threshold_grid(df: DataFrame, score: str) -> DataFrame:
+    """Gate candidates: uniform, near-one points, score quantiles, and closer ones of the top 15 %.
 
-    With ``dense_below`` or more distinct scores, quantiles of the top 15 % stand in for them. The
-    result has at most about 3,300 rows whatever the table, so it is fixed on the driver once and the
-    curve's plan does not compute it again.
+    One rule at every size. The result has at most 1,261 rows whatever the table; it stays a frame.
     """
     base = [i / (UNIFORM_TAUS - 1) for i in range(UNIFORM_TAUS)]
     near_one = [1.0 - 10.0 ** (-7.0 + i * 6.0 / 59.0) for i in range(60)]
     wide = [i / 399 for i in range(400)]
     top = [0.85 + 0.15 * i / 599 for i in range(600)]
-    counts = value_counts(df, [score]).withColumn("one", F.lit(1).cast("long"))
-    ranked = running_totals(counts, "value", ["n", "one"])
+    ranked = running_totals(value_counts(df, [score]), "value", ["n"])
     literal = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in base + near_one])).alias("tau"))
-    quantiles = quantile_grids(ranked, [(wide, F.lit(True)), (top, F.col("one_total") >= dense_below)]).select(
+    quantiles = quantile_grids(ranked, [(wide, F.lit(True)), (top, F.lit(True))]).select(
         F.col("quantile").alias("tau")
     )
-    distinct = ranked.where(F.col("one_total") < dense_below).select(F.col("value").alias("tau"))
-    grid = literal.union(quantiles).union(distinct).where("tau >= 0 and tau <= 1.000000001").distinct()
-    return bounded_local(grid, MAX_GATES)
+    return literal.union(quantiles).where("tau >= 0 and tau <= 1.000000001").distinct()
 
 
 def icr_curve(df: DataFrame, score: str, attack: Column, grid: DataFrame) -> DataFrame:

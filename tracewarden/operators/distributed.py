@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-DEFAULT_CUTS = 256
-MAX_SETTLED_GROUPS = 2048  # of about 2 kB each
-ID_BUCKET_WIDTH = 262_144
 HASH_BUCKET_CHARS = 5  # about a million buckets
 
 
@@ -46,42 +43,25 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame,
-    order: str,
-    measures: list[str],
-    by: list[str] | None = None,
-    bucket: Column | None = None,
-    cuts: int = DEFAULT_CUTS,
+    df: DataFrame, order: str, measures: list[str], by: list[str] | None = None, bucket: Column | None = None,
 ) -> DataFrame:
     """Exclusive prefix sums of ``measures`` along ``order`` inside each ``by`` group.
 
     ``df`` holds one row per (by, order). Adds ``<m>_before`` and ``<m>_total``. Without an
-    order-preserving ``bucket`` expression, bucket borders are approximate quantiles of the order
-    column, so a bucket holds about 1/``cuts`` of a group whatever the distribution; the sums
-    themselves are exact. Borders are evaluated when the frame is built, and only once.
+    order-preserving ``bucket`` expression, buckets are the ranges of one range shuffle by (by, order),
+    as many as there are shuffle partitions; a group of any size lies in as many of them as it fills.
+    Range borders come from a sample, so the dealt rows are checkpointed: every branch, and every retry,
+    sees the same buckets. Sums per bucket are the only rows that are ever ordered across buckets.
     """
     by = by or []
-    if bucket is None:
-        side = max(2, int(cuts ** 0.5))
-        steps = [i / side ** 2 for i in range(1, side ** 2)]
-        totals = [F.sum(m).alias(f"{m}_total") for m in measures]
-        summary = df.groupBy(*by).agg(F.percentile_approx(order, steps, 10_000).alias("_cuts"), *totals)
-        summary, small = _settled(summary)
-        every = F.sequence(F.lit(side - 1), F.lit(side * side - 2), F.lit(side))
-        summary = summary.withColumn("_coarse", F.transform(every, lambda i: F.get("_cuts", i)))
-        keyed = _attach(df, F.broadcast(summary) if small and by else summary, by)
-        keyed = keyed.withColumn("_bucket", _cut_index(F.col(order), side)).drop("_cuts", "_coarse")
-    else:
-        keyed = df.withColumn("_bucket", bucket)
-
+    keyed = ranged(df, [*by, order]) if bucket is None else df.withColumn("_bucket", bucket)
     group = F.struct(*by, "_bucket").alias("_k")
     per_bucket = keyed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     whole = W.partitionBy(*by)
     earlier = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = [F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures]
-    if bucket is not None:
-        # group totals ride along, so the rows are never joined (or shuffled) by group alone
-        offsets += [F.sum(f"_sum_{m}").over(whole).alias(f"{m}_total") for m in measures]
+    # group totals ride along, so the rows are never joined (or shuffled) by group alone
+    offsets += [F.sum(f"_sum_{m}").over(whole).alias(f"{m}_total") for m in measures]
     offsets = per_bucket.select(group, *offsets)
     # join and window share the key, so the rows move once
     joined = keyed.withColumn("_k", group).join(offsets, "_k")
@@ -91,53 +71,20 @@ def running_totals(
     }).drop("_k", "_bucket", *[f"_off_{m}" for m in measures])
 
 
-def _settled(summary: DataFrame) -> tuple[DataFrame, bool]:
-    """The borders evaluated once, and whether they are small.
-
-    Approximate quantiles depend on the order in which partial sketches are merged. Evaluated again
-    in another branch (or after a lost executor) they could differ, and rows would then be counted in
-    one bucket and offset by another. Up to ``MAX_SETTLED_GROUPS`` groups are kept on the driver; more
-    are written as a checkpoint.
-    """
-    rows = summary.limit(MAX_SETTLED_GROUPS + 1).collect()
-    if len(rows) <= MAX_SETTLED_GROUPS:
-        return summary.sparkSession.createDataFrame(rows, summary.schema), True
-    ensure_checkpoint_dir(summary.sparkSession)
-    return summary.checkpoint(), False
-
-
-def _cut_index(value: Column, side: int) -> Column:
-    """Number of cuts below a value, looking at 2 * side of the side * side cuts."""
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
-    coarse = below(F.col("_coarse"))
-    return coarse * side + below(F.slice(F.col("_cuts"), coarse * side + 1, F.lit(side - 1)))
-
-
-def _attach(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
-    """Add per-group summary columns; a whole-table summary comes in as a scalar subquery."""
-    if by:
-        return null_safe_join(df, summary, by)
-    packed = summary.select(F.struct("*").alias("s")).scalar()
-    wide = df.withColumn("_summary", packed)
-    return wide.select(*df.columns, *[F.col("_summary")[n].alias(n) for n in summary.columns])
-
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in ranges of ``keys``, with the range's number as ``_bucket``, settled by a checkpoint."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys).withColumn("_bucket", F.spark_partition_id()).checkpoint()
 
-def id_bucket(order: str, width: int = ID_BUCKET_WIDTH) -> Column:
-    """Order-preserving bucket of an integer id; at most ``width`` distinct ids share one."""
-    return F.floor(F.col(order) / F.lit(width))
 
+def row_positions(df: DataFrame, order: str, by: list[str] | None = None, out: str = "position") -> DataFrame:
+    """Contiguous zero-based rank of a unique ``order`` column (per group), plus group size.
 
-def row_positions(
-    df: DataFrame, order: str, by: list[str] | None = None, out: str = "position",
-    width: int = ID_BUCKET_WIDTH,
-) -> DataFrame:
-    """Contiguous zero-based rank of a unique integer ``order`` column (per group), plus group size.
-
-    One shuffle of the rows, keyed by (group, id bucket), so a hot group spreads over its buckets.
+    Works on ids of any kind, however sparse: the ranges follow the rows and not the values.
     """
-    by = by or []
-    counted = df.withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(counted, order, ["_one"], by, id_bucket(order, width))
+    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"], by)
     return (
         ranked.withColumnRenamed("_one_before", out)
         .withColumnRenamed("_one_total", out + "_total")
@@ -158,20 +105,18 @@ def value_at_positions(
     histogram = slim.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     cumulative = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    # positions holds a few rows, so this is a range check against a tiny broadcast side
-    matched = null_safe_join(cumulative, F.broadcast(positions), by) if by else cumulative.withColumn(
+    matched = null_safe_join(cumulative, positions, by) if by else cumulative.withColumn(
         "_target", F.explode(positions.agg(F.collect_list("_target")).scalar())
     )
     edges = matched.where(
         (F.col("_target") >= F.col("_before")) & (F.col("_target") < F.col("_before") + F.col("_n"))
     )
     edge_buckets = edges.select(*by, "_bucket", "_before").distinct()
-    # one row per edge bucket: never more than the number of targets
-    candidates = null_safe_join(slim, F.broadcast(edge_buckets), [*by, "_bucket"])
+    candidates = null_safe_join(slim, edge_buckets, [*by, "_bucket"])
     inside = W.partitionBy(*by, "_bucket").orderBy(key)
     ranked = candidates.withColumn("_target", F.col("_before") + F.row_number().over(inside) - 1)
     return null_safe_join(
-        ranked.select(*by, "_target", key), F.broadcast(positions), [*by, "_target"]
+        ranked.select(*by, "_target", key), positions, [*by, "_target"]
     )
 
 
@@ -196,7 +141,12 @@ def exact_percentiles(
     the distinct values in buckets and then picks two of them per probability.
     """
     by = by or []
-    ranked = running_totals(value_counts(df, columns, by), "value", ["n"], [*by, "feature"])
+    return percentiles_of(running_totals(value_counts(df, columns, by), "value", ["n"], [*by, "feature"]), probabilities, by)
+
+
+def percentiles_of(ranked: DataFrame, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """The same from a frame of (by, feature, value, n) with its running totals."""
+    by = by or []
     upto = F.col("n_before") + F.col("n")
     aggregates = []
     for i, p in enumerate(probabilities):
@@ -254,12 +204,3 @@ def _grid_hits(grid: int, probabilities: list[float]) -> Column:
             (rank(i) - F.floor(rank(i))).alias("fraction"),
         ),
     )
-
-
-def bounded_local(df: DataFrame, max_rows: int) -> DataFrame:
-    """Fix a result that is small by construction as a local relation, so later plans do not repeat
-    its computation. Fails instead of collecting more than ``max_rows`` rows."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)

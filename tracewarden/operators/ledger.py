@@ -11,20 +11,20 @@ from ..constants import BATCH_SIZE, GENESIS_HASH
 from ..functions.digests import sha256_hex
 from ..functions.merkle import merkle_levels, merkle_proof, merkle_root
 from ..functions.text import json_string, parse_rfc3339
-from .distributed import ID_BUCKET_WIDTH, pin, row_positions
+from .distributed import pin, row_positions
 
 SEGMENT_BLOCKS = 1024
 
 
 # --- batches -----------------------------------------------------------------------------------
 def assign_batches(
-    df: DataFrame, order: str, chain: list[str] | None = None, size: int = BATCH_SIZE, width: int = ID_BUCKET_WIDTH
+    df: DataFrame, order: str, chain: list[str] | None = None, size: int = BATCH_SIZE
 ) -> DataFrame:
     """Add ``batch_no`` and ``leaf_index`` by arrival order per chain; the last batch may be partial.
 
-    Ranks are taken per (chain, id bucket), so one chain may hold any share of the rows.
+    Ranks are taken per (chain, range of ids), so one chain may hold any share of the rows.
     """
-    ranked = row_positions(df, order, chain or [], "_position", width)
+    ranked = row_positions(df, order, chain or [], "_position")
     return ranked.withColumns({
         "batch_no": F.floor(F.col("_position") / size).cast("long"),
         "leaf_index": (F.col("_position") % size).cast("long"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SPLIT_FRACTIONS
-from .distributed import ID_BUCKET_WIDTH, id_bucket, row_positions, value_at_positions
+from .distributed import row_positions
 
 
 def keep_first(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
@@ -25,18 +25,18 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def positional_split(
     df: DataFrame, order: str, fractions: tuple[float, float, float] = SPLIT_FRACTIONS,
-    out: str = "split", width: int = ID_BUCKET_WIDTH,
+    out: str = "split",
 ) -> DataFrame:
     """train / val / test by capture position; sizes floor, the remainder goes to test.
 
-    Only two border ids are looked up, through a histogram of the id column, and then every row is
-    classified by comparison: the rows themselves are not shuffled.
+    Only two border ids are looked up, by ranking the id column alone, and then every row is classified
+    by comparison: the rows themselves are not shuffled.
     """
     n = F.col("n")
     train, val = (F.floor(n * f).cast("long") for f in fractions[:2])
     ends = df.agg(F.count("*").alias("n")).select(train.alias("first_val"), (train + val).alias("first_test"))
     targets = ends.select(F.explode(F.array_distinct(F.array("first_val", "first_test"))).alias("_target"))
-    found = value_at_positions(df, order, id_bucket(order, width), targets)
+    found = row_positions(df.select(order), order, out="_target").join(F.broadcast(targets), "_target")  # two targets
     ids = found.agg(F.map_from_entries(F.collect_list(F.struct("_target", order))).alias("m")).scalar()  # at most two
     marked = df.withColumn("_ids", ids).withColumn("_ends", ends.select(F.struct("*").alias("e")).scalar())
     # a rank past the last row finds no id: then nothing lies beyond that border
@@ -48,8 +48,8 @@ def positional_split(
     return marked.withColumn(out, split).drop("_ids", "_ends")
 
 
-def row_position(df: DataFrame, order: str, width: int = ID_BUCKET_WIDTH) -> DataFrame:
-    return row_positions(df, order, width=width).drop("position_total")
+def row_position(df: DataFrame, order: str) -> DataFrame:
+    return row_positions(df, order).drop("position_total")
 
 
 def tail_n(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -45,17 +45,16 @@ def average_precision(counts: DataFrame, by: list[str] | None = None) -> DataFra
     return _ranked(counts, by or []).groupBy(*(by or [])).agg(F.sum(step * tp / (tp + fp)).alias("average_precision"))
 
 
-def roc_curve(counts: DataFrame, max_points: int = 4000) -> DataFrame:
-    """(threshold, fpr, tpr), best score first, thinned to about ``max_points`` by a constant step.
+def roc_curve(counts: DataFrame) -> DataFrame:
+    """(point, threshold, fpr, tpr), best score first: one point per distinct score.
 
-    The origin, whose threshold is null, is point 0.
+    The origin, whose threshold is null, is point 0. ``thinned`` makes a long curve short.
     """
     marked = counts.withColumn("one", F.lit(1).cast("long"))
     ranked = running_totals(marked, "score", ["pos", "neg", "one"])
     d = lambda c: F.col(c).cast("double")
     points = ranked.select(
         (F.col("one_total") - F.col("one_before")).alias("point"),
-        F.greatest(F.lit(1), F.floor((F.col("one_total") + 1) / max_points)).alias("step"),
         F.col("score").alias("threshold"),
         ((d("neg_total") - d("neg_before")) / F.nullif(d("neg_total"), F.lit(0.0))).alias("fpr"),
         ((d("pos_total") - d("pos_before")) / F.nullif(d("pos_total"), F.lit(0.0))).alias("tpr"),
@@ -64,4 +63,10 @@ def roc_curve(counts: DataFrame, max_points: int = 4000) -> DataFrame:
         F.lit(0).cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
     )
-    return points.where(F.col("point") % F.col("step") == 0).drop("step").unionByName(origin)
+    return points.unionByName(origin)
+
+
+def thinned(curve: DataFrame, step: int) -> DataFrame:
+    """Every ``step``-th point of a curve and both of its ends."""
+    last = curve.agg(F.max("point")).scalar()
+    return curve.where((F.col("point") % step == 0) | (F.col("point") == last))

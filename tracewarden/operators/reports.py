@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .distributed import exact_percentiles, null_safe_full_join, null_safe_join, row_positions, running_totals, value_counts
+from .distributed import null_safe_full_join, null_safe_join, percentiles_of, row_positions, running_totals, value_counts
 from .metrics import ratio
 
 
@@ -32,8 +32,8 @@ def write_reduction(sizes: DataFrame, anchoring_rate: Column, batch: int = K.BAT
 def latency_percentiles(df: DataFrame, latency: str, by: list[str] | None = None) -> DataFrame:
     """p50, p95, p99 and max with linear interpolation, and p99 by nearest rank."""
     by = by or []
-    linear = exact_percentiles(df, [latency], [0.5, 0.95, 0.99, 1.0], by)
     ranked = running_totals(value_counts(df, [latency], by), "value", ["n"], [*by, "feature"])
+    linear = percentiles_of(ranked, [0.5, 0.95, 0.99, 1.0], by)
     # rank = ceil(0.99 n), in integers
     rank = F.floor((F.col("n_total") * 99 + 99) / 100) - 1
     hit = (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
@@ -100,14 +100,14 @@ def loss_accounting(
     ).withColumn("zero_loss", (F.col("lost") == 0) & (F.col("counted_twice") == 0) & (F.col("unknown") == 0))
 
 
-def longest_run(df: DataFrame, order: str, hit: Column, width: int = 262_144) -> DataFrame:
+def longest_run(df: DataFrame, order: str, hit: Column) -> DataFrame:
     """Longest run of consecutive rows for which ``hit`` holds, as a one-row frame.
 
     Gaps and islands with two distributed ranks: within a run, the difference between the rank among
     all rows and the rank among hits is constant.
     """
-    placed = row_positions(df.select(order, hit.alias("_hit")), order, out="_all", width=width)
-    hits = row_positions(placed.where("_hit").select(order, "_all"), order, out="_among", width=width)
+    placed = row_positions(df.select(order, hit.alias("_hit")), order, out="_all")
+    hits = row_positions(placed.where("_hit").select(order, "_all"), order, out="_among")
     runs = hits.groupBy((F.col("_all") - F.col("_among")).alias("island")).agg(F.count("*").alias("length"))
     return runs.agg(F.coalesce(F.max("length"), F.lit(0)).cast("long").alias("longest_run"))
 

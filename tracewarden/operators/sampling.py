@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BENIGN_KEEP_FRACTION, SEED
 from ..functions.digests import alert_canonical_string, hash_rank_key, sha256_hex, uuid5
-from .distributed import HASH_BUCKET_CHARS, ID_BUCKET_WIDTH, null_safe_join, row_positions, value_at_positions
+from .distributed import HASH_BUCKET_CHARS, null_safe_join, row_positions, value_at_positions
 
 
 def sample_by_quota(
@@ -37,8 +37,7 @@ def sample_by_quota(
         marked = hashed.withColumn("_all", whole).withColumn("_cut", cut)
         return marked.where(F.col("_all") | (F.col("_hash") <= F.col("_cut"))).drop("_hash", "_all", "_cut")
     limits = null_safe_join(quotas.where(F.col("quota") > 0), cuts, by, "left").select(*by, "_cut")
-    # one row per class: bounded by the label set
-    marked = null_safe_join(hashed, F.broadcast(limits), by)
+    marked = null_safe_join(hashed, limits, by)
     return marked.where(F.col("_cut").isNull() | (F.col("_hash") <= F.col("_cut"))).drop("_hash", "_cut")
 
 
@@ -87,9 +86,9 @@ def sample_n(df: DataFrame, row_id: str, total: int, seed: int = SEED) -> DataFr
 
 
 def quota_plan(counts: dict[str, int], wanted: dict[str, int], benign: str = "Benign") -> dict[str, int]:
-    """Final quotas after shortfalls are handed over, one row at a time, to classes with spare rows.
+    """Final quotas after shortfalls are handed over in turn to the classes with spare rows.
 
-    Works on at most one number per class. Benign never receives a handed-over row.
+    Works on at most one number per class, whole rounds at a time. Benign never receives a handed-over row.
     """
     quota = {c: min(n, counts.get(c, 0)) for c, n in wanted.items()}
     short = sum(wanted.values()) - sum(quota.values())
@@ -97,9 +96,10 @@ def quota_plan(counts: dict[str, int], wanted: dict[str, int], benign: str = "Be
         spare = [c for c in wanted if c != benign and counts.get(c, 0) > quota[c]]
         if not spare:
             break
-        for c in spare[:short]:
-            quota[c] += 1
-        short -= len(spare[:short])
+        rounds = min(short // len(spare), min(counts[c] - quota[c] for c in spare))
+        given = dict.fromkeys(spare, rounds) if rounds else dict.fromkeys(spare[:short], 1)
+        quota |= {c: quota[c] + n for c, n in given.items()}
+        short -= sum(given.values())
     return quota
 
 
@@ -123,7 +123,7 @@ def _fraction(index: Column, salt: str) -> Column:
 
 def replay_resample(
     alerts: DataFrame, order: str, draws: DataFrame, index: str, attack_ratio: float, resources: int,
-    seed: int = SEED, width: int = ID_BUCKET_WIDTH,
+    seed: int = SEED,
 ) -> DataFrame:
     """One replayed alert per row of ``draws``: an attack with the given probability, a random member
     of that pool, a new id and one of ``resources`` resource names.
@@ -132,7 +132,7 @@ def replay_resample(
     and resource are inside it. Draws spread evenly over the pool, so the join has no hot key.
     """
     attack = (F.col("verdict") == "ANOMALY").alias("_attack")
-    pool = row_positions(alerts.select("*", attack), order, ["_attack"], "_slot", width)
+    pool = row_positions(alerts.select("*", attack), order, ["_attack"], "_slot")
     counts = pool.groupBy("_attack").agg(F.max("_slot_total").alias("n"))
     sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("_attack", "n"))).alias("m")).scalar()  # two entries
     i = F.col(index)

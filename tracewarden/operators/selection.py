@@ -55,8 +55,7 @@ def fit_stumps(train: DataFrame, features: list[str], label: str, classes: list[
     best = scored.groupBy("feature").agg(
         F.max(F.struct("purity", (-F.col("value")).alias("neg"), "left_index", "right_index")).alias("b")
     ).select("feature", F.col("b.purity").alias("purity"), (-F.col("b.neg")).alias("value"), "b.left_index", "b.right_index")
-    # one row per feature on this side
-    following = counts.select("feature", F.col("value").alias("v")).join(F.broadcast(best), "feature").where(
+    following = counts.select("feature", F.col("value").alias("v")).join(best, "feature").where(
         F.col("v") > F.col("value")
     ).groupBy("feature").agg(F.min("v").alias("next_value"))
     names = F.array(*[F.lit(c) for c in classes])
@@ -78,8 +77,7 @@ def stump_screen(
     stumps = fit_stumps(train, features, label, classes)
     counts = _counts(val, features, label, classes)
     k = range(len(classes))
-    # one row per feature: bounded by the column count
-    sides = counts.join(F.broadcast(stumps), "feature").withColumn(
+    sides = counts.join(stumps, "feature").withColumn(
         "pred", F.when(F.col("threshold").isNull() | (F.col("value") <= F.col("threshold")), F.col("left_class"))
         .otherwise(F.col("right_class"))
     ).groupBy("feature").agg(

@@ -26,7 +26,6 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "dup_fe
 LINE_CLASSES = ["A", "N", "R"]
 POLICY = GatePolicy(confidence_threshold=0.5, category_thresholds={"Infiltration": 0.3}, immediate_confidence_threshold=0.8)
 BATCH = 100
-BUCKET = 65_536  # id bucket width for ranks: bounds what one task sorts
 
 _CATEGORY = (
     "CASE event_type WHEN 'view' THEN 'Benign' WHEN 'click' THEN 'Benign' WHEN 'signup' THEN 'Bot' "
@@ -270,7 +269,7 @@ def batched(spark: SparkSession, sf: str) -> DataFrame:
     anchored = decided(spark, sf).where(F.col("decision") != "off_chain_only").select(
         "row_id", "chain", "event_id", F.col("event.payload_digest").alias("payload_digest")
     )
-    return assign_batches(anchored, "row_id", ["chain"], BATCH, BUCKET)
+    return assign_batches(anchored, "row_id", ["chain"], BATCH)
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:

@@ -163,7 +163,7 @@ def parse_addresses(spark, sf):
     return a.select("event_id", parse_address(written).alias("digest"))
 
 
-@query("prepare_flows", f"""WITH {_SPLIT}, f AS (SELECT p.*, e.value FROM parts p JOIN events e USING (event_id)),
+@query("prepare_flows", f"""WITH {_SPLIT}, f AS (SELECT * FROM parts),
 m AS (SELECT quantile_cont(value, 0.5) AS med FROM f WHERE split = 'train' AND value <= 400)
 SELECT split, CASE WHEN event_type IN ('view', 'click') THEN 'Benign' WHEN event_type = 'signup' THEN 'Bot'
    WHEN event_type = 'purchase' THEN 'DDoS' ELSE 'Infiltration' END AS category, count(*) AS n,
@@ -171,9 +171,7 @@ SELECT split, CASE WHEN event_type IN ('view', 'click') THEN 'Benign' WHEN event
 FROM f, m GROUP BY ALL""")
 def prepare_flows(spark, sf):
     """The preparation job: first occurrences, split by position, mask, map labels, impute from train."""
-    split = split_events(spark, sf)
-    f = split.join(table(spark, sf, "events").select("event_id", "value"), "event_id")
-    f = L.map_labels(f, "event_type", "category", B.EVENT_MAP).withColumn("masked", L.is_outlier(F.col("value"), 400.0))
+    f = L.map_labels(split_events(spark, sf), "event_type", "category", B.EVENT_MAP).withColumn("masked", L.is_outlier(F.col("value"), 400.0))
     f = L.mask_outliers(f, ["value"], 400.0)
     filled = L.impute(f, ["value"], L.fit_medians(f, ["value"]))
     return rounded(filled.groupBy("split", "category").agg(

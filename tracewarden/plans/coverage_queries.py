@@ -30,9 +30,7 @@ _CURVE = f"""
 grid AS (SELECT DISTINCT tau FROM (
     SELECT unnest({_BASE}::DOUBLE[]) AS tau
     UNION ALL SELECT unnest(quantile_cont(score, {_WIDE}::DOUBLE[])) FROM flow
-    UNION ALL SELECT score FROM flow WHERE (SELECT count(DISTINCT score) FROM flow) < 2000
-    UNION ALL SELECT * FROM (SELECT unnest(quantile_cont(score, {_TOP}::DOUBLE[])) FROM flow)
-      WHERE (SELECT count(DISTINCT score) FROM flow) >= 2000) WHERE tau >= 0 AND tau <= 1.000000001),
+    UNION ALL SELECT unnest(quantile_cont(score, {_TOP}::DOUBLE[])) FROM flow) WHERE tau >= 0 AND tau <= 1.000000001),
 counts AS (SELECT score, count(*) AS n, count(*) FILTER (category <> 'Benign') AS a FROM flow GROUP BY score),
 cum AS (SELECT tau, sum(n) AS n, sum(a) AS a FROM grid JOIN counts ON score >= tau GROUP BY tau),
 tot AS (SELECT count(*) AS n, count(*) FILTER (category <> 'Benign') AS a FROM flow),

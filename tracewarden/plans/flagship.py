@@ -31,7 +31,7 @@ def anchored_records(spark: SparkSession, sf: str) -> DataFrame:
     anchored = checked.where("violations = 0 and decision <> 'off_chain_only'").drop("violations")
     # ranking reads its input several times: hash each alert once, and keep what ranking needs
     ensure_checkpoint_dir(spark)
-    return G.assign_batches(anchored.checkpoint(), "row_id", ["chain"], B.BATCH, B.BUCKET)
+    return G.assign_batches(anchored.checkpoint(), "row_id", ["chain"], B.BATCH)
 
 
 @query("evidence_chain", _SQL)

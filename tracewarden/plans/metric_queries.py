@@ -123,9 +123,9 @@ def pr_auc(spark, sf):
 
 @query("roc_curve", with_ctes("", "flow").rstrip() + f""", {_BIN}
 SELECT point, round(score, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM cu
-WHERE point % greatest(1, (npoints + 1) // 1000) = 0 UNION ALL SELECT 0, NULL, 0.0, 0.0""")
+UNION ALL SELECT 0, NULL, 0.0, 0.0""")
 def roc_curve(spark, sf):
-    return rounded(R.roc_curve(_counts(spark, sf), 1000))
+    return rounded(R.roc_curve(_counts(spark, sf)))
 
 
 @query("subtype_recall", with_ctes("""

@@ -52,45 +52,57 @@ def column_summary(spark, sf):
     return P.column_summary(table(spark, sf, "events"), list(_SUMMARY))
 
 
-_DUP = ["l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+@query("duplicate_count", """WITH raw AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0)
+SELECT (SELECT count(*) FROM raw) AS n_rows, count(*) AS n_distinct, (SELECT count(*) FROM raw) - count(*) AS n_duplicates FROM (SELECT DISTINCT * FROM raw)""")
+def duplicate_count(spark, sf):
+    """Copies of whole rows: the table with some of its orders delivered again."""
+    lines = table(spark, sf, "lineitem")
+    raw = lines.unionByName(lines.where("l_orderkey % 7 = 0"))
+    return P.duplicate_count(raw, raw.columns)
 
 
-@query("duplicate_count", f"""SELECT (SELECT count(*) FROM lineitem) AS n_rows, count(*) AS n_distinct,
-  (SELECT count(*) FROM lineitem) - count(*) AS n_duplicates FROM (SELECT DISTINCT {', '.join(_DUP)} FROM lineitem)""")
-def duplicate_count(spark, sf):
-    return P.duplicate_count(table(spark, sf, "lineitem"), _DUP)
+# the capture with some rows delivered again, whole but for their id
+_COPIES = 1_000_000_000
+_RAW = f"""raw AS (SELECT * FROM events
+  UNION ALL SELECT event_id + {_COPIES} AS event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 15 = 3)"""
+_DEDUPED = f"""{_RAW}, kept AS (
+  SELECT min(event_id) AS event_id, ts, user_id, event_type, value, props FROM raw GROUP BY ts, user_id, event_type, value, props)"""
 
 
-@query("distinct_rows", "SELECT DISTINCT user_id, event_type, props FROM events")
-def distinct_rows(spark, sf):
-    return O.distinct_rows(table(spark, sf, "events").select("user_id", "event_type", "props"))
+def _raw(spark, sf):
+    events = table(spark, sf, "events")
+    return events.unionByName(events.where("event_id % 15 = 3").withColumn("event_id", F.col("event_id") + _COPIES))
 
 
-@query("dedup_keep_first", "SELECT min(event_id) AS event_id, user_id, event_type, props FROM events GROUP BY user_id, event_type, props")
-def dedup_keep_first(spark, sf):
-    return O.keep_first(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+def _deduped(spark, sf):
+    return O.keep_first(_raw(spark, sf), "event_id")
 
 
-_DEDUPED = "kept AS (SELECT min(event_id) AS event_id, user_id, event_type, props FROM events GROUP BY user_id, event_type, props)"
+@query("distinct_rows", f"WITH {_RAW} SELECT DISTINCT epoch_us(ts) AS ts_us, user_id, event_type, round(value, 6) AS value, props FROM raw")
+def distinct_rows(spark, sf):
+    rows = O.distinct_rows(_raw(spark, sf).drop("event_id"))
+    return rows.select(B.micros(F.col("ts")).alias("ts_us"), "user_id", "event_type", F.round("value", 6).alias("value"), "props")
 
 
-def _deduped(spark, sf):
-    return O.keep_first(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+@query("dedup_keep_first", f"WITH {_DEDUPED} SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, round(value, 6) AS value, props FROM kept")
+def dedup_keep_first(spark, sf):
+    rows = _deduped(spark, sf)
+    return rows.select("event_id", B.micros(F.col("ts")).alias("ts_us"), "user_id", "event_type", F.round("value", 6).alias("value"), "props")
 
 
 @query("row_position", f"WITH {_DEDUPED} SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM kept")
 def row_position(spark, sf):
-    return O.row_position(_deduped(spark, sf), "event_id", B.BUCKET).select("event_id", "position")
+    return O.row_position(_deduped(spark, sf), "event_id").select("event_id", "position")
 
 
 _SPLIT = f"""{_DEDUPED},
 pos AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS p, count(*) OVER () AS n FROM kept),
-parts AS (SELECT event_id, user_id, event_type, props, CASE WHEN p < floor(n * 0.6::DOUBLE) THEN 'train'
+parts AS (SELECT event_id, ts, user_id, event_type, value, props, CASE WHEN p < floor(n * 0.6::DOUBLE) THEN 'train'
    WHEN p < floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM pos)"""
 
 
 def split_events(spark, sf):
-    return O.positional_split(_deduped(spark, sf), "event_id", width=B.BUCKET)
+    return O.positional_split(_deduped(spark, sf), "event_id")
 
 
 @query("positional_split", f"WITH {_SPLIT} SELECT event_id, split FROM parts")

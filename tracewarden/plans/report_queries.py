@@ -83,7 +83,7 @@ _LOSS = "o AS (SELECT * FROM outcomes WHERE event_id % 1009 <> 7 UNION ALL SELEC
 
 @query("loss_accounting", with_ctes("", "outcomes").rstrip() + f""", {_LOSS},
 i AS (SELECT e.event_id, count(*) FILTER (o.outcome = 'committed') AS c, count(*) FILTER (o.outcome = 'dead_lettered') AS d,
-  max(o.attempts) FILTER (o.outcome = 'committed') AS att FROM events e LEFT JOIN o ON o.event_id = e.event_id GROUP BY 1)
+  max(o.attempts) FILTER (o.outcome = 'committed') AS att FROM events e LEFT JOIN o ON o.event_id = e.event_id GROUP BY 1),
 s AS (SELECT *, CASE WHEN event_id % 499 = 3 THEN 2 ELSE 1 END AS s, CASE WHEN event_id % 998 = 3 THEN 1 ELSE 0 END AS r FROM i)
 SELECT sum(s)::BIGINT AS submitted, count(*) FILTER (c > 0) AS committed, count(*) FILTER (d > 0) AS dead_lettered, sum(r)::BIGINT AS rejected,
   count(*) FILTER (att > 1) AS retried, sum(greatest(s - r - least(c + d, 1), 0))::BIGINT AS lost, count(*) FILTER (c + d > 1) AS counted_twice, 0::BIGINT AS unknown,
@@ -98,7 +98,7 @@ def loss_accounting(spark, sf):
 @query("rejected_events", with_ctes("", "outcomes").rstrip() + """,
 b AS (SELECT event_id, event_id AS seq FROM outcomes UNION ALL SELECT event_id, event_id + 1000000 FROM outcomes WHERE event_id % 7 = 0)
 SELECT event_id, seq, CASE WHEN event_id % 10 = 4 THEN 'already settled' WHEN seq >= 1000000 AND event_id % 7 = 0 AND seq = event_id + 1000000 THEN 'repeated in the batch' END AS reason
-FROM b WHERE event_id % 10 = 4 OR seq = event_id + 1000000""", "outcomes"))
+FROM b WHERE event_id % 10 = 4 OR seq = event_id + 1000000""")
 def rejected_events(spark, sf):
     o = B.outcomes(spark, sf).select("event_id", F.col("event_id").alias("seq"))
     batch = o.unionByName(o.where("event_id % 7 = 0").withColumn("seq", F.col("seq") + 1000000))
@@ -109,7 +109,7 @@ def rejected_events(spark, sf):
 SELECT max(n) AS longest_run FROM (SELECT g, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY outcome ORDER BY event_id) AS g, outcome
   FROM outcomes) WHERE outcome = 'dead_lettered' GROUP BY g)""", "outcomes"))
 def max_dead_run(spark, sf):
-    return R.longest_run(B.outcomes(spark, sf), "event_id", F.col("outcome") == "dead_lettered", B.BUCKET)
+    return R.longest_run(B.outcomes(spark, sf), "event_id", F.col("outcome") == "dead_lettered")
 
 
 @query("retry_due", with_ctes("""

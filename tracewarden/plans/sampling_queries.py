@@ -71,5 +71,5 @@ SELECT i AS draw, p.event_id AS source_event_id, p.threat_class, 'i-load-' || lp
 FROM d JOIN pool p ON p.verdict = d.v AND p.slot = floor(d.u * p.n)""")
 def replay_resample(spark, sf):
     draws = B.flow(spark, sf).select(F.col("row_id").alias("draw"))
-    out = S.replay_resample(B.alerts(spark, sf), "row_id", draws, "draw", 0.25, 500, width=B.BUCKET)
+    out = S.replay_resample(B.alerts(spark, sf), "row_id", draws, "draw", 0.25, 500)
     return out.select("draw", "source_event_id", "threat_class", "cloud_resource_id")
