@@ -76,6 +76,45 @@ def test_running_an_epoch_again_changes_nothing(spark, events, tmp_path):
     assert outcomes.count() == outcomes.select("event_id").distinct().count()
 
 
+def test_repeated_submissions_leave_a_trace(spark, tmp_path):
+    committer = EvidenceCommitter(CommitLog(spark, str(tmp_path / "log")))
+    assert committer.drain() == 0 and committer.rejected() is None
+    row = lambda i, seq, d="x": (str(i), "c0", d * 64, "r1", seq, 0.0)
+    first = spark.createDataFrame([row(1, 1), row(2, 2), row(1, 3, "y")], EVENT_SCHEMA)
+    second = spark.createDataFrame([row(2, 4, "z"), row(3, 5), row(3, 6)], EVENT_SCHEMA)
+    committer.on_batch(first, 0)
+    committer.on_batch(second, 1)
+    assert sorted((r["event_id"], r["seq"], r["reason"]) for r in committer.rejected().collect()) == [
+        ("1", 3, "repeated in the batch"), ("2", 4, "already settled"), ("3", 6, "repeated in the batch")]
+    r = committer.accounting(first.unionByName(second)).first()
+    assert (r["submitted"], r["committed"], r["rejected"], r["lost"], r["zero_loss"]) == (6, 3, 3, 0, True)
+    r = committer.accounting(first.unionByName(second).unionByName(first.limit(1))).first()
+    assert (r["lost"], r["zero_loss"]) == (1, False)
+    # the view reads the committer's own log
+    view = serving.ServingView(spark, committer.log.path("records"), str(tmp_path / "view"))
+    assert view.sync(1.0) and view.frame().first()["events"] == 3
+
+
+def test_time_is_compared_as_time(spark):
+    rows = [("e1", "r", "2024-01-02T00:00:00.000+00:00"), ("e2", "r", "2024-01-01T23:59:59.000Z"), ("e3", "r", "2024-01-02T00:00:00.000Z")]
+    log = spark.createDataFrame(rows, "event_id string, resource_id string, timestamp string")
+    got = G.event_history(log, start="2024-01-02T00:00:00.000Z", end="2024-01-02T00:00:00.000Z")
+    assert {r["event_id"] for r in got.collect()} == {"e1", "e3"}
+    assert serving.latest_state(log, "resource_id").first()["last_event_id"] == "e3"
+    assert [r["event_id"] for r in serving.by_resource(log, "r").collect()] == ["e2", "e1", "e3"]
+
+
+def test_labels_outside_the_classes_are_reported_and_count_as_wrong(spark):
+    from tracewarden.operators import learners as L
+
+    df = spark.createDataFrame([(float(i), "a" if i % 2 else "b") for i in range(40)] + [(1.0, "odd"), (2.0, None)], "x double, y string")
+    assert {(r["label"], r["n"]) for r in L.label_rejects(df, "y", ["a", "b"]).collect()} == {("odd", 1), (None, 1)}
+    assert L.fitting_rows(df, ["x"], "y", ["a", "b"]).count() == 40
+    assert L.prepared(df, ["x"], "y", ["a", "b"], "keep").count() == 42
+    with pytest.raises(Exception):
+        L.prepared(df, ["x"], "y", ["a", "b"]).collect()
+
+
 def test_batch_and_stream_commit_the_same_events(spark, events, tmp_path):
     whole = EvidenceCommitter(CommitLog(spark, str(tmp_path / "a")))
     whole.on_batch(spark.read.parquet(events), 0)
@@ -154,9 +193,14 @@ def test_alerts_round_trip_as_json_lines(spark, data, tmp_path):
 def test_csv_splits_and_predictions(spark, data, tmp_path):
     lines = B.lines(spark, data)
     lines.select("l_quantity", "category").coalesce(1).write.option("header", True).csv(str(tmp_path / "csv"))
-    frozen = files.probe_csv_schema(spark, str(tmp_path / "csv"), 1.0)
+    frozen = files.probe_csv_schema(spark, str(tmp_path / "csv"))
     back = files.read_csv(spark, str(tmp_path / "csv"), frozen)
     assert back.dtypes == [("l_quantity", "double"), ("category", "string")] and back.count() == lines.count()
+    (tmp_path / "odd.csv").write_text("l_quantity,category\n1.5,A\nseven,R\n2.0,N\n")
+    with pytest.raises(Exception):  # the cell does not fit the type
+        files.read_csv(spark, str(tmp_path / "odd.csv"), frozen).collect()
+    good, bad = files.read_csv_with_rejects(spark, str(tmp_path / "odd.csv"), frozen)
+    assert sorted(r["l_quantity"] for r in good.collect()) == [1.5, 2.0] and [r["line"] for r in bad.collect()] == ["seven,R"]
     files.write_splits(lines, str(tmp_path / "splits"))
     val = files.read_split(spark, str(tmp_path / "splits"), "val", ["l_quantity"])
     assert val.count() == lines.where("split = 'val'").count()

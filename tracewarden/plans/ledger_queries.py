@@ -205,9 +205,24 @@ def compliance_report(spark, sf):
     return A.compliance_report(findings(spark, sf))
 
 
-@query("hmac_sign")
+def _pad_sql(high: str, low: str) -> str:
+    """Hex of a key xor a pad byte, nibble by nibble."""
+    nibbles = "'0123456789abcdef'"
+    return (f"array_to_string([translate(substr(key_hex, 2 * i - 1, 1), {nibbles}, '{high}') || translate(substr(key_hex, 2 * i, 1), {nibbles}, '{low}') "
+            "FOR i IN range(1, 33)], '')")
+
+
+# nibbles xor 3 and 6, and xor 5 and c
+_PADS = f"""pads AS (SELECT agent_id, {_pad_sql('32107654ba98fedc', '67452301efcdab89')} AS inner_pad,
+  {_pad_sql('54761032dcfe98ba', 'cdef89ab45670123')} AS outer_pad FROM registry)"""
+
+
+@query("hmac_sign", with_ctes("", "decided", "registry").rstrip() + f""", {_LOG}, {_PADS}
+SELECT l.event_id, l.agent_id, sha256(unhex(outer_pad || repeat('5c', 32))
+  || unhex(sha256(unhex(inner_pad || repeat('36', 32)) || encode(l.payload_digest)))) AS signature
+FROM log l LEFT JOIN pads USING (agent_id)""")
 def hmac_sign(spark, sf):
-    """Keyed digests of the anchored events (no HMAC in the reference SQL dialect)."""
+    """Keyed digests of the anchored events."""
     return A.sign(_log(spark, sf), B.registry(spark, sf)).select("event_id", "agent_id", "signature")
 
 

@@ -10,9 +10,9 @@ CORRUPT = "_corrupt_record"
 
 
 # --- CSV ---------------------------------------------------------------------------------------
-def probe_csv_schema(spark: SparkSession, path: str, sampling: float = 0.05) -> T.StructType:
-    """Infer types once from a sample, to be frozen and passed to every later read."""
-    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling).schema
+def probe_csv_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Infer types once from the whole file, to be frozen and passed to every later read."""
+    return spark.read.csv(path, header=True, inferSchema=True).schema
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -20,7 +20,15 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    """Rows of the frozen types. A cell that does not fit its type fails the job instead of becoming null."""
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejects): a reject keeps its text."""
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.schema(wide).csv(path, header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT).withColumn("_bad", F.col(CORRUPT))
+    return rows.where("_bad is null").select(*schema.fieldNames()), rows.where("_bad is not null").select(F.col("_bad").alias("line"))
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
@@ -92,7 +100,8 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def directory_digest(files: DataFrame, root: Column | None = None) -> DataFrame:
-    """One digest over all file digests in path order (a model folder holds few files)."""
+    """One digest over all file digests in path order. A folder of more than 100,000 files is refused."""
     name = root if root is not None else F.col("path")
     ordered = F.array_sort(F.collect_list(F.struct(name.alias("name"), "sha256")))
-    return files.agg(F.sha2(F.array_join(F.transform(ordered, lambda f: f["sha256"]), ""), 256).alias("digest"))
+    few = files.where(F.when(files.agg(F.count("*")).scalar() <= 100_000, F.lit(True)).otherwise(F.raise_error(F.lit("too many files for one digest"))))
+    return few.agg(F.sha2(F.array_join(F.transform(ordered, lambda f: f["sha256"]), ""), 256).alias("digest"))
