@@ -25,10 +25,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects): a reject keeps its text."""
+    """(good rows, rejects): a reject keeps its text as ``line``, beside the cells that could be read.
+
+    All columns are parsed whatever a query selects, so that a row is a reject for every query.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).csv(path, header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT).withColumn("_bad", F.col(CORRUPT))
-    return rows.where("_bad is null").select(*schema.fieldNames()), rows.where("_bad is not null").select(F.col("_bad").alias("line"))
+    reader = spark.read.schema(wide).option("columnPruning", "false")
+    rows = reader.csv(path, header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT).withColumn("_bad", F.col(CORRUPT))
+    return rows.where("_bad is null").select(*schema.fieldNames()), rows.where("_bad is not null").select(F.col("_bad").alias("line"), *schema.fieldNames())
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
