@@ -77,20 +77,25 @@ def test_near_copies_and_chains(spark):
     assert near(spark.createDataFrame(rows, TEXT), width=4) == brute(rows, 4)
 
 
-def test_hub_that_fails_does_not_hide_other_links(spark):
-    # b and c are near each other, and both far from a, which shares a bucket with them
+def test_strays_of_a_mixed_bucket_meet(spark, monkeypatch):
+    """Texts that their bucket's smallest id does not link still find each other, in chunks of any size."""
     draw = random.Random(3)
-    members = [(f"t{i}", i) for i in range(12)]
-    regs = np.arange(neardup.REGISTERS, dtype="<u2")
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    family = [base[:60] + [f"f{k}x{i}" for i in range(60)] for k in range(4)]
     rows = []
-    for name, i in members:
-        own = regs.copy()
-        own[: 12 * (i % 3)] += 7
-        rows.append((1, i, i, 100, own.view("<i8").tolist()))
-    draw.shuffle(rows)
-    frame = spark.createDataFrame(rows, "key long, event_id long, component long, n_shingles long, registers array<long>")
-    got = {(r["a"], r["b"]) for r in neardup.stray_pairs(frame, 0.8).collect()}
-    assert {tuple(sorted(p)) for p in got} == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+    for k in range(4):
+        for copy in range(6):
+            words = list(family[k])
+            words[-1 - copy % 2] += "z" * (copy // 2)
+            rows.append((len(rows), " ".join(words)))
+    texts = spark.createDataFrame(rows, "event_id long, text string")
+    sketches = neardup.sketch_events(texts, 5).select(
+        F.lit(0).alias("band"), F.lit(1).cast("long").alias("key"), "event_id", F.col("event_id").alias("component"), "n_shingles", "registers")
+    monkeypatch.setattr(neardup, "MEMBERS", 4)
+    needed = neardup.stray_members(sketches.select("band", "key", "event_id", "component", "n_shingles", "registers"), 0.8).persist()
+    links = [(r["a"], r["b"]) for r in neardup.stray_links(needed, texts, 5, 80).collect()]
+    want = brute(rows)
+    assert union_find(range(24), links) == {i: c for i, (_, c, _) in want.items()} and len(set(c for _, c, _ in want.values())) == 4
 
 
 def test_sketch_estimates(spark):

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 from .text import slices, split_words
+from .urls import build_filter
 
-REGISTERS, BAND = 128, 4
+#: The first BANDS * BAND registers name buckets; all of them estimate.
+REGISTERS, BAND, BANDS = 256, 4, 32
+#: Bands of the first round. It joins the large groups, and the second round passes over what is joined.
+FIRST_BANDS = 6
 #: SetSketch base and rate; registers stay below 2**16 for any set of 64-bit elements.
 BASE, RATE = 1.001, 20.0
-#: A pair is checked on its full sets unless its likelihood falls before this similarity. At 128
-#: registers the estimate of a pair of 0.8 has a deviation of 0.035, so this is five of them below.
-LEAST_LIKELY = 0.62
+#: A pair is checked on its full sets unless its likelihood falls before this similarity. At 256
+#: registers the estimate of a pair of 0.8 has a deviation of 0.025, so this is four of them below.
+LEAST_LIKELY = 0.7
 MEMBERS = 256
 
 _RANDOM = np.random.default_rng(20_231)
@@ -135,6 +140,31 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> Da
     return both.mapInArrow(judge, f"a {kind}, b {kind}").distinct()
 
 
+def among(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """The events whose id may be among ``ids``, found where they are read.
+
+    A blocked Bloom filter of at most 8 MB; what it lets pass in vain is removed by the join that
+    follows. So only texts that are needed are shuffled.
+    """
+    bloom = build_filter(ids.select(F.col("event_id").alias("rule")), 16, 8 << 20)
+    shared = events.sparkSession.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.holds(hashes.to_numpy()))
+
+    return events.where(held(F.xxhash64("event_id")))
+
+
+def near_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * shared >= percent * union, for sorted sets; an empty set is near nothing."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * shared >= percent * (len(small) + len(large) - shared)
+
+
 def verified(pairs: DataFrame, events: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * shared >= percent * union on their full shingle sets.
 
@@ -146,7 +176,8 @@ def verified(pairs: DataFrame, events: DataFrame, width: int, percent: int) -> D
     members = pairs.join(sizes, "a").select(
         F.col("b").alias("event_id"), "a", F.pmod(F.xxhash64("b"), F.col("_chunks")).alias("_chunk"), F.lit(False).alias("_first"))
     firsts = members.select(F.col("a").alias("event_id"), "a", "_chunk", F.lit(True).alias("_first")).distinct()
-    dealt = events.select("event_id", "text").join(members.unionByName(firsts), "event_id")
+    roles = members.unionByName(firsts)
+    dealt = among(events.select("event_id", "text"), roles).join(roles, "event_id")
     dealt = dealt.repartition("a", "_chunk").sortWithinPartitions("a", "_chunk", F.col("_first").desc())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,66 +193,144 @@ def verified(pairs: DataFrame, events: DataFrame, width: int, percent: int) -> D
                     if first[i]:
                         held.append(own)
                         continue
-                    for other in held:
-                        small, large = (own, other) if len(own) < len(other) else (other, own)
-                        if len(small):
-                            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                            shared = int((large[at] == small).sum())
-                            if 100 * shared >= percent * (len(small) + len(large) - shared):
-                                good.append(i)
-                                break
+                    if any(near_sets(own, other, percent) for other in held):
+                        good.append(i)
                 yield part.select(["a", "event_id"]).take(pa.array(good, pa.int64())).rename_columns(["a", "b"])
 
     return dealt.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def stray_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of unlike component inside a bucket, for buckets that still hold several.
+class _Group:
+    """The strays of one chunk of a bucket, held while its other rows stream by."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.rows, self.ready = similarity, [], None
 
-    ``members``: (key, event_id, component, n_shingles, registers). Those outside the largest
-    component of a bucket are its strays. Strays and members are cut into chunks, and every pair of
-    chunks is one small group, compared by registers; only likely pairs come out.
+    def hold(self, row: dict, registers: np.ndarray, elements: np.ndarray | None = None) -> None:
+        self.rows.append((row, registers, elements))
+
+    def partners(self, row: dict, registers: np.ndarray) -> np.ndarray:
+        """Strays of another component that may be near ``row`` and share no earlier band with it."""
+        if not self.rows:
+            return np.zeros(0, dtype=np.int64)
+        if self.ready is None:
+            self.ready = np.array([r for _, r, _ in self.rows]), np.array([float(r["n_shingles"]) for r, _, _ in self.rows])
+        x, sizes = self.ready
+        keep = likely((x > registers).sum(axis=1), (x < registers).sum(axis=1), sizes, np.full(len(x), float(row["n_shingles"])), self.similarity, LEAST_LIKELY)
+        before = BAND * row["band"]
+        if before and keep.any():
+            keep &= ~(x[:, :before] == registers[:before]).reshape(len(x), -1, BAND).all(axis=2).any(axis=1)
+        # strays meet each other from both sides: once is enough
+        return np.array([k for k in np.flatnonzero(keep) if self.rows[k][0]["component"] != row["component"]
+                         and (row["_main"] or self.rows[k][0]["event_id"] < row["event_id"])], dtype=np.int64)
+
+
+_PLACE = ["band", "key", "event_id", "component", "n_shingles", "registers", "_s", "_r", "_stray", "_main"]
+_ORDER = ["key", "_s", "_r"]
+
+
+def stray_members(members: DataFrame, similarity: float) -> DataFrame:
+    """The members of mixed buckets that have a likely partner of another component there.
+
+    ``members``: (band, key, event_id, component, n_shingles, registers), of buckets that still hold
+    several components. Those outside the largest component of a bucket are its strays. Strays and
+    members are cut into chunks, and every pair of chunks is one small group, compared by registers;
+    a pair counts in the first band that it shares. Rows come out, never pairs.
     """
-    kind = members.schema["event_id"].dataType.simpleString()
     parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = parts.groupBy("key").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component")).alias("_top"), F.count("*").alias("_parts"))
     keys = keys.where("_parts > 1").select(
-        "key", F.col("_top.component").alias("_main"), F.ceil(F.col("_all") / 1024).alias("_rows"),
+        "key", F.col("_top.component").alias("_largest"), F.ceil(F.col("_all") / 1024).alias("_rows"),
         F.ceil((F.col("_all") - F.col("_top.n")) / MEMBERS).alias("_strays"))
     rows = members.join(keys, "key")
     every = F.sequence(F.lit(0), F.col("_strays").cast("int") - 1), F.sequence(F.lit(0), F.col("_rows").cast("int") - 1)
     own = F.pmod(F.xxhash64("event_id"), F.col("_strays")).cast("int"), F.pmod(F.xxhash64("event_id"), F.col("_rows")).cast("int")
-    carried = ["key", "event_id", "component", "n_shingles", "registers"]
-    strays = rows.where(F.col("component") != F.col("_main")).select(*carried, own[0].alias("_s"), F.explode(every[1]).alias("_r"), F.lit(True).alias("_stray"), F.lit(False).alias("_main"))
-    others = rows.select(*carried, F.explode(every[0]).alias("_s"), own[1].alias("_r"), F.lit(False).alias("_stray"), (F.col("component") == F.col("_main")).alias("_main"))
-    dealt = strays.unionByName(others).repartition("key", "_s", "_r").sortWithinPartitions("key", "_s", "_r", F.col("_stray").desc())
+    carried, main = _PLACE[:6], F.col("component") == F.col("_largest")
+    strays = rows.where(~main).select(*carried, own[0].alias("_s"), F.explode(every[1]).alias("_r"), F.lit(True).alias("_stray"), F.lit(False).alias("_main"))
+    others = rows.select(*carried, F.explode(every[0]).alias("_s"), own[1].alias("_r"), F.lit(False).alias("_stray"), main.alias("_main"))
+    dealt = strays.unionByName(others).select(*_PLACE).repartition(*_ORDER).sortWithinPartitions(*_ORDER, F.col("_stray").desc())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, comps, sizes, regs, ready = None, [], [], [], [], None
+        held, group, here = None, _Group(similarity), None
+        wanted: dict[int, set] = {}
+
+        def out(schema: pa.Schema) -> pa.RecordBatch:
+            """The held strays that found a partner."""
+            rows = [(r | {"registers": x.view("<i8").tolist()}) for k, (r, x, _) in enumerate(group.rows) if k in wanted]
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(c).to_pylist() for c in ("key", "event_id", "component", "n_shingles", "_s", "_r", "_stray", "_main")}
-            found, left, right = _unpack(batch.column("registers")), [], []
+            found, cols, good = _unpack(batch.column("registers")), {c: batch.column(c).to_pylist() for c in _PLACE if c != "registers"}, []
             for i in range(batch.num_rows):
-                if (here := (cols["key"][i], cols["_s"][i], cols["_r"][i])) != group:
-                    group, ids, comps, sizes, regs, ready = here, [], [], [], [], None
-                if cols["_stray"][i]:
-                    ids.append(cols["event_id"][i]), comps.append(cols["component"][i]), sizes.append(cols["n_shingles"][i]), regs.append(found[i])
-                    continue
-                if not ids:
-                    continue
-                if ready is None:
-                    ready = np.array(regs), np.array(sizes, dtype=float)
-                x, y = ready[0], found[i]
-                keep = likely((x > y).sum(axis=1), (x < y).sum(axis=1), ready[1], np.full(len(ids), float(cols["n_shingles"][i])), similarity, LEAST_LIKELY)
-                for k in np.flatnonzero(keep):
-                    if comps[k] != cols["component"][i] and (cols["_main"][i] or ids[k] < cols["event_id"][i]):
-                        left.append(ids[k]), right.append(cols["event_id"][i])
-            kind_of = batch.schema.field("event_id").type
-            yield pa.RecordBatch.from_arrays([pa.array(left, kind_of), pa.array(right, kind_of)], ["a", "b"])
-
-    return dealt.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+                row = {c: v[i] for c, v in cols.items()}
+                if (here := tuple(row[c] for c in _ORDER)) != held:
+                    if wanted:
+                        yield out(batch.schema)
+                    held, group, wanted = here, _Group(similarity), {}
+                if row["_stray"]:
+                    group.hold(row, found[i].copy())
+                elif len(near := group.partners(row, found[i])):
+                    wanted |= dict.fromkeys(near.tolist())
+                    good.append(i)
+            schema = batch.schema
+            yield batch.take(pa.array(good, pa.int64()))
+        if wanted:
+            yield out(schema)
+
+    return dealt.mapInArrow(compare, dealt.schema)
+
+
+def stray_links(needed: DataFrame, events: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the rows of ``stray_members``, checked on their full shingle sets.
+
+    The groups are those of ``stray_members``, now with texts. Components that a group has joined are
+    not compared there again, so a group returns a forest.
+    """
+    kind = needed.schema["event_id"].dataType.simpleString()
+    dealt = needed.join(among(events.select("event_id", "text"), needed), "event_id").repartition(*_ORDER).sortWithinPartitions(*_ORDER, F.col("_stray").desc())
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, joined = None, _Group(percent / 100), {}
+
+        def root(c):
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found, cols, left, right = _unpack(part.column("registers")), {c: part.column(c).to_pylist() for c in _PLACE if c != "registers"}, [], []
+                for i, own in enumerate(shingle_sets(part.column("text"), width)):
+                    row = {c: v[i] for c, v in cols.items()}
+                    if (here := tuple(row[c] for c in _ORDER)) != held:
+                        held, group, joined = here, _Group(percent / 100), {}
+                    if row["_stray"]:
+                        group.hold(row, found[i].copy(), own)
+                        continue
+                    for k in group.partners(row, found[i]).tolist():
+                        other, _, elements = group.rows[k]
+                        x, y = root(other["component"]), root(row["component"])
+                        if x != y and near_sets(own, elements, percent):
+                            joined[x] = y
+                            left.append(other["event_id"]), right.append(row["event_id"])
+                ids = part.schema.field("event_id").type
+                yield pa.RecordBatch.from_arrays([pa.array(left, ids), pa.array(right, ids)], ["a", "b"])
+
+    return dealt.mapInArrow(check, f"a {kind}, b {kind}")
+
+
+def with_component(rows: DataFrame, classes: DataFrame, key: str, out: str) -> DataFrame:
+    """Add the class of ``key``; an id without links is its own class."""
+    named = classes.select(F.col("id").alias(key), F.col("component_id").alias(out))
+    return rows.join(named, key, "left").withColumn(out, F.coalesce(out, key))
+
+
+def unlike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no links join yet."""
+    both = with_component(with_component(pairs, classes, "a", "_ca"), classes, "b", "_cb")
+    return both.where("_ca <> _cb").select("a", "b")
 
 
 def near_duplicates(
@@ -235,8 +344,9 @@ def near_duplicates(
 
     Sketch (one pass over the texts), then equal sets are one (a grouped minimum). Bands of registers
     name buckets; in each bucket every text is compared with the smallest id only, by likelihood and
-    then on full sets. Buckets that still hold several components after that are finished by
-    ``stray_pairs``, so no partner is given up because a bucket is large, and no bucket is expanded
+    then on full sets, in two rounds: the second passes over texts that the first has joined. Buckets
+    that still hold several components after that are finished by ``stray_members`` and
+    ``stray_links``, so no partner is given up because a bucket is large, and no bucket is expanded
     into all its pairs. A pair at 0.8 shares no band with probability below 1e-7.
 
     Texts without words and null texts are linked with nothing and kept; so are rows with a null id
@@ -252,20 +362,28 @@ def near_duplicates(
     single = filled.join(equal.select(F.col("first").alias("event_id"), "digest"), ["event_id", "digest"], "left_semi")
     single = written(single.dropDuplicates(["event_id", "digest"]).select("event_id", "n_shingles", "registers"), "single")
 
-    banded = single.select("event_id", F.posexplode("registers").alias("band", "value")).select("event_id", F.xxhash64("band", "value").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("event_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(banded.join(buckets, "key").where("event_id <> pivot"), "buckets")
-    pairs = buckets.select(F.col("pivot").alias("a"), F.col("event_id").alias("b")).distinct()
-    links = written(verified(likely_pairs(pairs, single, similarity), rows, width, percent), "links")
-
-    found = components(links)
-    named = buckets.select("key", "event_id").join(found.withColumnRenamed("id", "event_id"), "event_id", "left")
-    named = named.withColumn("component", F.coalesce("component_id", "event_id")).drop("component_id")
+    banded = single.select("event_id", F.posexplode(F.slice("registers", 1, BANDS)).alias("band", "value"))
+    banded = banded.select("event_id", "band", F.xxhash64("band", "value").alias("key"))
+    pivots = banded.groupBy("key").agg(F.min("event_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = written(banded.join(pivots, "key").where("event_id <> pivot"), "buckets")
+
+    links = written(copies, "links")
+    found = None
+    for some in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        pairs = buckets.where(some).select(F.col("pivot").alias("a"), F.col("event_id").alias("b")).distinct()
+        if found is not None:
+            pairs = unlike(pairs, found)
+        pairs = written(likely_pairs(pairs, single, similarity), "pairs")
+        links = written(links.unionByName(verified(pairs, rows, width, percent)), "links")
+        found = written(components(links), "classes")
+
+    named = written(with_component(buckets.select("band", "key", "event_id"), found, "event_id", "component"), "members")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_members = named.join(mixed, "key").join(single, "event_id")
-    more = verified(stray_pairs(open_members, similarity), rows, width, percent)
-    final = components(links.unionByName(more).unionByName(copies))
-    result = sketches.select("event_id", "n_shingles").join(final.withColumnRenamed("id", "event_id"), "event_id", "left")
+    strays = written(stray_members(named.join(mixed, "key").join(single, "event_id"), similarity), "strays")
+    more = written(stray_links(strays, rows, width, percent), "links")
+    if not more.isEmpty():
+        found = written(components(links.unionByName(more)), "classes")
+    result = sketches.select("event_id", "n_shingles").join(found.withColumnRenamed("id", "event_id"), "event_id", "left")
     return result.select(
         "event_id", "n_shingles", F.coalesce("component_id", "event_id").alias("component_id"),
         (F.coalesce("component_id", "event_id").isNull() | (F.col("component_id").isNull()) | (F.col("component_id") == F.col("event_id"))).alias("kept"))

@@ -78,8 +78,9 @@ def build_filter(rules: DataFrame, bits_per_key: int, most_bytes: int) -> Blocke
             [pa.array(block * LANES + lane), pa.array(own.words[block, lane].astype(np.int64))], ["place", "bits"])
 
     hashes = rules.select(F.xxhash64("rule").alias("h"))
-    for r in hashes.mapInArrow(fill, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bloom.words[r["place"] // LANES, r["place"] % LANES] = r["bits"]  # at most most_bytes / 4 rows
+    found = hashes.mapInArrow(fill, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    place = found["place"].to_numpy(np.int64)  # at most most_bytes / 4 rows
+    bloom.words[place // LANES, place % LANES] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     return bloom
 
 
