@@ -117,7 +117,7 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
 
 def fit_quality(
     events: DataFrame, labels: DataFrame, event_id: str = "event_id", canonical_string: str = "canonical_string",
-    label: str = "quality", where: Column | None = None, rows_per_class: int = 2500, strength: float = 0.02,
+    label: str = "quality", where: Column | None = None, rows_per_class: int = 1500, strength: float = 0.02,
 ) -> QualityModel:
     """Logistic regression on relative frequencies of hashed word (1, 2) and character (3, 4) n-grams.
 
