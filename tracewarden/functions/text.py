@@ -34,17 +34,19 @@ SUBNORMAL = 2.2250738585072014e-308
 WHOLE = (2.0 ** 53, 9.2e18)
 
 
-def repr_double(value: Column) -> Column:
+def repr_double(value: Column, subnormal: bool = True) -> Column:
     """Shortest round-trip text of any finite double, in the contract's notation.
 
     Fifteen, sixteen or seventeen significant digits (from one on for subnormal values), whichever is the
     first to give the same double back; positional from 1e-4 up to 1e16, otherwise with a signed exponent of two digits at least.
-    NaN and infinities have no canonical text and fail the task.
+    NaN and infinities have no canonical text and fail the task. Without ``subnormal`` the expression is
+    shorter, for values that are known to be 0 or above 1e-300 in magnitude.
     """
     def one(v: Column) -> Column:
         back = lambda form: form.cast("double") == v
-        forms = [F.format_string(f"%.{n}e", v) for n in range(17)]
-        shortest = F.when(F.abs(v) < SUBNORMAL, F.filter(F.array(*forms), back)[0]).when(
+        forms = {n: F.format_string(f"%.{n}e", v) for n in range(0 if subnormal else 14, 17)}
+        short = F.filter(F.array(*forms.values()), back)[0] if subnormal else forms[16]
+        shortest = F.when(F.abs(v) < SUBNORMAL, short).when(
             F.abs(v).between(*WHOLE), F.transform(F.array(F.abs(v).cast("long")), lambda n: F.concat(F.when(v < 0, "-").otherwise(""), whole_form(v, n)))[0]
         ).when(back(forms[14]), forms[14]).when(back(forms[15]), forms[15]).when(back(above(forms[15])), above(forms[15])).otherwise(forms[16])
         return F.transform(F.array(shortest), notation)[0]
@@ -96,7 +98,7 @@ def repr6(value: Column) -> Column:
     # 1.2E-5 -> 1.2e-05, 1.0E-6 -> 1e-06
     tiny = F.replace(F.replace(value.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-0"))
     return F.when(value == 0, value.cast("string")).when(F.abs(value).between(1e-7, 0.9999e-4), tiny).when(
-        F.abs(value) < 1e9, plain).otherwise(repr_double(value))
+        F.abs(value) < 1e9, plain).otherwise(repr_double(value, subnormal=False))
 
 
 def quoted(value: Column) -> Column:
