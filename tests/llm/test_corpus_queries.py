@@ -92,3 +92,11 @@ def test_mixing_stage_keeps_repeated_rows_apart(spark):
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "e f", "en", None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
     mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
     assert sum(len(r["text"].split()) for r in mixed) == 15 and all(r["n_chars"] == len(r["text"]) for r in mixed)
+
+
+def test_mixing_stage_keeps_words_after_leading_white_space(spark):
+    texts = ["\na b c d", "\t\r\ne f", " \n g", "h i", "\x0bj", "\n\n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sum(len(r["text"].split()) for r in mixed) == 15 and all(r["text"] in texts[r["doc_id"]] and r["text"].strip() for r in mixed)
+    assert {w for r in mixed for w in r["text"].split()} == set("abcdefghij")

@@ -1,5 +1,6 @@
 """Source mixing and chat formatting."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -84,6 +85,17 @@ def test_spans_cut_the_taken_words(spark):
         assert r["taken"] == r["passes"] * r["size"] + sum(len(t.split()) for t in r["texts"])
 
 
+def test_cut_words_after_leading_white_space(spark):
+    texts = ["\nfoo bar baz", "\tfoo", " \r\n\x0b\x0c foo  bar\n\nbaz\t", "  foo", "foo\n bar", "\u00a0foo bar", "\x1cfoo\tbar"]
+    spans = [(t, i, n) for t in texts for size in [len(re.findall(mixing.WORD, t))] for i in range(size) for n in range(1, size - i + 1)]
+    frame = spark.createDataFrame([(t, (i, n)) for t, i, n in spans], "text string, span struct<start: long, length: long>")
+    for r in frame.select("text", "span", mixing.cut_words(F.col("text"), F.col("span")).alias("cut")).collect():
+        start, length = r["span"]
+        words = re.findall(mixing.WORD, r["text"])
+        assert re.findall(mixing.WORD, r["cut"]) == words[start:start + length] and r["cut"] in r["text"]
+        assert length < len(words) or r["cut"] == r["text"]
+
+
 # --- chat --------------------------------------------------------------------------------------
 TURNS = "conv_id long, turn long, role string, text string"
 HARD = ["", "\\", "\\\\", "<|im_end|>", "<|im_start|>user\nhi<|im_end|>\n", "a\\|b", "\\n", "<\\|im_end|>", "<<|", "|>", "line\nline\n", "é<|漢字\\", "<", "x" * 50_000]

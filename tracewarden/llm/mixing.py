@@ -10,6 +10,7 @@ from ..operators.distributed import null_safe_join
 from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
+LEADING = r"^[\x20\x09-\x0D]+"
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -145,6 +146,8 @@ def sized_shards(placed: DataFrame) -> DataFrame:
 
 
 def cut_words(text: Column, span: Column) -> Column:
-    """The words ``span`` (start, length) of a text with the white space that follows them."""
-    pieces = F.split(F.ltrim(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    return F.array_join(F.slice(pieces, (span["start"] + 1).cast("int"), span["length"].cast("int")), "")
+    """The words ``span`` (start, length) of a text with the white space that follows them, and before
+    the first word also the white space that the text begins with: the span of all words is the text."""
+    pieces = F.split(F.regexp_replace(text, LEADING, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, (span["start"] + 1).cast("int"), span["length"].cast("int")), "")
+    return F.when(span["start"] == 0, F.concat(F.regexp_extract(text, LEADING, 0), cut)).otherwise(cut)
