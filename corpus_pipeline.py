@@ -27,11 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a letter and those in none of the learned languages."""
+    """Leave out documents without a letter, those unlike the labelled texts of their best language
+    (``known``), and short ones between languages."""
     events = docs.withColumnsRenamed(PAYLOADS)
     model = language.fit_languages(events, vocabulary("byte_bpe_50k.json"))
     found = language.identify_languages(events, model, carry=events.columns)
-    good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)
+    good = (F.col("lang_pred") != language.UNKNOWN) & F.col("known") & (F.col("score") >= LANGUAGE_FROM)
     return found.where(good).select("carried.*").toDF(*docs.columns)
 
 

@@ -100,3 +100,12 @@ def test_mixing_stage_keeps_words_after_leading_white_space(spark):
     mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
     assert sum(len(r["text"].split()) for r in mixed) == 15 and all(r["text"] in texts[r["doc_id"]] and r["text"].strip() for r in mixed)
     assert {w for r in mixed for w in r["text"].split()} == set("abcdefghij")
+
+
+def test_language_stage_drops_unlearned_languages(spark, data):
+    from .test_models import FOREIGN
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    foreign = spark.createDataFrame([(i, t, None, "src0", len(t)) for i, t in FOREIGN.items()], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(foreign), data).collect()}
+    assert not kept & set(FOREIGN) and len(kept) > 100

@@ -66,6 +66,23 @@ def test_language_edge_cases(spark, languages):
     assert {r["lang_pred"] for r in language.identify_languages(frame, blank).collect()} == {"und"}
 
 
+FOREIGN = {
+    10**7: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    10**7 + 1: "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    10**7 + 2: "人人生而自由 在尊严和权利上一律平等",
+    10**7 + 3: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+}
+
+
+def test_texts_of_unlearned_languages_are_not_known(spark, languages):
+    rows = [*FOREIGN.items(), (1, "All human beings are born free and equal in dignity and rights"), (2, "Alle Menschen sind frei und gleich geboren"), (3, "house"), (4, "12 !")]
+    found = {r["event_id"]: r for r in language.identify_languages(spark.createDataFrame(rows, TEXT), languages).collect()}
+    assert {k for k, r in found.items() if r["known"]} == {1, 2, 3}
+    assert sum(r["score"] >= 0.5 for k, r in found.items() if k in FOREIGN) >= 3  # the posterior alone would keep them
+    own = language.identify_languages(payloads(spark, BIG), languages)
+    assert own.where("lang_pred <> 'und' and not known").count() == 0
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def toxic_model(spark):

@@ -22,6 +22,8 @@ START = "▁"
 PIECE_CHARS, WORD_CHARS = 8, 32
 #: Words whose scores a worker remembers before it starts over.
 CACHE_WORDS = 400_000
+#: A text may lie so many nats a letter below the labelled texts, and so many more divided by its words.
+SLACK, SHORT_SLACK = 1.0, 8.0
 LETTER = regex.compile(r"\p{L}")
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 
@@ -118,10 +120,14 @@ def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class LanguageModel:
-    """Piece probabilities per language. ``log_p`` is (pieces, languages)."""
+    """Piece probabilities per language. ``log_p`` is (pieces, languages).
 
-    def __init__(self, languages: list[str], pieces: list[str], log_p: np.ndarray, prior: np.ndarray, other: float = -16.0):
+    ``low`` is the log probability a letter that all but a hundredth of a language's labelled texts reach.
+    """
+
+    def __init__(self, languages: list[str], pieces: list[str], log_p: np.ndarray, prior: np.ndarray, other: float = -16.0, low: np.ndarray | None = None):
         self.languages, self.pieces, self.log_p, self.prior, self.other = languages, pieces, log_p, prior, other
+        self.low = np.full(len(languages), -np.inf) if low is None else low
         self.lattice, self.known = Lattice(pieces), {}
 
     def __getstate__(self) -> dict:
@@ -143,25 +149,37 @@ class LanguageModel:
             np.add.at(out, [k for k, _ in pieces], total[np.arange(len(pieces)), lengths])
         return out
 
-    def text_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(posteriors, has a letter) of whole texts."""
+    def text_sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums, words, has a letter) of whole texts. ``sums`` has the log probability in each language,
+        then the letters, a word start counted as one, and the letters without a piece."""
         starts, codes, distinct = letter_words(texts)
         if len(self.known) + len(distinct) > CACHE_WORDS:
             self.known = {}
         new = [w for w in distinct if w not in self.known]
         if new:
-            self.known |= zip(new, self.word_scores(new))
-        table = np.array([self.known[w] for w in distinct]).reshape(len(distinct), len(self.languages))
-        sums = np.zeros((len(starts), len(self.languages)))
-        for k in range(len(self.languages)):
+            letters = np.array([(len(w) + 1, sum(c not in self.lattice.number for c in w)) for w in new], dtype=float)
+            self.known |= zip(new, np.hstack([self.word_scores(new), letters]))
+        table = np.array([self.known[w] for w in distinct]).reshape(len(distinct), len(self.languages) + 2)
+        sums = np.zeros((len(starts), len(self.languages) + 2))
+        for k in range(len(self.languages) + 2):
             sums[1:, k] = np.cumsum(table[codes, k])[starts[1:] - 1] if len(codes) else 0.0
         sums[starts == 0] = 0.0
-        total = np.diff(sums, axis=0) + self.prior
-        total -= total.max(axis=1, keepdims=True)
-        odds = np.exp(total)
         lettered = np.array([any(LETTER.search(distinct[c]) for c in codes[a:a + 50]) or any(LETTER.search(distinct[c]) for c in codes[a + 50:b])
                              for a, b in zip(starts[:-1], starts[1:])], dtype=bool)
-        return odds / odds.sum(axis=1, keepdims=True), lettered
+        return np.diff(sums, axis=0), np.diff(starts), lettered
+
+    def text_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(posteriors, has a letter, is like the labelled texts of its best language) of whole texts."""
+        sums, words, lettered = self.text_sums(texts)
+        total = sums[:, :-2] + self.prior
+        best = total.argmax(axis=1)
+        total -= total.max(axis=1, keepdims=True)
+        odds = np.exp(total)
+        letters, missing = sums[:, -2], sums[:, -1]
+        rate = sums[np.arange(len(best)), best] / np.maximum(letters, 1)
+        like = rate >= self.low[best] - SLACK - SHORT_SLACK / np.maximum(words, 1)
+        like &= 2 * missing <= letters - words
+        return odds / odds.sum(axis=1, keepdims=True), lettered, like & lettered
 
 
 def fit_languages(
@@ -172,7 +190,8 @@ def fit_languages(
 
     Uses at most about ``max_rows_per_language`` labelled rows of each language (the rows of smallest
     seeded hash, in expectation); their words are counted in Spark, and every round is one pass over
-    the counts that returns one expected count per piece and language. More than ``max_languages``
+    the counts that returns one expected count per piece and language. The same rows then give the log
+    probability a letter that texts of a language reach. More than ``max_languages``
     labels are refused. Without any labelled row there is no language, and every text is ``und``.
     """
     spark = events.sparkSession
@@ -225,21 +244,37 @@ def fit_languages(
         smooth = expected + 0.1 + 1e-3 * expected.sum(axis=1, keepdims=True) / max(len(languages), 1)
         log_p = np.log(smooth / smooth.sum(axis=0, keepdims=True))
     prior = np.log(np.array([sizes[k] for k in languages], dtype=float) / sum(sizes.values()))
-    return LanguageModel(languages, pieces, log_p, prior)
+    model = LanguageModel(languages, pieces, log_p, prior)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sums, _, lettered = model.text_sums(part.column("text"))
+                own = np.array([index[k] for k in part.column("lang").to_pylist()], dtype=np.int64)
+                rates = sums[np.arange(len(own)), own] / np.maximum(sums[:, -2], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(own[lettered]), pa.array(rates[lettered])], ["lang", "rate"])
+
+    reached = rows.select("lang", "text").mapInArrow(rate, "lang long, rate double").groupBy("lang").agg(F.percentile("rate", F.lit(0.01)).alias("low"))
+    for r in reached.collect():  # one row a language
+        model.low[r["lang"]] = r["low"]
+    return model
 
 
 def identify_languages(
     events: DataFrame, model: LanguageModel, event_id: str = "event_id", canonical_string: str = "canonical_string",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Language of every whole text: ``event_id``, ``lang_pred``, ``score``, then ``carried``, a struct
-    of the columns named in ``carry``, if any.
+    """Language of every whole text: ``event_id``, ``lang_pred``, ``score``, ``known``, then ``carried``,
+    a struct of the columns named in ``carry``, if any.
 
     The project's records are machine text without a language, so this works on any table with an id
     and a text. A text is its letter runs, lower-cased; the probability of a run sums over all its
     segmentations into pieces (forward algorithm), once for each distinct run of a batch; ``score`` is
-    the posterior of the best language, 0 to 1. Ties go to the first language by name. Null texts and
-    texts without a letter are ``und`` with score 0, as is everything if nothing was learned. All rows
+    the posterior of the best language among the learned ones, 0 to 1. ``known`` says whether the text is
+    like labelled texts of that language: at most half of its letters have no piece, and its log
+    probability a letter is at most ``SLACK`` below what those reach, and for a short text a little more
+    (``SHORT_SLACK`` divided by its words). Ties go to the first language by name. Null texts and
+    texts without a letter are ``und`` with score 0 and not known, as is everything if nothing was learned. All rows
     are kept, whatever their id; an empty table gives no rows. The model is bounded by the vocabulary
     and the number of languages and travels as a broadcast variable.
     """
@@ -254,15 +289,15 @@ def identify_languages(
         for batch in batches:
             for part in slices(batch, "text"):
                 if own.languages:
-                    posterior, lettered = own.text_scores(part.column("text"))
+                    posterior, lettered, like = own.text_scores(part.column("text"))
                     best = posterior.argmax(axis=1)
                     names = [own.languages[b] if good else UNKNOWN for b, good in zip(best, lettered)]
                     score = np.where(lettered, posterior[np.arange(len(best)), best], 0.0)
                 else:
-                    names, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                    names, score, like = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, dtype=bool)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("event_id", *kept)), pa.array(names, pa.string()), pa.array(score)],
-                    ["event_id", *kept, "lang_pred", "score"])
+                    [*(part.column(c) for c in ("event_id", *kept)), pa.array(names, pa.string()), pa.array(score), pa.array(like)],
+                    ["event_id", *kept, "lang_pred", "score", "known"])
 
-    found = rows.mapInArrow(identify, f"{schema}, lang_pred string, score double")
-    return found.select("event_id", "lang_pred", "score", *kept)
+    found = rows.mapInArrow(identify, f"{schema}, lang_pred string, score double, known boolean")
+    return found.select("event_id", "lang_pred", "score", "known", *kept)
