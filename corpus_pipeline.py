@@ -54,11 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct("doc_id", "_h", "source").alias("_key")
     takes = mixed.select(
         F.struct(F.col("event_id").alias("doc_id"), F.col("carried._h").alias("_h"), "source").alias("_key"), "passes", "spans")
-    takes = takes.groupBy("_key").agg(F.collect_list(F.struct("passes", "spans")).alias("_takes"))  # repeated rows alone share a key
     single = keyed.withColumn("_key", key).drop("_h").dropDuplicates(["_key"])
-    rows = single.join(takes, "_key").withColumn("_take", F.explode("_takes"))
-    cut = F.transform("_take.spans", lambda s: mixing.cut_words(F.col("text"), s))
-    texts = F.concat(F.array_repeat("text", F.col("_take.passes").cast("int")), cut)
+    rows = single.join(takes, "_key")  # a take for each repeated row
+    cut = F.transform("spans", lambda s: mixing.cut_words(F.col("text"), s))
+    texts = F.concat(F.array_repeat("text", F.col("passes").cast("int")), cut)
     rows = rows.withColumn("text", F.explode(texts))
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -94,6 +94,15 @@ def test_mixing_stage_keeps_repeated_rows_apart(spark):
     assert sum(len(r["text"].split()) for r in mixed) == 15 and all(r["n_chars"] == len(r["text"]) for r in mixed)
 
 
+def test_mixing_stage_gathers_no_repeated_rows(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7)] * 300 + [(None, "e f", "en", None, 3)] * 200, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    mixed.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == 2400
+    assert mixed.where("doc_id is null").count() > 0
+
+
 def test_mixing_stage_keeps_words_after_leading_white_space(spark):
     texts = ["\na b c d", "\t\r\ne f", " \n g", "h i", "\x0bj", "\n\n"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")

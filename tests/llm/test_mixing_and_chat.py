@@ -85,6 +85,20 @@ def test_spans_cut_the_taken_words(spark):
         assert r["taken"] == r["passes"] * r["size"] + sum(len(t.split()) for t in r["texts"])
 
 
+def test_rows_of_one_id_spread_over_shards(spark):
+    rows = [(i if i >= 4000 else None if i < 2000 else 7, "s" if i % 2 else None, 10 if i < 3000 else i) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "event_id long, source string, size long").withColumn("_shards", F.lit(20))
+    shards = [mixing.dealt_rows(frame.repartition(n).withColumn("_bucket", F.spark_partition_id()), 42) for n in (1, 7)]
+    first, second = (sorted(map(str, s.select("event_id", "source", "size", "_shard").collect())) for s in shards)
+    assert first == second and len(first) == 6000
+    for repeated in ("event_id is null", "event_id = 7"):
+        assert {r["source"] for r in shards[1].where(repeated).groupBy("source").count().where("count = 1000").collect()} == {"s", None}
+        sizes = [r["count"] for r in shards[1].where(repeated).groupBy("source", "_shard").count().collect()]
+        assert len(sizes) == 40 and max(sizes) < 100
+    bare = F.pmod(mixing.as_number(mixing.seeded(42, F.col("event_id"))), F.lit(20))
+    assert shards[1].where("event_id >= 4000").where(bare != F.col("_shard")).count() == 0
+
+
 def test_cut_words_after_leading_white_space(spark):
     texts = ["\nfoo bar baz", "\tfoo", " \r\n\x0b\x0c foo  bar\n\nbaz\t", "  foo", "foo\n bar", "\u00a0foo bar", "\x1cfoo\tbar"]
     spans = [(t, i, n) for t in texts for size in [len(re.findall(mixing.WORD, t))] for i in range(size) for n in range(1, size - i + 1)]

@@ -83,7 +83,7 @@ def mix_events(
     A source is the cloud resource that the events belong to, or any other column. Sizes are the words
     of ``canonical_string`` (null: 0). Sources get targets (``source_targets``), then whole blocks of
     ``block_tokens`` by highest quotients, and each source deals its blocks in the same way to shards
-    of about ``shard_tokens`` words, into which its events fall by a seeded hash. Within a shard the
+    of about ``shard_tokens`` words, into which its events fall by a seeded hash (``dealt_rows``). Within a shard the
     events lie in seeded order, and the quota is taken as whole passes plus one run of blocks from a
     seeded block, round the end if need be. The largest shard of a source takes the few words between
     whole blocks and the target. No shard gives more than ``most`` = 2 passes.
@@ -94,12 +94,14 @@ def mix_events(
     empty text or an empty table takes nothing.
 
     Rows are sized once and written as a slim table. Only sources and shards are ever ranked together;
-    rows are ranked inside shards of bounded size, so a source of a third of all rows spreads.
+    rows are ranked inside shards of bounded size, so a source of a third of all rows spreads, and so
+    do the rows of one repeated id.
     """
     words = F.coalesce(F.regexp_count(F.col(canonical_string).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     kept = ["carried"] if carry else []
     sized = written(events.select(
-        F.col(event_id).alias("event_id"), F.col(source).alias("source"), words.alias("size"), *[F.struct(*carry).alias(c) for c in kept]), "sizes")
+        F.col(event_id).alias("event_id"), F.col(source).alias("source"), words.alias("size"), F.spark_partition_id().alias("_bucket"),
+        *[F.struct(*carry).alias(c) for c in kept]), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, "source", "source_size", weights, share, most)
     targets = targets.withColumns({
@@ -109,9 +111,7 @@ def mix_events(
     quotas = apportion(targets, "target", "_seats", "source", out="_blocks").drop("budget", "_seats")
     quotas = written(quotas, "quotas")
 
-    placed = null_safe_join(sized, quotas, ["source"])
-    placed = placed.withColumn("_order", seeded(seed, F.coalesce(F.col("event_id").cast("string"), F.lit(""))))
-    placed = placed.withColumn("_shard", F.pmod(as_number(F.col("_order")), F.col("_shards")))
+    placed = written(dealt_rows(null_safe_join(sized, quotas, ["source"]), seed), "placed")
     shards = null_safe_join(sized_shards(placed), quotas, ["source"])
     dealt = apportion(shards, "_words", "_blocks", "_shard", ["source"], "_quota")
     largest = F.row_number().over(W.partitionBy("source").orderBy(F.col("_words").desc(), "_shard")) == 1
@@ -141,6 +141,29 @@ def mix_events(
     return rows.select("event_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "spans", *kept)
 
 
+def dealt_rows(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with ``_order``, their seeded hash, and ``_shard``, below ``_shards``.
+
+    A row whose id is alone in its source falls by that hash. Rows that share an id (null is '') there
+    fall by a hash of id, size, carried columns and a number among equal rows, so they spread too. The
+    number is counted in buckets, the partitions that the rows were written from (``_bucket``): equal
+    rows of one bucket are numbered together, and buckets follow each other.
+    """
+    rows = rows.withColumn("_order", seeded(seed, F.coalesce(F.col("event_id").cast("string"), F.lit(""))))
+    seen = ["carried"] if "carried" in rows.columns else []
+    rows = rows.withColumn("_like", F.xxhash64(F.col("event_id").isNull(), *seen))
+    cells = rows.groupBy("_order", "source", "size", "_like", "_bucket").agg(F.count("*").alias("_n"))
+    shared = cells.groupBy("_order", "source").agg(F.sum("_n").alias("_rows")).where("_rows > 1").drop("_rows")
+    earlier = W.partitionBy("_order", "source", "size", "_like").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    cells = null_safe_join(cells, shared, ["_order", "source"]).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    cell = ["_order", "source", "size", "_like", "_bucket"]
+    rows = rows.withColumn("_number", F.row_number().over(W.partitionBy(*cell).orderBy("_like")) - 1)
+    rows = null_safe_join(rows, cells, cell, "left")
+    mixed = seeded(seed, F.coalesce(F.col("event_id").cast("string"), F.lit("")), F.col("size"), F.col("_like"), F.col("_before") + F.col("_number"))
+    fall = as_number(F.when(F.col("_before").isNull(), F.col("_order")).otherwise(mixed))
+    return rows.withColumn("_shard", F.pmod(fall, F.col("_shards"))).drop("_like", "_number", "_before", "_bucket")
+
+
 def sized_shards(placed: DataFrame) -> DataFrame:
     return placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"))
 
