@@ -42,6 +42,24 @@ def test_forward_sums_all_segmentations():
             assert back[w, 0, k] == pytest.approx(math.log(mass))
 
 
+def test_long_pieces_and_words_are_not_cut():
+    pieces = language.vocabulary_pieces(vocabulary("byte_bpe_50k.json"))
+    assert "▁international" in pieces
+    log_p = np.log(np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 2).T)
+    model = language.LanguageModel(["a", "b"], pieces, log_p, np.zeros(2))
+    words = ["", "a", "international" * 9, "donaudampfschifffahrtsgesellschaftskapitän" * 3, "x" * 31, "x" * 32, "x" * 33, "漢" * 70, "the" * 400]
+    for word, scores in zip(words, model.word_scores(words)):
+        arcs, lengths = model.lattice.arcs([word])
+        assert scores == pytest.approx(language.forward(arcs, log_p, model.other)[0, lengths[0]])
+        text, states = "▁" + word, [1.0] + [0.0] * (len(word) + 1)
+        if len(word) < 40:
+            for e in range(1, len(text) + 1):
+                states[e] = sum(states[b] * math.exp(log_p[model.lattice.number[text[b:e]], 0]) for b in range(e) if text[b:e] in model.lattice.number)
+            assert scores[0] == pytest.approx(math.log(states[-1]))
+    some = sorted([(w, 0, 1) for w in words], key=lambda r: len(r[0]))
+    assert [r for lot in language.lots(some, 10_000) for r in lot] == some
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     texts = payloads(spark, BIG)

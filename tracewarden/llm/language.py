@@ -18,8 +18,10 @@ from .text import slices, split_words
 
 UNKNOWN = "und"
 START = "▁"
-#: Longest piece and longest word that is scored in one go; longer words are cut into such parts.
-PIECE_CHARS, WORD_CHARS = 8, 32
+#: Characters of a word that are scored in one go; the states before them are carried on to the next.
+WORD_CHARS = 32
+#: Array cells of the words that are learned from in one go, or one word.
+LATTICE_CELLS = 1 << 21
 #: Words whose scores a worker remembers before it starts over.
 CACHE_WORDS = 400_000
 #: A text may lie so many nats a letter below the labelled texts, and so many more divided by its words.
@@ -43,7 +45,7 @@ def vocabulary_pieces(path: str) -> list[str]:
     for name in names:
         text = bytes(byte[c] for c in name if c in byte).decode("utf-8", "replace").lower()
         start, body = text[:1] == " ", text.removeprefix(" ")
-        if body and len(body) < PIECE_CHARS and regex.fullmatch(LETTERS, body):
+        if body and regex.fullmatch(LETTERS, body):
             pieces.add(START * start + body)
     return sorted(pieces | {c for p in pieces for c in p} | {START})
 
@@ -53,35 +55,47 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.number = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        self.endings = {p[i:] for p in pieces for i in range(len(p))}
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def arcs(self, words: list[str], low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(arcs, lengths): ``arcs[w, e, n - 1]`` is the piece of n characters that ends before position
-        e + 1 of word w, or -1. A character outside the vocabulary has no piece."""
+        e + 1 of word w, or -1. A character outside the vocabulary has no piece.
+
+        Of the marked words, characters ``low`` to ``high`` only, and positions from there; pieces may
+        begin before."""
         marked = [START + w for w in words]
-        lengths = np.array([len(w) for w in marked], dtype=np.int64)
-        out = np.full((len(words), int(lengths.max(initial=0)), PIECE_CHARS), -1, dtype=np.int32)
-        get = self.number.get
+        lengths = np.array([min(len(w), high or len(w)) - low for w in marked], dtype=np.int64)
+        out = np.full((len(words), int(lengths.max(initial=0)), self.longest), -1, dtype=np.int32)
+        get, endings = self.number.get, self.endings
         for w, word in enumerate(marked):
             row = out[w]
-            for e in range(1, len(word) + 1):
-                for n in range(1, min(PIECE_CHARS, e) + 1):
-                    if (i := get(word[e - n:e])) is not None:
-                        row[e - 1, n - 1] = i
+            for e in range(low + 1, low + int(lengths[w]) + 1):
+                for n in range(1, min(self.longest, e) + 1):
+                    end = word[e - n:e]
+                    if end not in endings:
+                        break
+                    if (i := get(end)) is not None:
+                        row[e - low - 1, n - 1] = i
         return out, lengths
 
 
-def forward(arcs: np.ndarray, log_p: np.ndarray, other: float) -> np.ndarray:
+def forward(arcs: np.ndarray, log_p: np.ndarray, other: float, before: np.ndarray | None = None) -> np.ndarray:
     """Log of the summed probability of all segmentations up to each position: (words, positions + 1, languages).
 
-    ``log_p`` has a row per piece; ``other`` stands in for a character without a piece.
+    ``log_p`` has a row per piece; ``other`` stands in for a character without a piece. ``before`` holds
+    the last states of words that began earlier, and the result begins with them.
     """
     words, longest, sizes = arcs.shape
-    total = np.full((words, longest + 1, log_p.shape[1]), -np.inf)
-    total[:, 0] = 0.0
+    first = np.zeros((words, 1, log_p.shape[1])) if before is None else before
+    ahead = first.shape[1] - 1
+    total = np.concatenate([first, np.full((words, longest, log_p.shape[1]), -np.inf)], axis=1)
     padded = np.vstack([log_p, np.full((1, log_p.shape[1]), -np.inf)])
-    for e in range(1, longest + 1):
-        terms = [total[:, e - n] + padded[arcs[:, e - 1, n - 1]] for n in range(1, min(sizes, e) + 1)]
-        alone = arcs[:, e - 1, 0] < 0
+    used = (arcs >= 0).any(axis=0)
+    for e in range(ahead + 1, ahead + longest + 1):
+        at = arcs[:, e - ahead - 1]
+        terms = [total[:, e - n] + padded[at[:, n - 1]] for n in range(1, min(sizes, e) + 1) if n == 1 or used[e - ahead - 1, n - 1]]
+        alone = at[:, 0] < 0
         terms[0][alone] = total[alone, e - 1] + other
         top = np.max(terms, axis=0)
         total[:, e] = top + np.log(sum(np.exp(t - top) for t in terms))
@@ -94,9 +108,10 @@ def backward(arcs: np.ndarray, lengths: np.ndarray, log_p: np.ndarray, other: fl
     total = np.full((words, longest + 1, log_p.shape[1]), -np.inf)
     total[np.arange(words), lengths] = 0.0
     padded = np.vstack([log_p, np.full((1, log_p.shape[1]), -np.inf)])
+    used = (arcs >= 0).any(axis=0)
     for s in range(longest - 1, -1, -1):
         inside = s < lengths
-        terms = [total[:, s + n] + padded[arcs[:, s + n - 1, n - 1]] for n in range(1, min(sizes, longest - s) + 1)]
+        terms = [total[:, s + n] + padded[arcs[:, s + n - 1, n - 1]] for n in range(1, min(sizes, longest - s) + 1) if n == 1 or used[s + n - 1, n - 1]]
         alone = arcs[:, s, 0] < 0
         terms[0][alone] = total[alone, s + 1] + other
         top = np.max(terms, axis=0)
@@ -107,8 +122,15 @@ def backward(arcs: np.ndarray, lengths: np.ndarray, log_p: np.ndarray, other: fl
     return total
 
 
-def parts(word: str) -> list[str]:
-    return [word[i:i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
+def lots(rows: list[tuple], longest: int) -> Iterator[list[tuple]]:
+    """Rows (word first, shorter words first) in lots of at most ``LATTICE_CELLS`` cells, or of one row."""
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and (end + 1 - at) * (len(rows[end][0]) + 1) * longest <= LATTICE_CELLS:
+            end += 1
+        yield rows[at:end]
+        at = end
 
 
 def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -142,11 +164,15 @@ class LanguageModel:
         out = np.zeros((len(words), len(self.languages)))
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for at in range(0, len(order), 4096):
-            some = order[at:at + 4096]
-            pieces = [(k, p) for k in some for p in parts(words[k])]
-            arcs, lengths = self.lattice.arcs([p for _, p in pieces])
-            total = forward(arcs, self.log_p, self.other)
-            np.add.at(out, [k for k, _ in pieces], total[np.arange(len(pieces)), lengths])
+            some, low, before = order[at:at + 4096], 0, None
+            while some:
+                arcs, lengths = self.lattice.arcs([words[k] for k in some], low, low + WORD_CHARS)
+                total = forward(arcs, self.log_p, self.other, before)
+                ended = np.array([len(words[k]) + 1 <= low + WORD_CHARS for k in some])
+                ahead = total.shape[1] - arcs.shape[1] - 1
+                out[[k for k, e in zip(some, ended) if e]] = total[ended, ahead + lengths[ended]]
+                some = [k for k, e in zip(some, ended) if not e]
+                before, low = total[~ended, -self.lattice.longest:], low + WORD_CHARS
         return out
 
     def text_sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,14 +248,13 @@ def fit_languages(
             total = np.zeros_like(model.log_p)
             for batch in batches:
                 rows = sorted(zip(batch.column("word").to_pylist(), batch.column("lang").to_pylist(), batch.column("count").to_pylist()), key=lambda r: len(r[0]))
-                for at in range(0, len(rows), 2048):
-                    words = [(p, index[k], n) for w, k, n in rows[at:at + 2048] for p in parts(w)]
+                for words in lots([(w, index[k], n) for w, k, n in rows], model.lattice.longest):
                     arcs, lengths = model.lattice.arcs([w[0] for w in words])
                     lang, times, row = np.array([w[1] for w in words]), np.array([w[2] for w in words], dtype=float), np.arange(len(words))
                     ahead = forward(arcs, model.log_p, model.other)[row, :, lang]
                     behind = backward(arcs, lengths, model.log_p, model.other)[row, :, lang]
                     whole = ahead[row, lengths]
-                    for n in range(1, PIECE_CHARS + 1):
+                    for n in range(1, model.lattice.longest + 1):
                         w, e = np.nonzero(arcs[:, :, n - 1] >= 0)
                         piece = arcs[w, e, n - 1]
                         weight = np.exp(ahead[w, e + 1 - n] + model.log_p[piece, lang[w]] + behind[w, e + 1] - whole[w]) * times[w]
@@ -269,7 +294,7 @@ def identify_languages(
 
     The project's records are machine text without a language, so this works on any table with an id
     and a text. A text is its letter runs, lower-cased; the probability of a run sums over all its
-    segmentations into pieces (forward algorithm), once for each distinct run of a batch; ``score`` is
+    segmentations into pieces (forward algorithm; a long run in parts that carry the states on), once for each distinct run of a batch; ``score`` is
     the posterior of the best language among the learned ones, 0 to 1. ``known`` says whether the text is
     like labelled texts of that language: at most half of its letters have no piece, and its log
     probability a letter is at most ``SLACK`` below what those reach, and for a short text a little more
