@@ -136,6 +136,17 @@ def test_look_alikes():
     assert lexicon.word("1d10t")[2] and not lexicon.word("idiot")[2]
 
 
+def test_one_rule_for_rare_terms_at_every_size(spark):
+    for toxic in (30, 40, 41, 500):
+        lexicon = toxicity.Lexicon({"two": (2, 0), "one": (1, 0)}, toxic, 900)
+        assert lexicon.weight("one") == lexicon.weight("two", own=1) == 0 < lexicon.weight("two")
+    for toxic in (40, 41):
+        rows = [(i, f"vile word{i}" + " pair" * (i < 2) + " trio" * (i < 3)) for i in range(toxic)] + [(100 + i, "plain text") for i in range(60)]
+        labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "event_id long, toxic int")
+        terms = toxicity.fit_toxicity(spark.createDataFrame(rows, TEXT), labels, trees=1).lexicon.counts
+        assert "trio" in terms and "pair" not in terms
+
+
 # --- quality -----------------------------------------------------------------------------------
 def base_by_hand(text):
     import re

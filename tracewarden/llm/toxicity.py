@@ -35,6 +35,8 @@ FEATURES = [
     "person_density", "capitals", "shouted", "exclaimed", "punctuated", "obfuscated", "obfuscated_hits",
 ]
 CACHE_WORDS = 500_000
+#: Texts of class 1 that hold a lexicon term, at least.
+LEAST_TEXTS = 3
 
 
 def plain_forms(word: str) -> tuple[str, str]:
@@ -69,7 +71,7 @@ class Lexicon:
         """Log odds of a term, never below 0. ``own``: the class of a text whose share is left out."""
         t, c = self.counts.get(term, (0, 0))
         t, c = max(t - (own == 1), 0), max(c - (own == 0), 0)
-        if t < 1 or (t < 2 and self.toxic > 40):
+        if t < LEAST_TEXTS - 1:  # a text's own share may be left out
             return 0.0
         odds = math.log((t + 0.5) / (self.toxic + 1)) - math.log((c + 0.5) / (self.clean + 1))
         return max(odds, 0.0)
@@ -176,7 +178,8 @@ def fit_toxicity(
     """Learn a lexicon, boosted trees over ``FEATURES``, and an isotonic calibration.
 
     All three learn from one bounded sample of labelled rows (``labelled_sample``). The lexicon counts
-    texts by term (words and word stems, read through look-alike characters); at most ``max_terms`` terms
+    texts by term (words and word stems, read through look-alike characters); terms of fewer than
+    ``LEAST_TEXTS`` texts of class 1 do not count, and at most ``max_terms`` terms
     that speak for class 1 stay. When a sample row gets its features, its own share is taken out of the
     counts, so that the trees see lexicon values as they are on new texts. A fifth of the rows is kept for
     the calibration, in which classes have their true weight. With labels of one class only, every text
@@ -200,9 +203,8 @@ def fit_toxicity(
 
     by_class = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(name) for k, name in ((1, "t"), (0, "c"))]
     terms = sample.mapInArrow(count, "term string, label int, n long").groupBy("term").agg(*by_class)
-    least = 2 if classes[1] <= 40 else 3
     odds = (F.col("t") + 0.5) / (classes[1] + 1) / ((F.col("c") + 0.5) / (classes[0] + 1))
-    terms = terms.where((F.col("t") >= least) & (odds > 2.0)).orderBy((odds * F.col("t")).desc(), "term").limit(max_terms)
+    terms = terms.where((F.col("t") >= LEAST_TEXTS) & (odds > 2.0)).orderBy((odds * F.col("t")).desc(), "term").limit(max_terms)
     lexicon = Lexicon({r["term"]: (r["t"], r["c"]) for r in terms.collect()}, classes[1], classes[0])
 
     rows = written(_features(sample, lexicon, strong, labelled=True), "toxicity-features")
