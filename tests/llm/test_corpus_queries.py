@@ -118,3 +118,21 @@ def test_language_stage_drops_unlearned_languages(spark, data):
     foreign = spark.createDataFrame([(i, t, None, "src0", len(t)) for i, t in FOREIGN.items()], docs.schema)
     kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(foreign), data).collect()}
     assert not kept & set(FOREIGN) and len(kept) > 100
+
+
+def test_first_stages_keep_what_their_operators_keep(spark):
+    from tracewarden.llm import language, toxicity
+
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    planted = docs.join(labels.where("toxic is not null"), "doc_id").withColumn("doc_id", F.col("doc_id") + 10**7 * (1 + F.col("toxic"))).select(*docs.columns)
+    docs = docs.unionByName(planted).persist()
+    events = docs.withColumnsRenamed(queries.PAYLOADS)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, big).select("doc_id").collect()}
+    model = toxicity.fit_toxicity(events, labels.withColumnRenamed("doc_id", "event_id"))
+    assert kept == {r["event_id"] for r in toxicity.score_toxicity(events, model).where("predicted = 0").collect()}
+    clean, toxic = ({r["doc_id"] for r in planted.where(f"doc_id >= {low} and doc_id < {low + 10**7}").collect()} for low in (10**7, 2 * 10**7))
+    assert len(toxic) > 20 and len(toxic & kept) < 0.5 * len(toxic) and len(clean & kept) > 0.95 * len(clean)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, big).select("doc_id").collect()}
+    found = language.identify_languages(events, language.fit_languages(events, vocabulary("byte_bpe_50k.json")))
+    assert kept == {r["event_id"] for r in found.where("lang_pred <> 'und' and known and score >= 0.5").collect()}
