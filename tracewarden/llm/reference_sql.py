@@ -130,3 +130,17 @@ fits AS (
 SELECT page_id, parsed.host, parsed.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parsed LEFT JOIN fits ON parsed.host = fits.host AND parsed.path = fits.path
 """
+
+REPEATS = r"""
+WITH words AS (
+    SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (
+    SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS g FROM windows JOIN firsts USING (s) WHERE first < doc_id GROUP BY doc_id),
+kept AS (
+    SELECT words.doc_id, w, CASE WHEN g IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(g, i)] END AS k
+    FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""

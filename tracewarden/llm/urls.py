@@ -64,8 +64,8 @@ def canonical_rules(listed: DataFrame, host: str = "host", path: str = "path", v
     return rows.groupBy("rule", "length").agg(F.max("verdict").alias("verdict"))
 
 
-def build_filter(rules: DataFrame, bits_per_key: int, most_bytes: int) -> BlockedBloom:
-    """Each partition fills a filter of the final size; the filters are joined by OR."""
+def build_filter(rules: DataFrame, bits_per_key: int, most_bytes: int, hashed: Column | None = None) -> BlockedBloom:
+    """A filter of ``rule`` (or of ``hashed``, its hash). Each partition fills a filter of the final size; the filters are joined by OR."""
     bloom = BlockedBloom.sized(rules.count(), bits_per_key, most_bytes)
     size = len(bloom.words)
 
@@ -77,7 +77,7 @@ def build_filter(rules: DataFrame, bits_per_key: int, most_bytes: int) -> Blocke
         yield pa.RecordBatch.from_arrays(
             [pa.array(block * LANES + lane), pa.array(own.words[block, lane].astype(np.int64))], ["place", "bits"])
 
-    hashes = rules.select(F.xxhash64("rule").alias("h"))
+    hashes = rules.select((F.xxhash64("rule") if hashed is None else hashed).alias("h"))
     found = hashes.mapInArrow(fill, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     place = found["place"].to_numpy(np.int64)  # at most most_bytes / 4 rows
     bloom.words[place // LANES, place % LANES] = found["bits"].to_numpy(np.int64).astype(np.uint32)
