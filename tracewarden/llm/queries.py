@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, language, mixing, neardup, packing, quality, reference_sql, repeats, tokens, toxicity, urls, vectors
+from . import chat, language, mixing, neardup, packing, phrases, quality, reference_sql, repeats, tokens, toxicity, urls, vectors
 
 PAYLOADS = {"doc_id": "event_id", "text": "canonical_string", "source": "cloud_resource_id"}
 
@@ -95,6 +95,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("event_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = phrases.mine_phrases(payloads(spark, sf_dir), category="lang", longest=5, least=100, top=2000)
+    return mined.withColumnRenamed("category", "lang")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -107,8 +112,10 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrases": op13_phrases,
 }
 ORACLE_SQL = {
     "op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT, "op5_url_rules": reference_sql.URLS,
     "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS, "op12_substring_dedup": reference_sql.REPEATS,
+    "op13_phrases": reference_sql.PHRASES,
 }

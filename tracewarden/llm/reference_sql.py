@@ -144,3 +144,29 @@ kept AS (
     FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
+
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, [x FOR x IN string_split_regex(p, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 6) r(k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+candidates AS (
+    SELECT * FROM counts c WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM counts q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.a >= 100 * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+    SELECT c.*, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS left_part, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') AS right_part
+    FROM candidates c, range(1, 5) r(j) WHERE j < k),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.j, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score
+    FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.left_part JOIN counts r ON r.lang = c.lang AND r.phrase = c.right_part
+    JOIN totals t ON t.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS b FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE b = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+    CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""

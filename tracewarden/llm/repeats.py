@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import WHITE_SPACE, ByteWords, byte_kinds, byte_words, scramble
+from .filters import name_filter
 from .storage import written
 from .text import slices
-from .urls import BlockedBloom, build_filter
+from .urls import BlockedBloom
 
 #: Rounds of run and pair naming; a symbol then stands for about ten words.
 ROUNDS = 8
@@ -188,8 +189,8 @@ def shared_names(texts: DataFrame, window: int) -> BlockedBloom:
     rows = texts.select("event_id", "text").mapInArrow(name, f"name long, low {kind}, high {kind}")
     # a null id is larger than all others: a null beside an id is a second id
     both = rows.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("high").isNull()).alias("open"))
-    shared = written(both.where("low < high or (open and low is not null)").select(F.col("name").alias("rule")), "repeat-names")
-    return build_filter(shared, BITS_PER_NAME, FILTER_BYTES, F.col("rule"))
+    shared = written(both.where("low < high or (open and low is not null)").select("name"), "repeat-names")
+    return name_filter(shared, BITS_PER_NAME, FILTER_BYTES)
 
 
 def _later(rows: DataFrame, names: list[str]) -> DataFrame:
