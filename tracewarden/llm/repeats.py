@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -201,9 +202,22 @@ def _later(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts with the arrays of ``spans`` (key, begin, end) that belong to them."""
-    grouped = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    return texts.join(grouped, "key", "left")
+    """Texts with the arrays of ``spans`` (key, begin, end) that belong to them, null without any.
+
+    A filter of the keys keeps texts that have none out of the shuffle.
+    """
+    grouped = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # no more than a text has words
+    grouped = written(grouped, "repeat-spans-by-text")
+    names = name_filter(grouped.select(F.xxhash64("key").alias("name")), BITS_PER_NAME, FILTER_BYTES)
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.holds(hashes.to_numpy()))
+
+    hit = held(F.xxhash64("key"))
+    kind = grouped.schema["spans"].dataType
+    return texts.where(hit).join(grouped, "key", "left").unionByName(texts.where(~hit).withColumn("spans", F.lit(None).cast(kind)))
 
 
 def _span_arrays(part: pa.RecordBatch, words: ByteWords) -> tuple[np.ndarray, np.ndarray]:
