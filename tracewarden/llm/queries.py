@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, language, mixing, neardup, packing, phrases, quality, reference_sql, repeats, tokens, toxicity, urls, vectors
+from . import chat, language, mixing, neardup, packing, phrases, quality, reference_sql, repeats, search, tokens, toxicity, urls, vectors
 
 PAYLOADS = {"doc_id": "event_id", "text": "canonical_string", "source": "cloud_resource_id"}
 
@@ -90,6 +90,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("event_id", "doc_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").withColumnsRenamed({"item_id": "resource_id", "text": "canonical_string"})
+    ranked = search.rank_events(payloads(spark, sf_dir), items, top=20)
+    return ranked.withColumnsRenamed({"resource_id": "item_id", "event_id": "doc_id"})
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(payloads(spark, sf_dir), window=13)
     return kept.select(F.col("event_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -111,11 +117,12 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_phrases": op13_phrases,
 }
 ORACLE_SQL = {
     "op1_mixing": reference_sql.MIX, "op3_chat_format": reference_sql.CHAT, "op5_url_rules": reference_sql.URLS,
-    "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS, "op12_substring_dedup": reference_sql.REPEATS,
+    "op6_near_duplicates": reference_sql.NEAR_TEXTS, "op8_near_vectors": reference_sql.NEAR_VECTORS, "op11_ranked_search": reference_sql.SEARCH, "op12_substring_dedup": reference_sql.REPEATS,
     "op13_phrases": reference_sql.PHRASES,
 }

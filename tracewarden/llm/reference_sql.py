@@ -170,3 +170,24 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(
     CAST(score AS BIGINT) AS score
 FROM ranked WHERE rank <= 2000
 """
+
+SEARCH = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY doc_id, t),
+sizes AS (SELECT doc_id, sum(tf) AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark),
+weighed AS (
+    SELECT item_id, t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM asked JOIN dfs USING (t), totals),
+lengths AS (SELECT doc_id, 75 + CAST((25 * n * nn) // ll AS BIGINT) AS m FROM sizes, totals),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM weighed JOIN tfs USING (t) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
