@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import WHITE_SPACE, ByteWords, byte_kinds, byte_words, scramble
@@ -20,6 +20,7 @@ from .urls import BlockedBloom
 #: Rounds of run and pair naming; a symbol then stands for about ten words.
 ROUNDS = 8
 BITS_PER_NAME, FILTER_BYTES = 16, 16 << 20
+SLICE_CHARS = 2_000_000
 KINDS = byte_kinds(WHITE_SPACE)
 _SALT = np.random.default_rng(41).integers(0, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 _INVERSE = [pow(int(s), -1, 1 << 64) for s in _SALT[:2]]
@@ -157,7 +158,7 @@ class Slice:
 
 def _slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, Slice]]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_CHARS):
             yield part, Slice(part, window)
 
 
@@ -188,17 +189,36 @@ def shared_names(texts: DataFrame, window: int) -> BlockedBloom:
                 [pa.array(names[head].view(np.int64)), ids.take(pa.array(low)), ids.take(pa.array(high))], ["name", "low", "high"])
 
     rows = texts.select("event_id", "text").mapInArrow(name, f"name long, low {kind}, high {kind}")
-    # a null id is larger than all others: a null beside an id is a second id
     both = rows.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("high").isNull()).alias("open"))
-    shared = written(both.where("low < high or (open and low is not null)").select("name"), "repeat-names")
-    return name_filter(shared, BITS_PER_NAME, FILTER_BYTES)
+    return name_filter(written(_of_several(both).select("name"), "repeat-names"), BITS_PER_NAME, FILTER_BYTES)
 
 
-def _later(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Rows whose names also stand in a text of a smaller id."""
-    first = rows.groupBy(*names).agg(F.min("event_id").alias("_first"))
-    met = rows.join(first, names)
-    return met.where("_first < event_id or (event_id is null and _first is not null)").drop("_first")
+def _later(rows: DataFrame) -> DataFrame:
+    """(key, begin, end) of the rows whose names also stand in a text of a smaller id.
+
+    Names of one id are left behind by a filter before the rows are shuffled. The names that stay are a
+    written table, so that a name of very many rows is a skewed key of a plain join.
+    """
+    own = F.col("key.event_id")
+    first = rows.groupBy("a", "b").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max(own.isNull()).alias("open"))
+    first = written(_of_several(first).select("a", "b", "low"), "repeat-first")
+    met = rows.where(_held(name_filter(first.select(F.col("a").alias("name")), BITS_PER_NAME, FILTER_BYTES), rows, F.col("a"))).join(first, ["a", "b"])
+    return met.where((F.col("low") < own) | own.isNull()).select("key", "begin", "end")
+
+
+def _of_several(names: DataFrame) -> DataFrame:
+    """Names of several ids. A null id is larger than all others: a null beside an id is a second id."""
+    return names.where("low < high or (open and low is not null)")
+
+
+def _held(bloom: BlockedBloom, df: DataFrame, hashed: Column) -> Column:
+    shared = df.sparkSession.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.holds(hashes.to_numpy()))
+
+    return held(hashed)
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -209,13 +229,7 @@ def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     grouped = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # no more than a text has words
     grouped = written(grouped, "repeat-spans-by-text")
     names = name_filter(grouped.select(F.xxhash64("key").alias("name")), BITS_PER_NAME, FILTER_BYTES)
-    shared = texts.sparkSession.sparkContext.broadcast(names)
-
-    @F.pandas_udf("boolean")
-    def held(hashes: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.holds(hashes.to_numpy()))
-
-    hit = held(F.xxhash64("key"))
+    hit = _held(names, texts, F.xxhash64("key"))
     kind = grouped.schema["spans"].dataType
     return texts.where(hit).join(grouped, "key", "left").unionByName(texts.where(~hit).withColumn("spans", F.lit(None).cast(kind)))
 
@@ -241,7 +255,6 @@ def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _spans_of(texts: DataFrame, window: int, find, columns: str) -> DataFrame:
     """The passages (first word, word behind the last) that ``find`` gives of every slice, as rows of a written table."""
-    kind = texts.schema["event_id"].dataType.simpleString()
     key = texts.schema["key"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +263,10 @@ def _spans_of(texts: DataFrame, window: int, find, columns: str) -> DataFrame:
             names, text = own.names(begin, end), own.text_of(begin)
             base, row = own.words.starts[text], pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in names), part.column("event_id").take(row), part.column("key").take(row),
-                 pa.array(begin - base), pa.array(end - base)], ["a", "b", "event_id", "key", "begin", "end"])
+                [*(pa.array(x.view(np.int64)) for x in names), part.column("key").take(row), pa.array(begin - base), pa.array(end - base)],
+                ["a", "b", "key", "begin", "end"])
 
-    return written(texts.mapInArrow(emit, f"a long, b long, event_id {kind}, key {key}, begin long, end long"), columns)
+    return written(texts.mapInArrow(emit, f"a long, b long, key {key}, begin long, end long"), columns)
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
@@ -274,9 +287,8 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
         at = own.windows[shared.value.holds(names.view(np.int64))[which] & ~decided]
         return at, at + window
 
-    long = _later(_spans_of(texts, window, doubles, "repeat-doubles"), ["a", "b"]).select("key", "begin", "end")
-    long = written(long.distinct(), "repeat-spans")
-    short = _later(_spans_of(_with_spans(texts, long), window, edges, "repeat-windows"), ["a", "b"]).select("key", "begin", "end")
+    long = written(_later(_spans_of(texts, window, doubles, "repeat-doubles")).distinct(), "repeat-spans")
+    short = _later(_spans_of(_with_spans(texts, long), window, edges, "repeat-windows"))
     return long.unionByName(short)
 
 
