@@ -31,7 +31,7 @@ class Parse:
     whether a symbol opens a text (``edge``). A name is a digest of the names it was made of."""
 
     def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.names, self.begin = words, np.arange(len(words) + 1)
+        self.names, self.begin = words.copy(), np.arange(len(words) + 1)
         self.edge = np.zeros(len(words), dtype=bool)
         self.edge[starts[:-1][starts[:-1] < starts[1:]]] = True
 
