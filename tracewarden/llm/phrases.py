@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +25,7 @@ FILTER_BITS, FILTER_BYTES = 16, 16 << 20
 ROUTE_WORDS, SAMPLE_TEXTS = 2_000_000, 20_000
 #: No more than this many prefixes of one length are split.
 MOST_HOT = 1 << 15
-#: Suffixes a task gathers before it sends them out.
-GATHERED = 1_000_000
+SLICE_CHARS = 8_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,45 +56,59 @@ def digests_of_strings(values: pa.Array) -> np.ndarray:
     return digests_of(data, bounds[:-1], bounds[1:])
 
 
-def _frequent_filter(frequent: DataFrame) -> BlockedBloom:
-    """A filter of (category, word)."""
+def _filter_of(found: DataFrame, size: int) -> BlockedBloom:
+    """A filter of phrases (category, phrase) of so many words."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with np.errstate(over="ignore"):
-                both = scramble(digests_of_strings(batch.column("category")) * _STEP + digests_of_strings(batch.column("word")))
-            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["name"])
+            words = pc.split_pattern(batch.column("phrase").cast(pa.large_string()), " ").flatten()
+            each = digests_of_strings(words).reshape(batch.num_rows, size)
+            name = digests_of_strings(batch.column("category"))
+            for d in range(size):
+                name = _longer(name, each[:, d])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["name"])
 
-    return name_filter(frequent.select("category", "word").mapInArrow(digest, "name long"), FILTER_BITS, FILTER_BYTES)
+    return name_filter(found.select("category", "phrase").mapInArrow(digest, "name long"), FILTER_BITS, FILTER_BYTES)
+
+
+def _longer(name: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The digest of a prefix and one more word."""
+    with np.errstate(over="ignore"):
+        return scramble(name * _STEP + word)
 
 
 class Suffixes:
-    """The distinct suffixes of a slice, up to ``longest`` words: ``codes`` (n, longest) from 1, 0 behind
-    the end, with category, weight and the digests of all their prefixes.
+    """The distinct suffixes of a slice, of ``shortest`` to ``longest`` words: ``codes`` (n, longest) from 1,
+    0 behind the end, with category, weight and the digests of all their prefixes.
 
-    A suffix ends with its piece or before the first word that is too rare for its category to be part of
-    a phrase. Suffixes of one word tell nothing that the word counts do not, so they are left out.
+    A suffix ends with its piece, or before the first word that makes up an infrequent phrase of ``size`` words
+    (1 or 2) with those before it.
     """
 
-    def __init__(self, part: pa.RecordBatch, longest: int, frequent: BlockedBloom):
+    def __init__(self, part: pa.RecordBatch, shortest: int, longest: int, frequent: BlockedBloom, size: int):
         kind, code, self.kinds, piece, self.words = text_words(part)
-        size = np.int64(max(len(self.words), 1))
-        both, place = np.unique(kind * size + code, return_inverse=True)
-        word = digests_of_strings(self.words)
-        with np.errstate(over="ignore"):
-            first = digests_of_strings(self.kinds)[both // size] * _STEP
-            held = frequent.holds(scramble(first + word[both % size]).view(np.int64))[place] if len(both) else np.zeros(0, dtype=bool)
-        n = len(code)
+        n, total = len(code), np.int64(max(len(self.words), 1))
+        word, kinds = digests_of_strings(self.words), digests_of_strings(self.kinds)
         ends = np.ones(n, dtype=bool)  # nothing follows in this suffix
-        ends[:-1] = (piece[1:] != piece[:-1]) | ~held[1:] | ~held[:-1]
-        at = np.flatnonzero(~ends)
-        table, alive = np.zeros((len(at), longest), dtype=np.int64), np.ones(len(at), dtype=bool)
+        if size == 1 and n:
+            both, place = np.unique(kind * total + code, return_inverse=True)
+            held = frequent.holds(_longer(kinds[both // total], word[both % total]).view(np.int64))[place]
+            ends[:-1] = (piece[1:] != piece[:-1]) | ~held[1:] | ~held[:-1]
+        elif n:
+            near = np.flatnonzero(piece[1:] == piece[:-1])
+            both, place = np.unique((kind[near] * total + code[near]) * total + code[near + 1], return_inverse=True)
+            name = _longer(_longer(kinds[both // total // total], word[both // total % total]), word[both % total])
+            ends[near] = ~frequent.holds(name.view(np.int64))[place]
+        left = np.zeros(n, dtype=np.int8)  # words after this one, up to longest
+        for _ in range(longest - 1):
+            left[:-1] = np.where(ends[:-1], 0, left[1:] + 1)
+        at = np.flatnonzero(left >= shortest - 1)
+        table = np.zeros((len(at), longest), dtype=np.int64)
         for d in range(longest):
-            table[alive, d] = code[at[alive] + d] + 1
-            alive[alive] = ~ends[at[alive] + d]
-        key = kind[at]
+            there = left[at] >= d
+            table[there, d] = code[at[there] + d] + 1
         # one row for equal suffixes; 21 bits hold every code of a slice
-        keys = [key.astype(np.int64)]
+        keys = [kind[at].astype(np.int64)]
         for d in range(0, longest, 3):
             keys.append(sum((table[:, d + i] << np.int64(21 * (2 - i)) for i in range(min(3, longest - d))), np.zeros(len(at), dtype=np.int64)))
         order = np.lexsort(keys[::-1])
@@ -102,16 +116,14 @@ class Suffixes:
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
         heads = np.flatnonzero(new)
         self.weights = np.diff(np.append(heads, len(at)))
-        self.codes, self.kind = table[order[heads]], key[order[heads]]
-        self.prefixes = np.zeros((len(heads), longest), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            name = digests_of_strings(self.kinds)[self.kind]
-            for d in range(longest):
-                name = scramble(name * _STEP + word[np.maximum(self.codes[:, d] - 1, 0)])
-                self.prefixes[:, d] = np.where(self.codes[:, d] > 0, name, 0)
+        self.codes, self.kind = table[order[heads]], kind[at[order[heads]]]
+        self.prefixes, name = np.zeros((len(heads), longest), dtype=np.uint64), kinds[self.kind]
+        for d in range(longest):
+            name = _longer(name, word[np.maximum(self.codes[:, d] - 1, 0)]) if len(heads) else name
+            self.prefixes[:, d] = np.where(self.codes[:, d] > 0, name, 0)
 
 
-def hot_prefixes(texts: DataFrame, longest: int, frequent, share: float) -> np.ndarray:
+def hot_prefixes(texts: DataFrame, longest: int, suffixes, share: float) -> np.ndarray:
     """Digests of the prefixes that begin more than ``share`` of all suffixes, by a sample of texts.
 
     They only decide how suffixes are dealt; counts do not depend on them.
@@ -120,8 +132,8 @@ def hot_prefixes(texts: DataFrame, longest: int, frequent, share: float) -> np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                own = Suffixes(piece, longest, frequent.value)
+            for piece in slices(batch, "text", SLICE_CHARS):
+                own = suffixes(piece)
                 names = own.prefixes[:, :longest - 1].ravel()
                 weight = np.repeat(own.weights, longest - 1)
                 names, place = np.unique(np.append(names, np.uint64(0)), return_inverse=True)
@@ -176,17 +188,22 @@ def equal_partitions(table: np.ndarray, weights: np.ndarray, hot: np.ndarray, le
         yield pointers[head], np.add.reduceat(weights[pointers], head), depth + 1
 
 
-def count_phrases(texts: DataFrame, frequent_words: DataFrame, words: int, longest: int, least: int) -> DataFrame:
-    """(category, phrase, size, n): every phrase of 2 to ``longest`` words with ``least`` occurrences or more."""
+def count_phrases(texts: DataFrame, found: DataFrame, size: int, words: int, longest: int, least: int) -> DataFrame:
+    """(category, phrase, size, n): every phrase of more than ``size`` and up to ``longest`` words with
+    ``least`` occurrences or more. ``found`` has those of ``size`` words."""
     spark = texts.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent_filter(frequent_words))
+    frequent = spark.sparkContext.broadcast(_filter_of(found, size))
     routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // ROUTE_WORDS))
-    hot = spark.sparkContext.broadcast(hot_prefixes(texts, longest, frequent, max(0.25 / routes, 1 / MOST_HOT)))
+
+    def suffixes(part: pa.RecordBatch) -> Suffixes:
+        return Suffixes(part, size + 1, longest, frequent.value, size)
+
+    hot = spark.sparkContext.broadcast(hot_prefixes(texts, longest, suffixes, max(0.25 / routes, 1 / MOST_HOT)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                own = Suffixes(part, longest, frequent.value)
+            for part in slices(batch, "text", SLICE_CHARS):
+                own = suffixes(part)
                 n = len(own.weights)
                 if not n:
                     continue
@@ -204,7 +221,8 @@ def count_phrases(texts: DataFrame, frequent_words: DataFrame, words: int, longe
                     codes = own.codes[order[a:b]]
                     used, small = np.unique(np.append(0, codes), return_inverse=True)
                     small = small[1:].astype("<u2" if len(used) <= 65536 else "<u4")
-                    rows.append((used[1:] - 1, small.tobytes(), own.weights[order[a:b]].astype("<u4").tobytes()))
+                    # column by column: sorted suffixes then shuffle as few bytes
+                    rows.append((used[1:] - 1, small.reshape(b - a, longest).T.tobytes(), own.weights[order[a:b]].astype("<u4").tobytes()))
                 used = np.concatenate([r[0] for r in rows])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum([len(r[0]) for r in rows])), pa.int32()), own.words.take(pa.array(used)).cast(pa.string()))
@@ -222,12 +240,12 @@ def count_phrases(texts: DataFrame, frequent_words: DataFrame, words: int, longe
         for i, (codes, weight, hit) in enumerate(zip(*(group.column(c).to_pylist() for c in ("codes", "weights", "hot")))):
             n = len(weight) // 4
             own = np.frombuffer(codes, dtype="<u2" if len(codes) == 2 * n * longest else "<u4").astype(np.int64)
-            tables.append(np.where(own > 0, number[own + bounds[i]], 0).reshape(n, longest).astype(np.int32))
+            tables.append(np.where(own > 0, number[own + bounds[i]], 0).reshape(longest, n).T.astype(np.int32))
             weights.append(np.frombuffer(weight, dtype="<u4").astype(np.int64))
             hits.append(np.full(n, hit, dtype=np.int8))
         table, names, phrases, sizes, counts = np.concatenate(tables), coded.dictionary.to_pylist(), [], [], []
         for pointers, total, depth in equal_partitions(table, np.concatenate(weights), np.concatenate(hits), least):
-            if depth > 1:
+            if depth > size:
                 phrases += [" ".join(names[c - 1] for c in row) for row in table[pointers, :depth].tolist()]
                 sizes += [depth] * len(pointers)
                 counts += total.tolist()
@@ -253,12 +271,13 @@ def mine_phrases(
     the words of the category, ``a`` the phrase, ``l`` and ``r`` the parts of the cut with the lowest score
     floor(1000 a n / (l r)). A phrase goes if a longer one that holds it occurs as often.
 
-    Words are counted first. Suffixes of texts, cut off at words that are too rare, are
-    then routed by their leading words, by one word where that suffices and by more where a prefix
-    begins a large share of all suffixes; equal suffixes of a task travel as one. A route sorts its
-    suffixes by multikey quicksort down to ``longest`` words and abandons partitions that are too small. What
-    the tasks share is a Bloom filter of frequent words (16 MB at most; what it lets pass in vain is only
-    counted and dropped) and the prefixes that are split.
+    Words are counted first. Suffixes of texts are then routed by their leading words, by one word where that
+    suffices and by more where a prefix begins a large share of all suffixes; equal suffixes of a task
+    travel as one. A route sorts its suffixes by multikey quicksort and abandons partitions that are
+    too small. The sort goes to two words first, and to ``longest`` words for the suffixes whose pairs were not
+    abandoned, so most suffixes travel as two words. What the tasks share is a Bloom filter of
+    frequent words, then of frequent pairs (16 MB at most; what it lets pass in vain is only counted and dropped),
+    and the prefixes that are split.
 
     Null texts are empty, a null category is ``und``, as is a category of that name. Repeated records all count.
     Other columns are ignored; an empty table gives no rows. Counts must fit 64 bits and products 38 digits.
@@ -270,9 +289,11 @@ def mine_phrases(
     counted = texts.mapInArrow(words_of_categories, "category string, word string, n long").groupBy("category", "word").agg(F.sum("n").alias("n"))
     counted = written(counted.where((F.col("n") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counted.where("word is null").select("category", F.col("n").alias("total"))
-    frequent = counted.where("word is not null")
+    frequent = counted.where("word is not null").select("category", F.col("word").alias("phrase"), "n")
     everything = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
-    found = written(count_phrases(texts, frequent, everything, longest, least), "phrases")
+    found = written(count_phrases(texts, frequent, 1, everything, 2, least), "phrases")
+    if longest > 2:
+        found = found.unionByName(written(count_phrases(texts, found, 2, everything, longest, least), "phrases"))
 
     words = F.split("phrase", " ")
     shorter = F.explode(F.array(*(F.array_join(F.slice(words, start, F.col("size") - 1), " ") for start in (1, 2))))
@@ -281,7 +302,7 @@ def mine_phrases(
     inside = inside.groupBy("category", "phrase").agg(F.max("longer").alias("longer"))
     open_ = found.join(inside, ["category", "phrase"], "left").where("longer is null or longer < n")
 
-    counts = found.select("category", "phrase", "n").unionByName(frequent.withColumnRenamed("word", "phrase"))
+    counts = found.select("category", "phrase", "n").unionByName(frequent)
     cuts = open_.select("category", "phrase", "size", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut"))
     cuts = cuts.withColumns({
         "_l": F.array_join(F.slice(words, F.lit(1), F.col("cut")), " "),
