@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from .urls import BlockedBloom
 #: Rounds of run and pair naming; a symbol then stands for about ten words.
 ROUNDS = 8
 BITS_PER_NAME, FILTER_BYTES = 16, 16 << 20
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 KINDS = byte_kinds(WHITE_SPACE)
 _SALT = np.random.default_rng(41).integers(0, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 _INVERSE = [pow(int(s), -1, 1 << 64) for s in _SALT[:2]]
@@ -221,17 +221,24 @@ def _held(bloom: BlockedBloom, df: DataFrame, hashed: Column) -> Column:
     return held(hashed)
 
 
-def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts with the arrays of ``spans`` (key, begin, end) that belong to them, null without any.
+def _map_with_spans(texts: DataFrame, spans: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``function`` (as of mapInArrow) over the texts with the array of the ``spans`` (key, begin, end) that
+    belong to them, null without any.
 
-    A filter of the keys keeps texts that have none out of the shuffle.
+    A filter of the keys keeps texts that have none out of the shuffle. These are picked by the task that
+    maps them, so that a task has one Python worker.
     """
     grouped = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # no more than a text has words
     grouped = written(grouped, "repeat-spans-by-text")
-    names = name_filter(grouped.select(F.xxhash64("key").alias("name")), BITS_PER_NAME, FILTER_BYTES)
-    hit = _held(names, texts, F.xxhash64("key"))
-    kind = grouped.schema["spans"].dataType
-    return texts.where(hit).join(grouped, "key", "left").unionByName(texts.where(~hit).withColumn("spans", F.lit(None).cast(kind)))
+    bloom = name_filter(grouped.select(F.xxhash64("key").alias("name")), BITS_PER_NAME, FILTER_BYTES)
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.filter(pa.array(~shared.value.holds(batch.column("name").to_numpy()))) for batch in batches)
+
+    apart = texts.withColumns({"spans": F.lit(None).cast(grouped.schema["spans"].dataType), "name": F.xxhash64("key")})
+    met = texts.where(_held(bloom, texts, F.xxhash64("key"))).join(grouped, "key", "left")
+    return met.mapInArrow(function, schema).unionByName(apart.mapInArrow(others, schema))
 
 
 def _span_arrays(part: pa.RecordBatch, words: ByteWords) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +260,7 @@ def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def _spans_of(texts: DataFrame, window: int, find, columns: str) -> DataFrame:
+def _spans_of(texts: DataFrame, window: int, find: Callable, name: str, spans: DataFrame | None = None) -> DataFrame:
     """The passages (first word, word behind the last) that ``find`` gives of every slice, as rows of a written table."""
     key = texts.schema["key"].dataType.simpleString()
 
@@ -266,7 +273,8 @@ def _spans_of(texts: DataFrame, window: int, find, columns: str) -> DataFrame:
                 [*(pa.array(x.view(np.int64)) for x in names), part.column("key").take(row), pa.array(begin - base), pa.array(end - base)],
                 ["a", "b", "key", "begin", "end"])
 
-    return written(texts.mapInArrow(emit, f"a long, b long, key {key}, begin long, end long"), columns)
+    schema = f"a long, b long, key {key}, begin long, end long"
+    return written(texts.mapInArrow(emit, schema) if spans is None else _map_with_spans(texts, spans, emit, schema), name)
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
@@ -288,7 +296,7 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
         return at, at + window
 
     long = written(_later(_spans_of(texts, window, doubles, "repeat-doubles")).distinct(), "repeat-spans")
-    short = _later(_spans_of(_with_spans(texts, long), window, edges, "repeat-windows"))
+    short = _later(_spans_of(texts, window, edges, "repeat-windows", long))
     return long.unionByName(short)
 
 
@@ -327,7 +335,7 @@ def remove_repeats(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_CHARS):
                 words = byte_words(part.column("text"), KINDS)
                 begin, end = _span_arrays(part, words)
                 gone = _covered(len(words), begin, end)
@@ -337,6 +345,5 @@ def remove_repeats(
                     [part.column("event_id"), pa.array(total), pa.array(total - kept), words.joined(~gone)],
                     ["event_id", "n_words", "n_removed", "kept_text"])
 
-    spanned = _with_spans(texts, repeated_spans(texts, window))
-    return spanned.mapInArrow(keep, f"event_id {kind}, n_words long, n_removed long, kept_text string")
+    return _map_with_spans(texts, repeated_spans(texts, window), keep, f"event_id {kind}, n_words long, n_removed long, kept_text string")
 
