@@ -9,7 +9,9 @@ is not proven safe go to the tokenizer whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,16 @@ import pyarrow.compute as pc
 
 from .text import ragged
 
-#: Pieces a worker remembers before it starts over; about 200 bytes each.
+#: Pieces a worker remembers before it lets those go that it met in one slice only.
 CACHE_PIECES = 1_000_000
+#: Pieces that the tokenizer gets as one text.
+TOGETHER = 500
 #: White space beyond ASCII, and single spaces that do not stand between two other characters.
-UNICODE_SPACE = "[\u0085   -     　]"
+UNICODE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ODD_SPACE = rf"^ | $|[\x20\x09-\x0D] | [\x20\x09-\x0D]|{UNICODE_SPACE}"
+WORD_END = "</w>"
+#: Marks at the end of a piece, behind an ASCII letter or digit, are a token group of their own.
+TAIL = r"[A-Za-z0-9](?P<tail>[.,;:!?]+)$"
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
@@ -30,7 +37,7 @@ class Encoder:
     """Encodes batches of texts; one per worker process and vocabulary (``encoder``).
 
     ``spaced`` says that a word's token carries the space before it (byte-level vocabularies).
-    Otherwise white space is dropped before merging.
+    Otherwise white space is dropped before merging and the last token of a word has an end mark.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -38,29 +45,91 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level token has a character for each of its bytes
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.token_ends = np.zeros(len(self.token_bytes), dtype=bool)
+        for token, i in vocabulary.items():
+            self.token_bytes[i], self.token_ends[i] = len(token), token.endswith(WORD_END)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
         self.starts, self.used = np.zeros(1 << 16, dtype=np.int64), 0
+        self.met = np.zeros(1 << 16, dtype=np.int32)
+
+    def _thin(self) -> None:
+        """Keep the pieces of more than one slice; start over if they alone fill half of the room."""
+        n = len(self.known)
+        keep = np.flatnonzero(self.met[:n] > 1)
+        pieces = list(self.known)
+        lengths = np.diff(self.starts[:n + 1])[keep]
+        flat = self.flat[ragged(self.starts[keep], lengths)]
+        self._forget()
+        if len(keep) <= CACHE_PIECES // 2:
+            self._store([pieces[i] for i in keep.tolist()], flat, lengths)
 
-    def _remember(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        first, lengths = len(self.known), np.array([len(x) for x in encoded], dtype=np.int64)
-        new = np.array([i for x in encoded for i in x], dtype=self.flat.dtype)
-        while self.used + len(new) > len(self.flat):
+    def _store(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(pieces) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used:self.used + len(new)] = new
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        self.flat[self.used:self.used + len(flat)] = flat
         self.starts[first + 1:first + 1 + len(pieces)] = self.used + np.cumsum(lengths)
-        self.used += len(new)
+        self.used += len(flat)
         self.known.update(zip(pieces, range(first, first + len(pieces))))
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, pieces: list[str]) -> None:
+        """Encode new pieces: stems that are not known yet, then pieces of a stem and a tail from these two."""
+        column = pa.array(pieces, pa.large_string())
+        ended = pc.match_substring_regex(column, TAIL)
+        both = column.filter(ended)
+        stems, tails = pc.utf8_rtrim(both, ".,;:!?").to_pylist(), pc.extract_regex(both, TAIL).field("tail").to_pylist()
+        self._encode([x for x in dict.fromkeys(column.filter(pc.invert(ended)).to_pylist() + stems + tails) if x not in self.known])
+        if not stems:
+            return
+        parts = np.array([list(map(self.known.get, stems)), list(map(self.known.get, tails))], dtype=np.int64).T.ravel()
+        np.add.at(self.met, parts, 1)
+        lengths = self.starts[parts + 1] - self.starts[parts]
+        self._store(both.to_pylist(), self.flat[ragged(self.starts[parts], lengths)], lengths.reshape(-1, 2).sum(axis=1))
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Let the tokenizer see new pieces. Plain ones are joined, as it cuts them apart again."""
+        column = pa.array(pieces, pa.large_string())
+        if self.spaced:
+            # a piece that opens a text or holds a special token is left alone
+            joint = pc.and_(pc.match_substring_regex(column, r"^ [^ ]"), pc.invert(pc.match_substring_regex(column, "|".join(map(re.escape, self.special)))))
+            size = pc.binary_length(column).to_numpy()
+        else:
+            joint = pc.match_substring_regex(column, "^[A-Za-z]+$")  # one word and one end mark each
+        joint = joint.to_numpy(zero_copy_only=False)
+        together, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
+        lists = self._ids([pieces[i] for i in alone.tolist()])
+        glue = "" if self.spaced else " "
+        names = [pieces[i] for i in together.tolist()]
+        groups = self._ids([glue.join(names[i:i + TOGETHER]) for i in range(0, len(names), TOGETHER)])
+        flat = np.fromiter(chain.from_iterable(groups), dtype=self.flat.dtype)
+        if self.spaced:
+            ends = np.searchsorted(np.cumsum(self.token_bytes[flat]), np.cumsum(size[together])) + 1
+        else:
+            ends = np.flatnonzero(self.token_ends[flat]) + 1
+        if len(ends) != len(together) or (len(ends) and ends[-1] != len(flat)):
+            raise RuntimeError("the vocabulary does not keep pieces apart")
+        self._store(names, flat, np.diff(np.append(0, ends)))
+        self._store([pieces[i] for i in alone.tolist()], np.fromiter(chain.from_iterable(lists), dtype=self.flat.dtype),
+                    np.array([len(x) for x in lists], dtype=np.int64))
+
     def _cut(self, texts: pa.Array) -> pa.LargeListArray:
         if not self.spaced:
-            return pc.ascii_split_whitespace(texts)
+            # the vocabulary lower-cases; special tokens are told by their case, and all of them hold "<|"
+            return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         odd = pc.match_substring_regex(texts, ODD_SPACE)
         lists = pc.split_pattern(texts, pattern=" ")
         starts, n = lists.offsets.to_numpy(), len(texts)
@@ -90,10 +159,13 @@ class Encoder:
         coded = pc.dictionary_encode(lists.values.slice(starts[0], starts[-1] - starts[0]))
         starts, distinct = starts - starts[0], coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > CACHE_PIECES:
-            self._forget()
-        if new := [x for x in distinct if x not in self.known]:
+            self._thin()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        if len(missing := np.flatnonzero(number < 0)):
+            new = [distinct[i] for i in missing.tolist()]
             self._remember(new)
-        number = np.fromiter((self.known[x] for x in distinct), dtype=np.int64, count=len(distinct))
+            number[missing] = np.fromiter(map(self.known.get, new), dtype=np.int64, count=len(new))
+        self.met[number] += 1
         piece = number[coded.indices.to_numpy()]
         lengths = self.starts[piece + 1] - self.starts[piece]
         before = np.concatenate([[0], np.cumsum(lengths)])[starts]

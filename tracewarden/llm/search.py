@@ -21,7 +21,7 @@ from .text import slices
 #: A term is a run of ASCII letters and digits and of characters beyond ASCII.
 KINDS = byte_kinds(bytes(b for b in range(128) if not chr(b).isalnum()))
 #: A signature holds a term once for each of these numbers of occurrences that it reaches.
-LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
+LEVELS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64])
 HASHES, BITS_PER_KEY = 6, 12
 #: Keys that a task gathers, bits of one block of records, and cells of one bound table.
 GATHERED_KEYS, BLOCK_BITS, CELLS = 4_000_000, 1 << 24, 1 << 22
