@@ -87,7 +87,7 @@ def test_a_removed_block_is_found(spark):
 def test_batches_follow_arrival_order_with_one_hot_chain(spark):
     rows = [(i * 3, "hot" if i % 3 else "cold") for i in range(1000)]
     df = spark.createDataFrame(rows, "seq bigint, chain string").repartition(8)
-    got = G.assign_batches(df, "seq", ["chain"], 64, width=100).collect()
+    got = G.assign_batches(df, "seq", ["chain"], 64).collect()
     for chain in ("hot", "cold"):
         ordered = sorted((r["seq"], r["batch_no"], r["leaf_index"]) for r in got if r["chain"] == chain)
         assert [(b, leaf) for _, b, leaf in ordered] == [divmod(i, 64) for i in range(len(ordered))]
