@@ -251,3 +251,16 @@ def test_a_filter_too_small_costs_no_verdict(spark, data):
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     small, large = (sorted(map(tuple, urls.judge_urls(pages, listed, most_bytes=n).collect())) for n in (32, 1 << 20))
     assert small == large
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One labelled id with very many rows and texts is one row of the sample."""
+    from tracewarden.llm.labelled import labelled_sample
+
+    rows = [(1, f"text {i}") for i in range(2000)] + [(i, f"other {i}") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "event_id long, toxic int")
+    got = labelled_sample(spark.createDataFrame(rows, TEXT).repartition(7), labels, "toxic", 1000).collect()
+    assert len(got) == 59 and len({r["event_id"] for r in got}) == 59
+    assert got[0].asDict().keys() == {"event_id", "text", "label", "weight", "fold"}
+    again = labelled_sample(spark.createDataFrame(rows[::-1], TEXT).repartition(3), labels, "toxic", 1000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .text import ragged
+from .worker import claim
 
 #: Pieces a worker remembers before it lets those go that it met in one slice only.
 CACHE_PIECES = 1_000_000
@@ -182,7 +183,9 @@ def encoder(path: str, spaced: bool) -> Encoder:
     """The encoder of this worker process."""
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    own = _ENCODERS[path, spaced]
+    claim(own, own._forget)
+    return own
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end_id: int, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

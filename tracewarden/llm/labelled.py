@@ -15,7 +15,7 @@ def labelled_sample(
     Of each class about ``rows_per_class`` rows are drawn by a seeded hash of the id (all, if there are
     fewer); ``weight`` is the inverse of the class's share, so that weighted figures stand for all
     labelled rows. ``where`` is a condition on the ``event_id`` of ``labels``. Several labels of one id
-    are averaged. The drawn ids are few by construction, so they are broadcast to the texts.
+    are averaged, and of several texts of one id the one with the smallest hash counts, so the bound holds for rows. The drawn ids are few by construction, so they are broadcast to the texts.
     """
     rated = labels.where(F.col(label).isin(0, 1) & F.col(event_id).isNotNull())
     rated = rated.where(where) if where is not None else rated
@@ -27,4 +27,5 @@ def labelled_sample(
     drawn = rated.where(draw < keep).withColumns({
         "weight": 1.0 / keep, "fold": F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(5)).cast("int")})
     texts = events.select(F.col(event_id).alias("event_id"), F.coalesce(F.col(canonical_string).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "event_id")
+    rows = texts.join(F.broadcast(drawn), "event_id").groupBy("event_id", "label", "weight", "fold")
+    return rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("event_id", "text", "label", "weight", "fold")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .storage import written
 from .text import slices, split_words
+from .worker import claim
 
 UNKNOWN = "und"
 START = "▁"
@@ -150,14 +151,21 @@ class LanguageModel:
     def __init__(self, languages: list[str], pieces: list[str], log_p: np.ndarray, prior: np.ndarray, other: float = -16.0, low: np.ndarray | None = None):
         self.languages, self.pieces, self.log_p, self.prior, self.other = languages, pieces, log_p, prior, other
         self.low = np.full(len(languages), -np.inf) if low is None else low
-        self.lattice, self.known = Lattice(pieces), {}
+        self.lattice = Lattice(pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        """Words with the row of ``table`` that holds their figures."""
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, len(self.languages) + 2))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("lattice", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("lattice", "known", "table")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.lattice, self.known = Lattice(self.pieces), {}
+        self.lattice = Lattice(self.pieces)
+        self.forget()
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
@@ -179,13 +187,18 @@ class LanguageModel:
         """(sums, words, has a letter) of whole texts. ``sums`` has the log probability in each language,
         then the letters, a word start counted as one, and the letters without a piece."""
         starts, codes, distinct = letter_words(texts)
+        claim(self, self.forget)
         if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.known = {}
+            self.forget()
         new = [w for w in distinct if w not in self.known]
         if new:
             letters = np.array([(len(w) + 1, sum(c not in self.lattice.number for c in w)) for w in new], dtype=float)
-            self.known |= zip(new, np.hstack([self.word_scores(new), letters]))
-        table = np.array([self.known[w] for w in distinct]).reshape(len(distinct), len(self.languages) + 2)
+            first = len(self.known)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first:first + len(new)] = np.hstack([self.word_scores(new), letters])
+            self.known.update(zip(new, range(first, first + len(new))))
+        table = self.table[np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))]
         sums = np.zeros((len(starts), len(self.languages) + 2))
         for k in range(len(self.languages) + 2):
             sums[1:, k] = np.cumsum(table[codes, k])[starts[1:] - 1] if len(codes) else 0.0
@@ -304,25 +317,30 @@ def identify_languages(
     and the number of languages and travels as a broadcast variable.
     """
     kept = ["carried"] if carry else []
-    rows = events.select(
-        F.col(event_id).alias("event_id"), F.col(canonical_string).cast("string").alias("text"), *[F.struct(*carry).alias(c) for c in kept])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("event_id", *kept).schema)
+    text = F.col(canonical_string).cast("string").alias("text")
+    # a carried text is read out of its struct, so a row holds it once
+    inside = carry and canonical_string in carry and events.schema[canonical_string].dataType.simpleString() == "string"
+    rows = events.select(F.col(event_id).alias("event_id"), *[F.struct(*carry).alias(c) for c in kept], *([] if inside else [text]))
+    rows = rows.withColumn("text", F.col("carried")[canonical_string]) if inside else rows
     shared = events.sparkSession.sparkContext.broadcast(model)
 
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                if own.languages:
-                    posterior, lettered, like = own.text_scores(part.column("text"))
-                    best = posterior.argmax(axis=1)
-                    names = [own.languages[b] if good else UNKNOWN for b, good in zip(best, lettered)]
-                    score = np.where(lettered, posterior[np.arange(len(best)), best], 0.0)
-                else:
-                    names, score, like = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, dtype=bool)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("event_id", *kept)), pa.array(names, pa.string()), pa.array(score), pa.array(like)],
-                    ["event_id", *kept, "lang_pred", "score", "known"])
-
-    found = rows.mapInArrow(identify, f"{schema}, lang_pred string, score double, known boolean")
-    return found.select("event_id", "lang_pred", "score", "known", *kept)
+    @F.arrow_udf("struct<lang_pred: string, score: double, known: boolean>")
+    def identify(text: pa.Array) -> pa.Array:
+        own, names, scores, known = shared.value, [], [np.zeros(0)], [np.zeros(0, dtype=bool)]
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+            if own.languages:
+                posterior, lettered, like = own.text_scores(part.column("text"))
+                best = posterior.argmax(axis=1)
+                names += [own.languages[b] if good else UNKNOWN for b, good in zip(best, lettered)]
+                scores.append(np.where(lettered, posterior[np.arange(len(best)), best], 0.0))
+                known.append(like)
+            else:
+                names += [UNKNOWN] * part.num_rows
+                scores.append(np.zeros(part.num_rows))
+                known.append(np.zeros(part.num_rows, dtype=bool))
+        columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(known))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
+
+    # declared not deterministic, so that no filter is pushed below it and computes it again
+    found = rows.withColumn("found", identify.asNondeterministic()("text"))
+    return found.select("event_id", "found.lang_pred", "found.score", "found.known", *kept)
