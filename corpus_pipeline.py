@@ -37,10 +37,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, 0.8) the document with the smallest id stays."""
-    classes = neardup.near_duplicates(docs.withColumnsRenamed(PAYLOADS), width=5, percent=80)
-    gone = classes.where(~F.col("kept")).select(F.col("event_id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near copies (five-word shingles, 0.8) the document with the smallest id stays.
+
+    Texts are told apart by id. Where an id has several texts, or is null, each of its texts is compared under a
+    number of its own, above the usual ids; rows that share id and text are one document and stay together.
+    """
+    several = docs.groupBy("doc_id").agg((F.min(F.xxhash64("text")) < F.max(F.xxhash64("text"))).alias("_several")).where("_several")
+    keyed = docs.join(written(several, "shared-ids"), "doc_id", "left")
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    plain = F.col("doc_id").isNotNull() & F.col("_several").isNull()
+    keyed = keyed.withColumn("_key", F.when(plain, F.col("doc_id").cast("long")).otherwise(own)).drop("_several")
+    classes = neardup.near_duplicates(keyed.select(F.col("_key").alias("event_id"), F.col("text").alias("canonical_string")), width=5, percent=80)
+    gone = classes.where(~F.col("kept")).select(F.col("event_id").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
