@@ -264,3 +264,12 @@ def test_sample_is_bounded_by_rows(spark):
     assert got[0].asDict().keys() == {"event_id", "text", "label", "weight", "fold"}
     again = labelled_sample(spark.createDataFrame(rows[::-1], TEXT).repartition(3), labels, "toxic", 1000).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_a_rule_fits_its_own_host_and_path_only(spark):
+    """Host and path never run into each other, and hosts of very many labels cost no more than others."""
+    listed = spark.createDataFrame([("a.co", "m/x", "block"), ("co", "/y", "block")], "host string, path string, verdict string")
+    long = "http://" + "a." * 20_000 + "co/y"
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.co/m/x"), (3, "http://b.a.co/y"), (4, long)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, listed).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("co/y", "block"), 4: ("co/y", "block")}

@@ -57,11 +57,17 @@ def url_path(url: Column) -> Column:
     return F.coalesce(path, F.lit(""))
 
 
+#: Stands between host and path in a key. No host and no path of a url holds it, so keys of different pairs differ.
+BETWEEN = "#"
+
+
 def canonical_rules(listed: DataFrame, host: str = "host", path: str = "path", verdict: str = "verdict") -> DataFrame:
-    """(rule, length, verdict): one row per canonical host and path prefix; block wins over allow."""
-    key = F.concat(F.translate(F.coalesce(F.col(host), F.lit("")), ASCII_UPPER, ASCII_LOWER), F.coalesce(F.col(path), F.lit("")))
-    rows = listed.select(key.alias("rule"), F.length(F.coalesce(F.col(path), F.lit(""))).alias("length"), F.col(verdict).alias("verdict"))
-    return rows.groupBy("rule", "length").agg(F.max("verdict").alias("verdict"))
+    """(rule, labels, length, verdict): one row per canonical host and path prefix, joined by ``BETWEEN``; block
+    wins over allow. ``labels`` and ``length`` are those of the host and of the path."""
+    low, start = F.translate(F.coalesce(F.col(host), F.lit("")), ASCII_UPPER, ASCII_LOWER), F.coalesce(F.col(path), F.lit(""))
+    rows = listed.select(
+        F.concat(low, F.lit(BETWEEN), start).alias("rule"), F.size(F.split(low, r"\.")).alias("labels"), F.length(start).alias("length"), F.col(verdict).alias("verdict"))
+    return rows.groupBy("rule", "labels", "length").agg(F.max("verdict").alias("verdict"))
 
 
 def build_filter(rules: DataFrame, bits_per_key: int, most_bytes: int) -> BlockedBloom:
@@ -95,8 +101,8 @@ def judge_urls(
     url's path starts with the rule's path; the longest rule wins, a blocking one among equals.
     A url without a rule gets ``otherwise``.
 
-    Every distinct (host, path) offers the keys of its host suffixes and of the path lengths that rules
-    have. The Bloom filter (at most ``most_bytes``, so it may be broadcast whatever the list's size) lets
+    Every distinct (host, path) offers the keys of the host suffixes and path prefixes that are as long as
+    those of some rule. The Bloom filter (at most ``most_bytes``, so it may be broadcast whatever the list's size) lets
     possible hits pass to an exact join on the key, which removes the false ones. A list too long for the
     filter costs more passing keys, never a wrong verdict. Very common urls are one row before the join.
 
@@ -104,18 +110,18 @@ def judge_urls(
     An empty list leaves every url to ``otherwise``; an empty table gives no rows.
     """
     rules = canonical_rules(listed)
-    lengths = sorted(r["length"] for r in rules.select("length").distinct().limit(65_537).collect())
-    if len(lengths) > 65_536:
-        raise ValueError("rules have more than 65,536 path lengths")
+    sizes = {c: sorted(r[c] for r in rules.select(c).distinct().limit(65_537).collect()) for c in ("labels", "length")}
+    if max(map(len, sizes.values())) > 65_536:
+        raise ValueError("rules have more than 65,536 path lengths or label counts")
     bloom = build_filter(rules, bits_per_key, most_bytes)
     shared = pages.sparkSession.sparkContext.broadcast(bloom)
 
     parsed = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    within = lambda c, most: F.filter(F.array(*[F.lit(n) for n in sizes[c]]).cast("array<int>"), lambda n: n <= most)
+    suffixes = F.transform(within("labels", F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    prefixes = F.transform(within("length", F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(BETWEEN), p))))
     offered = parsed.select("host", "path").distinct().withColumn("keys", keys)
     offered = offered.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
 
@@ -132,4 +138,4 @@ def judge_urls(
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("_best"))
     out = parsed.join(best, ["host", "path"], "left")
     return out.select(
-        "page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))
+        "page_id", "host", "path", F.replace(F.col("_best.rule"), F.lit(BETWEEN), F.lit("")).alias("rule"), F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))
