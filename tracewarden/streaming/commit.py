@@ -2,8 +2,8 @@
 
 Every micro-batch is one *epoch*. It takes the new events and the retries that are due, sets aside
 repeated ids with a reason, calls the commit check once, and appends records, blocks, outcomes and the
-rows still pending under its own epoch folder. Running an epoch again overwrites exactly its own
-folders and reads only earlier ones, so a replay after a failure changes nothing.
+rows still pending as runs of its own. Running an epoch again replaces exactly its own
+runs and reads only earlier ones, so a replay after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_SIZE, MAX_ATTEMPTS
 from ..functions.text import rfc3339
 from ..operators import ledger as G
 from ..operators.reports import loss_accounting
+from ..sources.runs import RunTable
 from . import retry
 
 EVENT_COLUMNS = ["event_id", "chain", "payload_digest", "resource_id", "seq", "enqueued_sec"]
@@ -29,44 +29,41 @@ EVENT_SCHEMA = (
 EPOCHS_PER_BATCH = 1000  # epoch = batch_id * 1000 + drain round
 
 
+#: The key of every table, and the tables of which only the last state counts.
+KEYS = {"blocks": "chain", "heads": "chain"}
+STATES = ("heads", "pending")
+
+
 @dataclass
 class CommitLog:
-    """Folder layout of the log. Tables: taken, attempts, records, blocks, heads, outcomes, settled, pending."""
+    """The log as tables of epochs (``sources.runs``): taken, attempts, records, blocks, heads, outcomes, settled, pending.
+
+    ``fanout`` epochs are merged into one sorted run, and so on, so the files that an epoch opens grow with the logarithm
+    of the log.
+    """
 
     spark: SparkSession
     root: str
+    fanout: int = 4
 
-    def path(self, table: str, epoch: int | None = None) -> str:
-        base = f"{self.root.rstrip('/')}/{table}"
-        return base if epoch is None else f"{base}/epoch={epoch}"
+    def path(self, table: str) -> str:
+        return f"{self.root.rstrip('/')}/{table}"
+
+    def table(self, table: str) -> RunTable:
+        return RunTable(self.spark, self.path(table), KEYS.get(table, "event_id"), self.fanout, table not in STATES)
 
     def read(self, table: str, before: int | None = None) -> DataFrame | None:
-        try:
-            df = self.spark.read.parquet(self.path(table))
-        except AnalysisException as exc:
-            if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
-        return df if before is None else df.where(F.col("epoch") < before)
+        return self.table(table).read(before)
 
     def read_epoch(self, table: str, epoch: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(table, epoch))
+        return self.table(table).read_epoch(epoch)
 
-    def write(self, df: DataFrame, table: str, epoch: int, by: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(self.path(table, epoch))
+    def write(self, df: DataFrame, table: str, epoch: int) -> None:
+        self.table(table).append(df, epoch)
 
     def epochs(self, table: str) -> list[int]:
         """Epochs that ran, whether or not they left rows behind."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
-
-
-def id_prefix(key: str) -> Column:
-    """``h`` and two hex digits of an id's hash, by which settled ids are kept."""
-    return F.concat(F.lit("h"), F.substring(F.md5(F.col(key)), 1, 2))
+        return self.table(table).epochs()
 
 
 CommitCheck = Callable[[DataFrame], DataFrame]
@@ -112,7 +109,7 @@ class EvidenceCommitter:
             "event_id", F.when(F.col("error").isNull(), "committed").otherwise("dead_lettered").alias("outcome"),
             F.col("attempt").alias("attempts"), "enqueued_sec", F.col("tried_sec").alias("finished_sec"), "error",
         ), "outcomes", epoch)
-        self.log.write(final.select("event_id", id_prefix("event_id").alias("prefix")), "settled", epoch, by="prefix")
+        self.log.write(final.select("event_id"), "settled", epoch)
         pending = done.where(F.col("error").isNotNull() & (F.col("attempt") < self.max_attempts)).select(
             *EVENT_COLUMNS, "attempt", "tried_sec", "error")
         if waiting is not None:
@@ -130,13 +127,11 @@ class EvidenceCommitter:
         """Write every row of the epoch to ``taken``, with a reason where it is not tried.
 
         Of the rows of one id the further attempt is tried, then the earlier arrival; the others are
-        repeats. An id the log has settled is refused whenever it comes back. Settled ids are kept by a
-        prefix of their hash, so an epoch opens the prefixes of its own ids only.
+        repeats. An id the log has settled is refused whenever it comes back; an epoch opens the files of settled
+        ids that may hold its own ones.
         """
-        settled = self.log.read("settled", epoch)
-        if settled is not None:
-            prefixes = [r[0] for r in tries.select(id_prefix("event_id")).distinct().collect()]  # at most 256
-            settled = settled.where(F.col("prefix").isin(*prefixes)).select("event_id")
+        settled = self.log.table("settled").near(tries, epoch)
+        settled = settled if settled is None else settled.select("event_id")
         order = [F.col("attempt").desc(), "seq", *[c for c in EVENT_COLUMNS if c not in ("event_id", "seq")]]
         told = G.with_reject_reason(tries, settled, "event_id", order)
         self.log.write(told.select(*EVENT_COLUMNS, "attempt", "reason"), "taken", epoch)
