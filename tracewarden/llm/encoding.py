@@ -92,14 +92,14 @@ class Encoder:
         column = pa.array(pieces, pa.large_string())
         ended = pc.match_substring_regex(column, TAIL)
         both = column.filter(ended)
-        stems, tails = pc.utf8_rtrim(both, ".,;:!?").to_pylist(), pc.extract_regex(both, TAIL).field("tail").to_pylist()
-        self._encode([x for x in dict.fromkeys(column.filter(pc.invert(ended)).to_pylist() + stems + tails) if x not in self.known])
+        stems, tails = (x.to_numpy(zero_copy_only=False).tolist() for x in (pc.utf8_rtrim(both, ".,;:!?"), pc.extract_regex(both, TAIL).field("tail")))
+        self._encode([x for x in dict.fromkeys(column.filter(pc.invert(ended)).to_numpy(zero_copy_only=False).tolist() + stems + tails) if x not in self.known])
         if not stems:
             return
         parts = np.array([list(map(self.known.get, stems)), list(map(self.known.get, tails))], dtype=np.int64).T.ravel()
         np.add.at(self.met, parts, 1)
         lengths = self.starts[parts + 1] - self.starts[parts]
-        self._store(both.to_pylist(), self.flat[ragged(self.starts[parts], lengths)], lengths.reshape(-1, 2).sum(axis=1))
+        self._store(both.to_numpy(zero_copy_only=False).tolist(), self.flat[ragged(self.starts[parts], lengths)], lengths.reshape(-1, 2).sum(axis=1))
 
     def _encode(self, pieces: list[str]) -> None:
         """Let the tokenizer see new pieces. Plain ones are joined, as it cuts them apart again."""
@@ -158,7 +158,7 @@ class Encoder:
         lists = self._cut(texts.cast(pa.large_string()).fill_null(""))
         starts = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(starts[0], starts[-1] - starts[0]))
-        starts, distinct = starts - starts[0], coded.dictionary.to_pylist()
+        starts, distinct = starts - starts[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > CACHE_PIECES:
             self._thin()
         number = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))

@@ -41,7 +41,7 @@ def split_words(texts: pa.Array) -> Words:
     flat = lists.values.slice(starts[0], starts[-1] - starts[0])
     starts = starts - starts[0]
     coded = pc.dictionary_encode(flat)
-    codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if "" in distinct:  # from leading and trailing space
         keep = codes != distinct.index("")
         before = np.concatenate([[0], np.cumsum(keep)])
