@@ -131,6 +131,47 @@ def event_violations() -> Column:
     return _codes(rules)
 
 
+def unknown_members(text: Column, shape: T.StructType) -> Column:
+    """Codes of the members of a JSON text that a closed ``shape`` does not have, at any depth of it.
+
+    The text is read as VARIANT and its own members are walked, since a typed read drops what it does not know. A member is
+    named by its path (``model.color``, ``feature_attributions[].rank``). Maps are open: their keys are data. A text that is
+    no JSON object has no members here; its other violations are told by the typed read.
+    """
+    value = F.try_parse_json(text)
+
+    def coded(path: tuple[str, ...], at: str, names: list[str]) -> Column:
+        others = F.array_except(_member_names(value, path), F.array(*[F.lit(n) for n in names]))
+        return F.transform(others, lambda n: F.concat(F.lit(f"unknown:{at}"), n))
+
+    codes = [coded(*found) for found in _objects(shape)]
+    return F.array_sort(F.flatten(F.array(*codes)))
+
+
+def _objects(shape: T.StructType, path: tuple[str, ...] = (), at: str = "") -> list[tuple[tuple[str, ...], str, list[str]]]:
+    """Every object of a shape: its path, where ``[]`` opens an array, the text of the path, and its members."""
+    found = [(path, at, shape.fieldNames())]
+    for field in shape.fields:
+        kind, name = field.dataType, f"{at}{field.name}"
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            found += _objects(kind.elementType, (*path, field.name, "[]"), f"{name}[].")
+        elif isinstance(kind, T.StructType):
+            found += _objects(kind, (*path, field.name), f"{name}.")
+    return found
+
+
+def _member_names(value: Column, path: tuple[str, ...]) -> Column:
+    """Distinct member names of the objects at a path; none where the value there is something else."""
+    none = F.array().cast("array<string>")
+    if "[]" not in path:
+        place = "$" + "".join(f".{p}" for p in path)
+        return F.coalesce(F.map_keys(F.try_variant_get(value, place, "map<string,variant>")), none)
+    cut = path.index("[]")
+    place = "$" + "".join(f".{p}" for p in path[:cut])
+    items = F.coalesce(F.try_variant_get(value, place, "array<variant>"), F.array().cast("array<variant>"))
+    return F.array_distinct(F.flatten(F.transform(items, lambda v: _member_names(v, path[cut + 1:]))))
+
+
 def split_valid(df: DataFrame, codes: Column) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejects with their codes)."""
     marked = pin(df.withColumn("violations", codes))

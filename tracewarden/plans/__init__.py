@@ -8,7 +8,7 @@ from .catalog import REGISTRY, Query
 
 _MODULES = [
     "coverage_queries", "profile_queries", "cleaning_queries", "metric_queries", "sampling_queries", "evidence_queries",
-    "ledger_queries", "report_queries", "flagship", "model_queries",
+    "ledger_queries", "report_queries", "flagship", "model_queries", "store_queries",
 ]
 
 

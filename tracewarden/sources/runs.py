@@ -180,11 +180,15 @@ class RunTable:
             return self.spark.read.option("basePath", self.root).parquet(*paths)
         return self.spark.read.parquet(f"{self.root}/{runs[-1].name}").limit(0)
 
+    def _runs(self, before: int | None, version: int | None) -> list[Run]:
+        runs = [r for r in self.manifest(version)[1] if before is None or r.first < before]
+        return runs if self.history else runs[-1:]
+
     def read(self, before: int | None = None, version: int | None = None) -> DataFrame | None:
-        """All rows, or those of earlier epochs, with their ``epoch``; None if there is no epoch. A ``version`` that a
+        """All rows (of the last epoch, where only that counts), or those of earlier epochs, with their ``epoch``; None if
+        there is no epoch. A ``version`` that a
         reader has noted stays readable until ``vacuum``, and as long as its manifest is kept."""
-        _, runs, _ = self.manifest(version)
-        runs = [r for r in runs if before is None or r.first < before]
+        runs = self._runs(before, version)
         if not runs:
             return None
         df = self._frame(runs, None).drop(SLOT)
@@ -192,8 +196,7 @@ class RunTable:
 
     def near(self, keys: DataFrame, before: int | None = None, version: int | None = None) -> DataFrame | None:
         """The rows of the files that may hold some of ``keys`` (a column named as the table's key)."""
-        _, runs, _ = self.manifest(version)
-        runs = [r for r in runs if before is None or r.first < before]
+        runs = self._runs(before, version)
         if not runs:
             return None
         slots = sorted(r[0] for r in keys.select(slot_of(self.key)).distinct().collect())  # at most SLOTS numbers
