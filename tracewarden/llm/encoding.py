@@ -21,7 +21,7 @@ from .text import ragged
 from .worker import claim
 
 #: Pieces a worker remembers before it lets those go that it met in one slice only.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Pieces that the tokenizer gets as one text.
 TOGETHER = 500
 #: White space beyond ASCII, and single spaces that do not stand between two other characters.
