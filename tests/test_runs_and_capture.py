@@ -180,3 +180,51 @@ def test_unknown_members_at_any_depth(spark):
     assert got == {
         0: [], 1: ["unknown:x"], 2: ["unknown:model.color"], 3: [], 4: ["unknown:feature_attributions[].rank", "unknown:feature_attributions[].z"],
         5: [], 6: [], 7: [], 8: []}
+
+
+# --- rows that must not go wrong unseen -------------------------------------------------------------------
+def test_csv_rejects_go_by_the_header(spark, tmp_path):
+    from tracewarden.sources import files
+
+    shape = T.StructType.fromDDL("a int, b int, c string")
+    (tmp_path / "one.csv").write_text('b,c,a\n1,"x,y",2\n3,z,no\n\n4,w,5\n6\n')
+    good, bad = files.read_csv_with_rejects(spark, str(tmp_path / "one.csv"), shape)
+    assert sorted(map(tuple, good.collect())) == [(2, 1, "x,y"), (5, 4, "w")]
+    assert sorted((r["line_number"], r["line"], r["b"]) for r in bad.collect()) == [(3, "3,z,no", 3), (6, "6", 6)]
+    assert bad.count() == 2 and sorted(r[0] for r in bad.select("line").collect()) == ["3,z,no", "6"]
+    (tmp_path / "two.csv").write_text("a,b,c\n1,2,x\n")
+    for wrong in (str(tmp_path), str(tmp_path / "one.csv")):
+        with pytest.raises(ValueError):
+            files.read_csv_with_rejects(spark, wrong, shape if wrong.endswith("tmp") or wrong == str(tmp_path) else T.StructType(shape.fields[:2]))
+
+
+def test_a_float_that_loses_digits_stays_double(spark):
+    from tracewarden.operators import cleaning
+
+    df = spark.createDataFrame([(123456789.123, 0.5, float("nan")), (1.0, 2.0, None), (None, -3.25, 1.5)], "x double, y double, z double")
+    plan = cleaning.plan_types(df, ["x", "y", "z"])
+    assert plan == {"x": "double", "y": "float", "z": "float"}
+    assert cleaning.narrow_types(df, plan).first()["x"] == 123456789.123
+
+
+def test_payloads_that_disagree_are_no_proof(spark):
+    import hashlib
+
+    from tracewarden.operators import audit
+
+    d = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3)]
+    records = spark.createDataFrame([(f"e{i}", d[i], f"a{i}", "agent", "m") for i in range(3)], "event_id string, payload_digest string, content_address string, agent_id string, model_digest string")
+    registry = spark.createDataFrame([("agent", "ab" * 32)], "agent_id string, key_hex string")
+    payloads = [(f"a{i}", d[i], d[i]) for i in range(3)] + [("a1", d[2], d[2]), ("a2", d[2], d[2])]
+    found = audit.audit(audit.sign(records, registry), spark.createDataFrame(payloads, "content_address string, claimed_digest string, recomputed_digest string"), registry, spark.createDataFrame([("m",)], "model_digest string"))
+    assert {r["event_id"]: r["verdict"] for r in found.collect()} == {"e0": "VERIFIED", "e1": "TAMPERED", "e2": "VERIFIED"}
+
+
+def test_a_policy_has_its_own_severities(spark, tmp_path):
+    from tracewarden.sources import lookups
+
+    (tmp_path / "p.json").write_text(json.dumps({"severity_by_threat": {"Bot": "CRITICAL"}}))
+    policy = lookups.read_policy(spark, str(tmp_path / "p.json"))
+    df = spark.createDataFrame([("Bot",), ("DDoS",)], "c string")
+    assert [r[0] for r in df.select(policy.severity_of(F.col("c"))).collect()] == ["CRITICAL", "UNKNOWN"]
+    assert [r[0] for r in df.select(type(policy)().severity_of(F.col("c"))).collect()] == ["HIGH", "HIGH"]

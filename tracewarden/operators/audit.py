@@ -42,16 +42,20 @@ def audit(
 
     ``payloads``: (content_address, claimed_digest, recomputed_digest). ``registry``: (agent_id,
     key_hex). ``provenance``: (model_digest). A missing payload is INCOMPLETE, any failed check is
-    TAMPERED. Provenance is reported and does not change the verdict.
+    TAMPERED. Provenance is reported and does not change the verdict. Several payloads of one address that
+    do not agree make it a failed one, whichever of them is right.
     """
     models = provenance.select("model_digest", F.lit(True).alias("model_provenance_found")).distinct()
+    told = F.struct("claimed_digest", "recomputed_digest")
+    single = payloads.groupBy("content_address").agg(F.min(told).alias("_told"), (F.min(told) == F.max(told)).alias("_agree"))
+    single = single.select("content_address", F.col("_told.claimed_digest").alias("claimed_digest"), "_told.recomputed_digest", "_agree", F.lit(True).alias("_found"))
     joined = (
-        records.join(payloads.dropDuplicates(["content_address"]).withColumn("_found", F.lit(True)), "content_address", "left")
+        records.join(single, "content_address", "left")
         .join(key_pads(registry), "agent_id", "left")
         .join(models, "model_digest", "left")
     )
     found = F.coalesce(F.col("_found"), F.lit(False))
-    payload_ok = found & digest_claim_holds(F.col("claimed_digest"), F.col("recomputed_digest"))
+    payload_ok = found & F.coalesce("_agree", F.lit(False)) & digest_claim_holds(F.col("claimed_digest"), F.col("recomputed_digest"))
     ledger_ok = found & F.coalesce(F.col("payload_digest") == F.col("claimed_digest"), F.lit(False))
     signature_ok = found & F.coalesce(
         keyed_digest("payload_digest") == F.col("signature"), F.lit(False)

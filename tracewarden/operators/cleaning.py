@@ -44,9 +44,12 @@ def verdict(category: Column, attack: str = "ANOMALY", benign: str = "NORMAL") -
     return F.when(category == "Benign", F.lit(benign)).otherwise(F.lit(attack))
 
 
-def severity(category: Column, unknown: str | None = "UNKNOWN") -> Column:
-    """Severity of a category. ``unknown=None`` leaves null, for the path that rejects such rows."""
-    found = F.try_element_at(literal_map(SEVERITY), category)
+def severity(category: Column, unknown: str | None = "UNKNOWN", table: dict[str, str] | None = None) -> Column:
+    """Severity of a category, by the built-in table or by another one (a policy's ``severity_by_threat``).
+
+    ``unknown=None`` leaves null, for the path that rejects such rows.
+    """
+    found = F.try_element_at(literal_map(table or SEVERITY), category)
     return found if unknown is None else F.coalesce(found, F.lit(unknown))
 
 
@@ -107,8 +110,14 @@ FLOAT_MAX = 3.4028234663852886e38
 
 
 def plan_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Narrowest type holding each column's whole observed range (one small row per column)."""
+    """Narrowest type holding each column's whole observed range (one small row per column).
+
+    A double column becomes float only if every value comes back unchanged; one digit lost keeps it.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    real = [c for c in columns if not isinstance(kinds[c], T.IntegralType)]
+    changed = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.col(c).cast("float").cast("double") != F.col(c).cast("double")), F.lit(False))
+    lossy = df.agg(*[F.count_if(changed(c)).alias(c) for c in real]).first().asDict() if real else {}
     plan = {}
     for row in column_profile(df, columns).collect():
         low, high, name = row["min_value"], row["max_value"], row["column_name"]
@@ -117,7 +126,7 @@ def plan_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
         if isinstance(kinds[name], T.IntegralType):
             plan[name] = next(t for t, bits in _INT_RANGES if low >= -(2.0 ** bits) and high <= 2.0 ** bits - 1)
         else:
-            plan[name] = "float" if max(abs(low), abs(high)) <= FLOAT_MAX else "double"
+            plan[name] = "float" if max(abs(low), abs(high)) <= FLOAT_MAX and not lossy[name] else "double"
     return plan
 
 

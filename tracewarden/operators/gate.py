@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cleaning import severity
+
 IMMEDIATE, BATCH, OFF_CHAIN = "immediate", "batch", "off_chain_only"
 
 
@@ -15,7 +17,7 @@ class GatePolicy:
     """A dozen numbers at most, so it is applied as literals rather than joined.
 
     The fields carry the names of the policy file, so that a file is read by its typed schema
-    (``sources.lookups.read_policy``). ``severity_by_threat`` replaces the built-in severities.
+    (``sources.lookups.read_policy``). ``severity_by_threat`` replaces the built-in severities (``severity_of``).
     """
 
     anchor_attack_only: bool = True
@@ -30,6 +32,10 @@ class GatePolicy:
             own = F.when(category == name, F.lit(value)).otherwise(own)
         return own
 
+    def severity_of(self, category: Column, unknown: str | None = "UNKNOWN") -> Column:
+        """Severity by the policy's own table if it has one, else by the built-in table."""
+        return severity(category, unknown, self.severity_by_threat or None)
+
     def decide(self, verdict: Column, category: Column, confidence: Column) -> Column:
         """A confidence that is null or NaN says nothing, so such an event stays off-chain."""
         keep_off = ~known(confidence) | (confidence < self.gate_for(category))

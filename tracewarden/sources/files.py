@@ -25,14 +25,26 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects): a reject keeps its text as ``line``, beside the cells that could be read.
+    """(good rows, rejects): a reject keeps its text as ``line``, its ``file`` and ``line_number``, beside the cells that could be read.
 
-    All columns are parsed whatever a query selects, so that a row is a reject for every query.
+    Cells go by the names of the header, in whatever order it has them. Files whose header is not the
+    same, or does not name exactly the columns of ``schema``, are refused. A record is one line; the header is line 1.
     """
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(wide).option("columnPruning", "false")
-    rows = reader.csv(path, header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT).withColumn("_bad", F.col(CORRUPT))
-    return rows.where("_bad is null").select(*schema.fieldNames()), rows.where("_bad is not null").select(F.col("_bad").alias("line"), *schema.fieldNames())
+    from .capture import capture_order
+
+    lines = capture_order(spark.read.text(path), "_at", file="_path")
+    heads = lines.groupBy("_path").agg(F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_head"))
+    told = heads.select("_head").distinct().limit(2).collect()
+    names = [] if len(told) != 1 else [c.strip().strip('"') for c in told[0]["_head"].removeprefix("\ufeff").split(",")]
+    if sorted(names) != sorted(schema.fieldNames()):
+        raise ValueError(f"headers {[r['_head'] for r in told]} do not name the columns {schema.fieldNames()}")
+    wide = T.StructType([*(schema[n] for n in names), T.StructField(CORRUPT, T.StringType())])
+    body = lines.join(heads.select("_path", "_first"), "_path").where("_at > _first and length(value) > 0")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = body.withColumn("_r", F.from_csv("value", wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options))
+    bad, cells = F.col(f"_r.{CORRUPT}").isNotNull(), [F.col("_r")[n].alias(n) for n in schema.fieldNames()]
+    where = [F.col("value").alias("line"), F.col("_path").alias("file"), (F.col("_at") - F.col("_first") + 1).alias("line_number")]
+    return rows.where(~bad).select(*cells), rows.where(bad).select(*where, *cells)
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
