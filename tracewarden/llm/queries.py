@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import chat, language, mixing, neardup, packing, phrases, quality, reference_sql, repeats, search, tokens, toxicity, urls, vectors
+from .storage import short_batches
 
 PAYLOADS = {"doc_id": "event_id", "text": "canonical_string", "source": "cloud_resource_id"}
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` under the names of the event tables."""
+    short_batches(spark)
     return table(spark, sf_dir, "documents").withColumnsRenamed(PAYLOADS)
 
 

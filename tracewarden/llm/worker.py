@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _OWNER: list = [None, None]
 
 
@@ -15,4 +17,5 @@ def claim(owner: object, drop: Callable[[], None]) -> None:
     if _OWNER[0] is not owner:
         if _OWNER[1] is not None:
             _OWNER[1]()
+            pa.default_memory_pool().release_unused()
         _OWNER[:] = [owner, drop]
