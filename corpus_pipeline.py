@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm import language, mixing, neardup, packing, toxicity
 from tracewarden.llm.queries import PAYLOADS, vocabulary
-from tracewarden.llm.storage import written
+from tracewarden.llm.storage import short_batches, written
 from tracewarden.sources.tables import table
 
 #: A text stays if its language has at least this posterior.
@@ -20,6 +20,7 @@ LANGUAGE_FROM = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents with a calibrated toxicity of 0.5 or more. Null and empty texts are scored too."""
+    short_batches(spark)
     events = docs.withColumnsRenamed(PAYLOADS)
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "event_id")
     scored = toxicity.score_toxicity(events, toxicity.fit_toxicity(events, labels), carry=events.columns)
@@ -29,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents without a letter, those unlike the labelled texts of their best language
     (``known``), and short ones between languages."""
+    short_batches(spark)
     events = docs.withColumnsRenamed(PAYLOADS)
     model = language.fit_languages(events, vocabulary("byte_bpe_50k.json"))
     found = language.identify_languages(events, model, carry=events.columns)
@@ -42,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts are told apart by id. Where an id has several texts, or is null, each of its texts is compared under a
     number of its own, above the usual ids; rows that share id and text are one document and stay together.
     """
+    short_batches(spark)
     several = docs.groupBy("doc_id").agg((F.min(F.xxhash64("text")) < F.max(F.xxhash64("text"))).alias("_several")).where("_several")
     keyed = docs.join(written(several, "shared-ids"), "doc_id", "left")
     own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
@@ -73,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
+    short_batches(spark)
     packed = packing.pack_events(docs.withColumnsRenamed(PAYLOADS), vocabulary("byte_bpe_50k.json"), sequence_tokens=2048, end_id=1)
     return packed.withColumnsRenamed({"event_id": "doc_id", "event_tokens": "doc_tokens"})
 
