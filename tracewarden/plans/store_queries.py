@@ -19,6 +19,7 @@ from ..sources import capture
 from ..sources.runs import RunTable
 from ..sources.tables import table
 from ..streaming import serving
+from ..streaming.keyed import keyed_blocks, keyed_conf
 from . import bindings as B
 from .bindings import with_ctes
 from .catalog import query
@@ -129,3 +130,21 @@ def serving_sync(spark, sf) -> DataFrame:
         if epoch % 2:
             view.sync(float(epoch))
     return view.frame()
+
+
+@query("keyed_blocks", with_ctes("SELECT chain, batch_no AS block_number, record_count, merkle_root FROM roots", "roots"))
+def keyed_chain(spark, sf) -> DataFrame:
+    """Blocks of every chain from a stream whose heads are keyed state."""
+    path, out = scratch(spark, "stream"), scratch(spark, "blocks")
+    rows = B.batched(spark, sf).select("chain", "event_id", "payload_digest", (F.col("batch_no") * B.BATCH + F.col("leaf_index")).alias("seq"))
+    rows.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in keyed_conf()}
+    try:
+        for k, v in keyed_conf().items():
+            spark.conf.set(k, v)
+        blocks = keyed_blocks(spark.readStream.schema(rows.schema).parquet(path), B.BATCH)
+        blocks.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(blocks.schema).parquet(out).select("chain", "block_number", "record_count", "merkle_root")

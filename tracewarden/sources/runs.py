@@ -28,7 +28,8 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Run:
-    """Epochs ``first`` to ``last`` in one folder. ``files`` are (name, rows, lowest slot, highest slot)."""
+    """Epochs ``first`` to ``last`` in one folder. ``files`` are (name, rows, lowest slot, highest slot) of a merged run;
+    a run of one epoch has none, and is read whole."""
 
     name: str
     level: int
@@ -36,9 +37,6 @@ class Run:
     last: int
     files: list = field(default_factory=list)
 
-    @property
-    def rows(self) -> int:
-        return sum(f[1] for f in self.files)
 
 
 def slot_of(key: str) -> Column:
@@ -134,6 +132,8 @@ class RunTable:
         (df.sortWithinPartitions(SLOT, self.key).write
             .option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.key}", self.rows_per_file)
             .parquet(path))
+        if level == 0:
+            return Run(name, level, first, last)
         stored = self.spark.read.parquet(path)
         found = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min(SLOT).alias("low"), F.max(SLOT).alias("high"))
         files = sorted((r["file"], r["n"], r["low"], r["high"]) for r in found.collect())  # one row a file
@@ -163,7 +163,7 @@ class RunTable:
             ready = [r for r in runs if r.level == level and r.last < epoch]
             if len(ready) >= self.fanout:
                 rows = self._frame(ready, None)
-                parts = -(-sum(r.rows for r in ready) // self.rows_per_file)
+                parts = -(-rows.count() // self.rows_per_file)
                 spread = rows.repartitionByRange(max(parts, 1), SLOT, self.key) if parts > 1 else rows.coalesce(1)
                 merged = self._write(spread, level + 1, min(r.first for r in ready), max(r.last for r in ready))
                 runs = [r for r in runs if r not in ready] + [merged]
@@ -175,7 +175,8 @@ class RunTable:
         def wanted(low: int, high: int) -> bool:
             return slots is None or any(low <= s <= high for s in slots)
 
-        paths = [f"{self.root}/{r.name}/{f[0]}" for r in runs for f in r.files if wanted(f[2], f[3])]
+        paths = [f"{self.root}/{r.name}" for r in runs if not r.files]
+        paths += [f"{self.root}/{r.name}/{f[0]}" for r in runs for f in r.files if wanted(f[2], f[3])]
         if paths:
             return self.spark.read.option("basePath", self.root).parquet(*paths)
         return self.spark.read.parquet(f"{self.root}/{runs[-1].name}").limit(0)
