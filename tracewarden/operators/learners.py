@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SEED, THRESHOLD_GRID
 from ..functions.digests import hash_rank_key
+from ..functions.permute import permuted_position
 from ..functions.vectors import argmax_index, cascade, literal_array, threshold_argmax, top_by_magnitude
 from .cleaning import impute, mask_outliers, severity
 from .distributed import HASH_BUCKET_CHARS, null_safe_join, running_totals
@@ -146,20 +147,16 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): mean accuracy lost when one column is shuffled.
 
-    A repeat pairs every row with a donor: the row's rank by one seeded hash of its id meets the
-    donor's rank by another. Ranks are bucketed, so no task sorts the table. All variants of a row
-    are scored together.
+    Rows are ranked once, by a seeded hash of their id, in buckets, so that no task sorts the table. A repeat pairs every
+    rank with the one that a keyed permutation of all ranks puts there (``functions.permute``): an exact shuffle without
+    another ranking. All variants of a row are scored together.
     """
-    one = df.select(row_id, label, *features).withColumn("_one", F.lit(1).cast("long"))
-    bucket = F.substring("_h", 1, HASH_BUCKET_CHARS)
-
-    def shuffled(draw: int) -> DataFrame:
-        keyed = one.withColumn("_h", hash_rank_key(F.col(row_id), draw))
-        return running_totals(keyed, "_h", ["_one"], bucket=bucket).withColumnRenamed("_one_before", "_at")
-
-    own, parts = shuffled(seed - 1), None  # ranked once, for all repeats
+    one = df.select(row_id, label, *features).withColumn("_one", F.lit(1).cast("long")).withColumn("_h", hash_rank_key(F.col(row_id), seed - 1))
+    ranked = running_totals(one, "_h", ["_one"], bucket=F.substring("_h", 1, HASH_BUCKET_CHARS))
+    own, parts = ranked.withColumnsRenamed({"_one_before": "_at", "_one_total": "_n"}), None
     for r in range(repeats):
-        donor = shuffled(seed + r).select("_at", *[F.col(f).alias(f"_d_{f}") for f in features])
+        place = permuted_position(F.col("_at"), F.col("_n"), seed + r)
+        donor = own.select(place.alias("_at"), *[F.col(f).alias(f"_d_{f}") for f in features])
         paired = own.select("_at", label, *features).join(donor, "_at")
         variants = [F.struct(F.lit("").alias("feature"), *[F.col(f) for f in features])] + [
             F.struct(F.lit(v).alias("feature"), *[F.col(f"_d_{f}" if f == v else f).alias(f) for f in features]) for v in features
