@@ -29,7 +29,7 @@ def test_matches_reference_sql(spark, db, data, name):
     assert verdict.startswith("ok"), verdict
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"compare_models", "hyper_search"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_model_queries_return_rows(spark, data, name):
     assert QUERIES[name](spark, data).limit(1).collect()
 
