@@ -18,7 +18,7 @@ from ..test_queries import check
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_corpus_query_matches_reference_sql(spark, data, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations"):
+    for table in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     verdict = check.compare(queries.QUERIES[name](spark, data), db.execute(queries.ORACLE_SQL[name]))
     assert verdict.startswith("ok"), verdict
