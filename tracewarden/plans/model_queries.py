@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, learners as L
 from ..functions.vectors import threshold_argmax
 from ..operators import coverage as C
+from ..operators import isotonic as isotonic_fit
 from ..operators import metrics as M
 from . import bindings as B
 from .bindings import with_ctes
@@ -73,6 +74,19 @@ def isotonic(spark, sf):
     return raw.unionByName(C.calibration_error(held, "calibrated", _attack()).withColumn("method", F.lit("isotonic")))
 
 
+@query("isotonic_blocks", with_ctes("", "flow").rstrip() + """,
+d AS (SELECT floor(score * 100)::DOUBLE AS s, count(*) AS n, count(*) FILTER (category <> 'Benign') AS y FROM flow GROUP BY 1),
+c AS (SELECT s, n, y, sum(n) OVER (ORDER BY s) AS wn, sum(y) OVER (ORDER BY s) AS wy, row_number() OVER (ORDER BY s) AS i FROM d),
+m AS (SELECT a.i AS a, i.i AS i, min((b.wy - a.wy + a.y)::DOUBLE / (b.wn - a.wn + a.n)::DOUBLE) AS m FROM c a JOIN c i ON a.i <= i.i JOIN c b ON b.i >= i.i GROUP BY 1, 2),
+v AS (SELECT i, max(m) AS v FROM m GROUP BY i),
+b AS (SELECT v, min(s) AS low, max(s) AS high, sum(n)::BIGINT AS n, sum(y)::BIGINT AS positives FROM c JOIN v USING (i) GROUP BY v)
+SELECT row_number() OVER (ORDER BY v) - 1 AS block, low, high, n, positives, positives / n AS value FROM b""")
+def isotonic_blocks(spark, sf):
+    """Blocks of the isotonic fit over all rows, scores in hundredths; the SQL takes the largest of the least means."""
+    f = B.flow(spark, sf).withColumn("s", F.floor(F.col("score") * 100).cast("double"))
+    return isotonic_fit.isotonic_blocks(f, "s", _attack())
+
+
 @query("platt")
 def platt(spark, sf):
     f = B.flow(spark, sf)
